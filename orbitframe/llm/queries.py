@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitframe.llm import embeddings, pieces, simhash
+from orbitframe.llm import embeddings, lines, mixing, passages, pieces, simhash, toxicity, urls, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         pieces.op2_sentencepiece,
         simhash.op3_simhash_near_dedup,
+        toxicity.op4_toxicity,
+        lines.op5_line_dedup,
+        mixing.op6_source_mixing,
+        passages.op7_substring_dedup,
+        winnowing.op8_winnowing,
         embeddings.op9_embedding_near_dedup,
+        urls.op10_url_filters,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": lines.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL}
