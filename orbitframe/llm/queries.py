@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitframe.llm import embeddings, lines, mixing, passages, pieces, simhash, toxicity, urls, winnowing
+from orbitframe.llm import embeddings, lines, mixing, passages, pieces, secrets, simhash, toxicity, urls, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        secrets.op1_secret_scan,
         pieces.op2_sentencepiece,
         simhash.op3_simhash_near_dedup,
         toxicity.op4_toxicity,

@@ -124,9 +124,31 @@ class ToxicityModel:
         if self.trees is None:
             return df.select("id", F.lit(self.prior).alias("score"))
         m = self._margins(text_features(df.withColumn("label", F.lit(0.0)), self.lexicon))
+        return self._scored(m).select("id", "score")
+
+    def keep(self, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
+        """The rows of docs, whatever their columns, whose score is below ``threshold``; null texts are empty ones."""
+        if self.trees is None:
+            return docs.where(F.lit(self.prior < threshold))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        rows = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        kind = rows.schema["row"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = [features(t.as_py(), lexicon) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
+
+        lexicon = self.lexicon
+        m = self.trees.transform(rows.mapInArrow(run, f"row {kind}, x array<double>").withColumn("features", array_to_vector("x")))
+        m = m.select("row", vector_to_array("rawPrediction")[1].alias("margin"))
+        return self._scored(m).where(F.col("score") < threshold).select("row.*")
+
+    def _scored(self, margins: DataFrame) -> DataFrame:
         # The calibration is flat in steps; a thousandth of the trees' own probability keeps their order within a step.
         p = 1 / (1 + F.exp(-2 * F.col("margin")))
-        return self.calibration.transform(m).select("id", (0.999 * F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)) + 0.001 * p).alias("score"))
+        steps = F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))
+        return self.calibration.transform(margins).withColumn("score", 0.999 * steps + 0.001 * p)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
