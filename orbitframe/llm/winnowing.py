@@ -7,47 +7,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.session import read_table
 
-#: Code points of a gram, grams of a window, and code points hashed from one substring.
-GRAM, WINDOW, CHUNK = 8, 16, 64
+#: Words of a gram, grams of a window, and code points of a word; longer runs are cut into words of this length.
+GRAM, WINDOW, LONGEST = 5, 4, 16
 #: A selected gram packed in a long: 32 bits of hash, then 31 bits that fall as the position rises.
 POSITION = (1 << 31) - 1
 #: Documents of a part of the id order, about, and parts at most.
 PART_ROWS, MAX_PARTS = 5_000, 4_096
 
 
-def _grams(text: Column, k: int) -> Column:
-    """Packed hash and position of each k-gram; a shorter text is one gram, an empty one none.
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{LONGEST}}}"), 0)
 
-    Substrings are cut from chunks of a bounded length, so that finding a code point in the text
-    doesn't walk it from the start for each gram.
-    """
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + k - 1}}})).{{1,{CHUNK}}}"), 1)
 
-    def packed(gram: Column, at: Column) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), 32), 31).bitwiseOR(F.lit(POSITION) - at)
+def _grams(words: Column, k: int) -> Column:
+    """Packed hash and position of each run of k words; fewer words are one gram, none give none."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - k))
 
-    def of_chunk(c: Column, j: Column) -> Column:
-        n = F.least(F.lit(CHUNK), F.char_length(c) - (k - 1))
-        at = F.sequence(F.lit(1), n)
-        return F.when(n >= 1, F.transform(at, lambda i: packed(F.substring(c, i, F.lit(k)), (j * CHUNK + i - 1).cast("long")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    def packed(i: Column) -> Column:
+        gram = F.xxhash64(*(F.get(words, i + n) for n in range(k)))
+        return F.shiftleft(F.shiftrightunsigned(gram, 32), 31).bitwiseOR(F.lit(POSITION) - i)
 
-    short = F.when(text == "", F.expr("cast(array() as array<bigint>)")).otherwise(F.array(packed(text, F.lit(0).cast("long"))))
-    return F.when(F.char_length(text) < k, short).otherwise(F.flatten(F.transform(chunks, of_chunk)))
+    return F.when(F.size(words) > 0, F.transform(starts, packed)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _select(grams: Column, w: int) -> Column:
     """The least gram of every window of w, once each; packing makes the rightmost of equal hashes the least."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(grams) - (w - 1)))
-    mins = F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, w))))
-    return F.when(F.size(grams) > 0, mins).otherwise(grams)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(grams) - w))
+    mins = F.transform(starts, lambda i: F.least(*(F.get(grams, i + n) for n in range(w))))
+    return F.when(F.size(grams) > 0, F.array_distinct(mins)).otherwise(grams)
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """df with the column ``out``: array of structs (position, hash) of the text's winnowing.
 
-    Every run of k + w - 1 equal code points in two texts selects a common gram. Positions count
-    code points from 0 and rise; hashes have 32 bits. Null texts are empty ones, whose array is
-    empty; a text shorter than k is one gram of its own. Rows are independent.
+    Every run of k + w - 1 equal words in two texts selects a common gram. Words are runs of other than
+    ASCII white space, cut after LONGEST code points. Positions count words from 0 and rise; hashes
+    have 32 bits. Null texts are empty ones, whose array is empty, as is that of a text without words; a
+    text of fewer than k words is one gram of its own. Rows are independent.
     """
     packed = packed_selection(df, text, "_packed", k, w)
     one = lambda p: F.struct((F.lit(POSITION) - p.bitwiseAND(F.lit(POSITION))).cast("int").alias("position"), F.shiftright(p, 31).alias("hash"))
@@ -55,7 +51,8 @@ def winnow(df: DataFrame, text: str, out: str, k: int = GRAM, w: int = WINDOW) -
 
 
 def packed_selection(df: DataFrame, text: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    df = df.withColumn("_grams", _grams(F.coalesce(F.col(text), F.lit("")), k))
+    df = df.withColumn("_words", _words(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn("_grams", _grams(F.col("_words"), k)).drop("_words")
     return df.withColumn(out, _select(F.col("_grams"), w)).drop("_grams")
 
 
