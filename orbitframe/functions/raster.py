@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 
@@ -189,7 +190,7 @@ def with_image_column(df: DataFrame, out: str, kind: str, f: Callable, image: st
 
     An image result is an array, given back as an image struct; others must fit ``kind``.
     """
-    schema = df.schema.add(out, kind)
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {kind}").fields])
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

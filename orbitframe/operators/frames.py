@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def interval_step(value: Column, unit: Column, fps: Column) -> Column:
@@ -33,7 +34,7 @@ def ordered_scan(df: DataFrame, job: str, order: list[str], value: str, flag: st
     partitions, sorted there, and stepped through batch by batch; what a task holds is one batch and one
     job's state, however long the job. Rows of one job are inherently sequential.
     """
-    schema = df.schema.add(flag, "boolean")
+    schema = StructType([*df.schema.fields, StructField(flag, BooleanType())])
     at, by = df.columns.index(value), df.columns.index(job)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

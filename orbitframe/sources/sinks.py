@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from orbitframe.functions.raster import to_array
 from orbitframe.sources.media import encode_png
@@ -70,7 +71,7 @@ def with_gps(image: bytes, lat: float, lon: float, alt: float = 0.0) -> bytes:
 
 def encoded(df: DataFrame, image: str = "view_image", out: str = "file") -> DataFrame:
     """df with the image as PNG bytes, with its place where lat, lon and alt are given; null images stay null."""
-    columns, schema = df.columns, df.schema.add(out, "binary")
+    columns, schema = df.columns, StructType([*df.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
