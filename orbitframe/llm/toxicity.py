@@ -32,7 +32,7 @@ FEATURES = (
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
-_LOOSE = re.compile(r"(?<=[^\W\d_])[013457@$!|€](?=[^\W\d_])")
+_LOOSE = re.compile(r"[^\W\d_][013457@$!|€]+[^\W\d_]|\b[013457@$|€]+[^\W\d_]")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?:\b[^\W\d_][ .*\-_]){3,}[^\W\d_]\b")
 
@@ -56,6 +56,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     disguised = 0
     if _LOOSE.search(low):
         for token in _TOKEN.findall(low):
+            token = token.strip("*$%&#.,;:!?\"'()")
             if _LOOSE.search(token):
                 plain = "".join(c for c in token.translate(LEET) if c.isalpha())
                 disguised += lexicon.get(plain, 0.0) > 0

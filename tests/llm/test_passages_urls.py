@@ -1,0 +1,151 @@
+import random
+
+import duckdb
+
+from brute import components
+from orbitframe.llm.passages import op7_substring_dedup, paragraphs, repeated_passages, substring_dedup, tune_bands
+from orbitframe.llm.urls import host_links, op10_url_filters, personalised_pagerank, url_verdicts
+
+
+def test_paragraphs():
+    lines = lambda *n: [[b"w"] * k for k in n]
+    assert paragraphs(lines(60, 10, 0, 45, 9, 70, 20), 50) == [(0, 0), (1, 3), (3, 4), (5, 5)]
+    assert paragraphs([], 50) == [] and paragraphs(lines(5, 5), 50) == []
+
+
+def test_bands_reach_the_recall():
+    for s, r in ((0.8, 0.995), (0.6, 0.99)):
+        b, k = tune_bands(s, r)
+        assert 1 - (1 - s**k) ** b >= r and b * k <= 96
+
+
+def brute(docs, least=50, similarity=0.8, width=5):
+    """Removed (id, line) pairs' ids and the components of units, by all pairs."""
+    units = {}
+    for i, t in sorted(docs.items()):
+        rows = [x.split() for x in t.lower().encode().split(b"\n")]
+        for a, b in paragraphs(rows, least):
+            words = [w for x in rows[a : b + 1] for w in x]
+            units[(i, a, b)] = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+    comp = components(units, lambda a, b: len(units[a] & units[b]) >= similarity * len(units[a] | units[b]))
+    groups = {}
+    for u, c in comp.items():
+        groups.setdefault(c, []).append(u)
+    removed = set()
+    for members in groups.values():
+        members.sort()
+        i, a, last = members[0]
+        for j, x, y in members[1:]:
+            if j == i and x <= last:
+                last = max(last, y)
+            else:
+                removed.add((j, x, y))
+    return removed
+
+
+def test_passages_by_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = lambda n: [word() for _ in range(n)]
+    shared = [line(n) for n in (55, 80, 30, 25, 120)]
+
+    def near(x, share):
+        return [word() if rng.random() < share else w for w in x]
+
+    docs = {}
+    for i in range(40):
+        rows = [line(rng.randrange(1, 70)) for _ in range(rng.randrange(1, 5))]
+        if i % 2:
+            k = rng.randrange(len(shared) - 1)
+            at = rng.randrange(len(rows) + 1)
+            rows[at:at] = [near(shared[k], rng.choice((0, 0, 0.01, 0.03))), *([shared[3]] if k == 2 else [])]
+        docs[i] = "\n".join(" ".join(x) for x in rows)
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, component string")
+    got = {(r.id, r["first"], r["last"]) for r in repeated_passages(df).where("not kept").collect()}
+    assert got == brute(docs) and got
+
+
+def test_whole_passage_query_on_small_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet' where text is not null").fetchall())
+    got = {(r.doc_id, r.first_line, r.last_line) for r in op7_substring_dedup(spark, sf).where("not kept").collect()}
+    want = brute(docs)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_passage_edge_cases(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{p}\nb", 1), (2, None, 1), (3, "", 1), (4, f"{p}\nz", 1), (None, p, 1), (1, f"a\n{p}\nb", 1), (5, f"{p}\nmid\n{p}", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
+    got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in substring_dedup(df).collect())
+    assert got == [(0, p, 0), (1, f"a\n{p}\nb", 0), (1, f"a\n{p}\nb", 0), (2, "", 0), (3, "", 0), (4, "z", 1), (5, "mid", 2)]
+    assert substring_dedup(df.limit(0)).count() == 0
+    own = spark.createDataFrame([(1, "short\n" + p), (2, "other")], "doc_id long, text string")
+    assert repeated_passages(own).count() == 0
+
+
+def verdict(url, rules):
+    """(host, path, rule, verdict) by plain text work."""
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_rules_by_brute_force(spark):
+    from orbitframe.llm.urls import RULES
+
+    urls = dict(duckdb.sql("select page_id, url from '/root/testdata/sf0.01/pages.parquet'").fetchall())
+    got = {r.page_id: r for r in op10_url_filters(spark, "/root/testdata/sf0.01").collect()}
+    for i, u in urls.items():
+        host, path, rule, v = verdict(u, RULES)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict in ("allow", "block") and (v is None or got[i].verdict == v)
+    odd = [None, "", "no scheme.com/", "HTTP://WWW.Example.COM/en/x", "x://com", "http://acom/", "http://a.net/es/?q#f", "http://a.net?/es/", "a://b://c.net/es/", "http://ex\nample.com/en/\n?x"]
+    df = spark.createDataFrame([(i, u, None, 1) for i, u in enumerate(odd)] + [(None, "http://a.com/", "x", 1)], "page_id long, url string, html string, host int")
+    got = {r.id: r for r in url_verdicts(df).collect()}
+    for i, u in enumerate(odd):
+        host, path, rule, v = verdict(u, RULES)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+    assert got[None].verdict == "allow" and len(got) == len(odd) + 1
+    assert url_verdicts(df.limit(0)).count() == 0
+
+
+def test_pagerank_by_dense_iteration(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    n, edges = 12, {}
+    for _ in range(30):
+        a, b = rng.randrange(n - 2), rng.randrange(n)
+        if a != b:
+            edges[a, b] = rng.randrange(1, 5)
+    seed = np.zeros(n)
+    seed[[0, 3]] = 0.25, 0.75
+    m = np.zeros((n, n))
+    for (a, b), k in edges.items():
+        m[b, a] = k / sum(v for (x, _), v in edges.items() if x == a)
+    rank = seed.copy()
+    for _ in range(15):
+        moved = 0.85 * m @ rank
+        rank = moved + seed * (1 - moved.sum())
+    e = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in edges.items()], "src string, dst string, n long")
+    s = spark.createDataFrame([("h0", 0.5), ("h3", 1.5), ("h4", 0.0)], "host string, seed double")
+    got = {r.host: r["rank"] for r in personalised_pagerank(e, s).collect()}
+    assert all(abs(got.get(f"h{i}", 0.0) - rank[i]) < 1e-9 for i in range(n))
+
+
+def test_distrust_runs_against_links(spark):
+    link = lambda *h: "".join(f'<a href="http://{x}/p">x</a>' for x in h)
+    rows = [(1, "http://bad.net/es/1", ""), (2, "http://feeds.bad.org/x", link("bad.net")), (3, "http://good.com/", link("fine.org")), (4, "http://fine.org/x", None), (5, "http://lone.org/", link("lone.org") + '<img src="//cdn.io/x">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r.src, r.dst, r.n) for r in host_links(df).collect()} == {("feeds.bad.org", "bad.net", 1), ("good.com", "fine.org", 1), ("lone.org", "cdn.io", 1)}
+    got = {r.id: r for r in url_verdicts(df).collect()}
+    assert got[2].verdict == "block" and got[2].distrust > got[2].trust
+    assert got[4].verdict == "allow" and got[4].trust > 0 and got[5].verdict == "allow"
