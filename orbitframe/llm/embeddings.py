@@ -49,7 +49,7 @@ def _fit(classes: DataFrame, n: int) -> tuple[int, np.ndarray]:
     return dim, spherical_kmeans(unit_rows(x / np.abs(x).max(axis=1, keepdims=True)), min(MAX_CELLS, max(1, math.ceil(n / CELL_ROWS))))
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, margin: float | None = 0.2) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, margin: float | None = 0.1) -> DataFrame:
     """(id, n_links, component, kept) of every row.
 
     Links are pairs of vectors of cosine ``threshold`` or more, in double precision. Cells of
