@@ -7,18 +7,34 @@ import sys
 from pyspark.sql import SparkSession, functions as F
 
 from orbitframe.functions import geometry, naming, raster
-from orbitframe.operators import frames as fr
+from orbitframe.operators import frames as fr, telemetry
 from orbitframe.plans import settings
-from orbitframe.sources import media, sinks
+from orbitframe.sources import media, sinks, tracks
+
+
+def located(frames, files):
+    """frames with lat, lon and alt from the .gpx file of the same folder and stem; null without one.
+
+    Only keys and times go through the windows; images meet their places in one join.
+    """
+    key = F.xxhash64(F.lower(F.regexp_replace("path", r"\.[^./]*$", "")))
+    gpx = files.where(naming.suffix(F.col("path")) == "gpx").select(key.alias("job_id"), "content")
+    times = frames.select(key.alias("job_id"), "path", "frame_idx", fr.frame_time(F.col("frame_idx"), F.col("fps")).alias("t"))
+    places = telemetry.interpolated(times, telemetry.sanitized(tracks.parse_tracks(gpx, "gpx")))
+    return frames.join(places.select("path", "frame_idx", "lat", "lon", "alt"), ["path", "frame_idx"], "left")
 
 
 def extract(spark: SparkSession, folder: str, s: dict):
     """The manifest of views written for the PNG images and raw videos under a folder, by resolved settings."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.where(F.lower("path").rlike(r"\.(png|y4m)$"))
-    frames = media.read_frames(files).where("error is null")
+    frames = media.read_frames(files.where(F.lower("path").rlike(r"\.(png|y4m)$"))).where("error is null")
     step = fr.interval_step(F.lit(float(s["interval_value"])), F.lit(s["interval_unit"]), F.col("fps"))
     frames = fr.sampled(frames, step)
+    if s["adaptive_mode"]:
+        frames = fr.motion_keyframes(frames, float(s["adaptive_threshold"]))
+    place = ("lat", "lon", "alt") if s["export_telemetry"] else ()
+    if place:
+        frames = located(frames, files)
     if s["is_360"]:
         views = geometry.generate_views(spark, int(s["camera_count"]), float(s["pitch_offset"]), s["layout_mode"])
         looks = raster.reproject(frames, geometry.active_views(views, s.get("active_cameras")), int(s["resolution"]), float(s["fov"]), s["interpolation_mode"] == "lanczos")
@@ -32,7 +48,7 @@ def extract(spark: SparkSession, folder: str, s: dict):
         looks = raster.with_image_column(looks.withColumnRenamed("view_image", "_plain"), "view_image", raster.IMAGE, lambda px: None if px is None else raster.sharpen(px, float(s["sharpening_strength"])), "_plain").drop("_plain")
     image, _ = naming.output_names(s["naming_mode"], naming.stem(F.col("path")), F.col("frame_idx"), F.col("name"), "png", s["image_pattern"], s["mask_pattern"])
     local = F.regexp_replace("path", "^file:/+", "/")
-    looks = looks.select(naming.output_dir(local, s["custom_output_dir"]).alias("output_dir"), image.alias("image_name"), "view_image")
+    looks = looks.select(naming.output_dir(local, s["custom_output_dir"]).alias("output_dir"), image.alias("image_name"), "view_image", *place)
     return sinks.write_files(sinks.encoded(looks))
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from orbitframe.functions import raster
+
 
 def interval_step(value: Column, unit: Column, fps: Column) -> Column:
     """Frames from one sample to the next, at least 1; seconds count fps frames, cut towards zero."""
@@ -106,6 +108,17 @@ def adaptive_keyframes(frames: DataFrame, threshold: float, value: str = "value"
     return kept.where("_keep").drop("_keep")
 
 
+def motion_keyframes(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Frames whose mean flow from the last kept frame of their job exceeds ``threshold``; unreadable frames don't move."""
+
+    def motion(a, b) -> float:
+        px = [None if x is None else raster.to_array(x["height"], x["width"], x["channels"], x["data"]) for x in (a, b)]
+        return raster.motion_score(*px)
+
+    kept = ordered_scan(frames, job, list(order), image, "_keep", keyframe_machine(threshold, motion))
+    return kept.where("_keep").drop("_keep")
+
+
 def blur_floor(frames: DataFrame, floor: float, score: str = "score") -> DataFrame:
     """Rows whose score reaches the floor; equality is kept."""
     return frames.where(F.col(score) >= floor)

@@ -163,6 +163,12 @@ def test_files_to_views_and_back(spark, tmp_path):
     assert (seen == raster.remap(img, *raster.view_map(16, 32, 8, 8, 90.0, 0.0, 0.0, 0.0))).all()
     assert main(["--config", "/nonexistent.json"]) == 1 and main([]) == 1
 
+    (src / "pano.gpx").write_text('<gpx><trk><trkseg><trkpt lat="-1.5" lon="2.25"><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>')
+    assert main(["--input", str(src), "--output", str(out), "--flat", "--adaptive", "--motion-threshold", "50", "--export-telemetry", "--naming-mode", "simple"]) == 0
+    flat = {p.name: p.read_bytes() for p in out.rglob("*_flat.png")}
+    assert set(flat) == {"pano_frame000000_flat.png", "clip_frame000000_flat.png"}
+    assert sinks.gps_directory(-1.5, 2.25, 0.0) in flat["pano_frame000000_flat.png"] and b"eXIf" not in flat["clip_frame000000_flat.png"]
+
 
 def test_places_in_files():
     png = media.encode_png(np.zeros((2, 2), np.uint8))
