@@ -7,27 +7,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.session import read_table
 
-#: Words of a gram, grams of a window, and code points of a word; longer runs are cut into words of this length.
-GRAM, WINDOW, LONGEST = 5, 4, 16
+#: Pieces of a gram, grams of a window, and code points of a piece. A word is cut after every so many code points.
+GRAM, WINDOW, LONGEST = 5, 4, 4
 #: A selected gram packed in a long: 32 bits of hash, then 31 bits that fall as the position rises.
 POSITION = (1 << 31) - 1
 #: Documents of a part of the id order, about, and parts at most.
 PART_ROWS, MAX_PARTS = 5_000, 4_096
 
 
-def _words(text: Column) -> Column:
+def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{LONGEST}}}"), 0)
 
 
-def _grams(words: Column, k: int) -> Column:
-    """Packed hash and position of each run of k words; fewer words are one gram, none give none."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - k))
+def _grams(pieces: Column, k: int) -> Column:
+    """Packed hash and position of each run of k pieces; fewer pieces are one gram, none give none."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(pieces) - k))
 
     def packed(i: Column) -> Column:
-        gram = F.xxhash64(*(F.get(words, i + n) for n in range(k)))
+        gram = F.xxhash64(*(F.get(pieces, i + n) for n in range(k)))
         return F.shiftleft(F.shiftrightunsigned(gram, 32), 31).bitwiseOR(F.lit(POSITION) - i)
 
-    return F.when(F.size(words) > 0, F.transform(starts, packed)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.when(F.size(pieces) > 0, F.transform(starts, packed)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _select(grams: Column, w: int) -> Column:
@@ -40,10 +40,10 @@ def _select(grams: Column, w: int) -> Column:
 def winnow(df: DataFrame, text: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """df with the column ``out``: array of structs (position, hash) of the text's winnowing.
 
-    Every run of k + w - 1 equal words in two texts selects a common gram. Words are runs of other than
-    ASCII white space, cut after LONGEST code points. Positions count words from 0 and rise; hashes
-    have 32 bits. Null texts are empty ones, whose array is empty, as is that of a text without words; a
-    text of fewer than k words is one gram of its own. Rows are independent.
+    Every run of k + w - 1 equal pieces in two texts selects a common gram. Pieces are the words, runs of
+    other than ASCII white space, cut after every LONGEST code points. Positions count pieces from 0 and
+    rise; hashes have 32 bits. Null texts are empty ones, whose array is empty, as is that of a text
+    without words; a text of fewer than k pieces is one gram of its own. Rows are independent.
     """
     packed = packed_selection(df, text, "_packed", k, w)
     one = lambda p: F.struct((F.lit(POSITION) - p.bitwiseAND(F.lit(POSITION))).cast("int").alias("position"), F.shiftright(p, 31).alias("hash"))
@@ -51,8 +51,8 @@ def winnow(df: DataFrame, text: str, out: str, k: int = GRAM, w: int = WINDOW) -
 
 
 def packed_selection(df: DataFrame, text: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    df = df.withColumn("_words", _words(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("_grams", _grams(F.col("_words"), k)).drop("_words")
+    df = df.withColumn("_pieces", _pieces(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn("_grams", _grams(F.col("_pieces"), k)).drop("_pieces")
     return df.withColumn(out, _select(F.col("_grams"), w)).drop("_grams")
 
 
