@@ -11,9 +11,14 @@ SLICE_DIGITS, TIME_PARTS = 3, 4096
 EPOCHS = 3
 
 
+def word_count(text: Column) -> Column:
+    """Runs of other than ASCII white space; null has 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    size = word_count(F.col(text_col))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("src"), key.alias("key"), size.alias("size"))
 
 

@@ -66,3 +66,13 @@ def test_run_gives_the_last_stage(spark):
     out = cp.run(spark, sf)
     assert out.columns[0] == "doc_id" and out.count() > 0
     assert 4 <= len(cp.STAGES) <= 5
+
+
+def test_mix_stage_with_repeated_and_null_rows(spark):
+    rows = [(1, "a b", "x", "s", 3), (1, "a b", "x", "s", 3), (1, "a b c", "x", None, 5), (None, "d e", None, "s", 3), (None, "f", "x", "s", 1), (2, None, "x", "s", None), (3, "", "x", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {}
+    for r in cp.mix_sources(spark, docs, SF).collect():
+        got[tuple(r)] = got.get(tuple(r), 0) + 1
+    assert got and all(n <= 3 * rows.count(r) for r, n in got.items()) and {r for r in got} <= {r for r in rows if r[1]}
+    assert cp.mix_sources(spark, docs.limit(0), SF).count() == 0
