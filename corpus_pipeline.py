@@ -36,9 +36,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents without words aren't taken."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = docs.join(taken, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    """Each document as often as the mix takes it; documents without words aren't taken.
+
+    Rows of the same id (or without one), source and size share their copies, rounded up, so none is
+    in the mix more than three times.
+    """
+    taken = mixing.mix(docs).groupBy("id", "src", "size").agg(F.sum("taken").alias("_all"), F.count("*").alias("_rows")).where("_all > 0")
+    taken = taken.select(F.col("id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), F.ceil(F.col("_all") / F.col("size") / F.col("_rows")).cast("int").alias("_times"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (mixing.word_count(F.col("text")) == F.col("_size"))
+    out = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select(*COLUMNS)
 
 
