@@ -49,16 +49,16 @@ def _fit(classes: DataFrame, n: int) -> tuple[int, np.ndarray]:
     return dim, spherical_kmeans(unit_rows(x / np.abs(x).max(axis=1, keepdims=True)), min(MAX_CELLS, max(1, math.ceil(n / CELL_ROWS))))
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, margin: float | None = 0.1) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, margin: float | None = None) -> DataFrame:
     """(id, n_links, component, kept) of every row.
 
     Links are pairs of vectors of cosine ``threshold`` or more, in double precision. Cells of
     spherical k-means are fitted on a bounded sample (FIT_ROWS); every vector has its nearest cell
     as home, and is a guest in each cell of a lower number whose border is within ``margin`` of it, so a
-    pair across a border meets once. Two linked vectors lie at most sqrt(2 - 2 threshold) apart, and
-    along a border's direction mostly a small part of it; margin None takes the bound that loses
-    no pair, at more guests. Cells are compared in pairs of blocks, which give out each vector's
-    count and one edge to its group's least member there, never all pairs.
+    pair across a border meets once. Two linked vectors lie at most sin(acos(threshold)) apart along
+    a border's direction; that bound, which loses no pair, is what margin None takes. A smaller margin
+    makes fewer guests and can lose links. Cells are compared in pairs of blocks, which give out each
+    vector's count and one edge to its group's least member there, never all pairs.
 
     Vectors that are null, empty, zero, or hold null, NaN or infinite components link with nothing;
     neither do vectors of different lengths. Equal vectors are compared once and count as links of

@@ -33,6 +33,22 @@ def test_exact_with_many_cells(spark, monkeypatch):
     assert got == {i: (n[i], comp[i]) for i in vectors}
 
 
+def test_production_setting_on_a_flat_hot_cluster(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    import orbitframe.llm.embeddings as e
+
+    monkeypatch.setattr(e, "CELL_ROWS", 75)
+    rng = np.random.default_rng(4)
+    directions = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    hot = rng.normal(size=64) / 8 + rng.normal(size=(300, 3)) * 0.5 @ directions
+    vectors = dict(enumerate([*hot.tolist(), *rng.normal(size=(300, 64)).tolist()]))
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    n, comp = cosine_links(vectors)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op9_embedding_near_dedup(spark, str(tmp_path)).collect()}
+    assert sum(n.values()) > 2000 and got == {i: (n[i], comp[i], comp[i] == i) for i in vectors}
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     v = {1: None, 2: [], 3: [0.0, 0.0], 4: [nan, 1.0], 5: [inf, 1.0], 6: [None, 1.0], 7: [1.0, 0.0], 8: [2.0, 0.1], 9: [1.0, 0.0], 10: [1.0, 0.0, 0.0], 11: [-1.0, 0.0], 12: [1e300, 1e299], 13: [5.0, 0.0, 0.0]}
