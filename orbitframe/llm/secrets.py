@@ -61,22 +61,27 @@ def feature_columns(word: Column, path: Column, before: Column, after: Column) -
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, position, candidate, path, before, after) of every candidate.
 
-    position counts the words of the text from 0. before is the two words in front and what of the
-    word itself comes first, after the two behind. A word that holds several candidates gives the first.
+    position counts the words of the text from 0; a word that holds several candidates gives each.
+    before is the two words in front and what of the word itself comes first, after the two behind; of
+    a word's several candidates, each is bounded by its neighbours, so what lies between two is after
+    the one and before the other, and the words around belong to the outer ones.
     Null and empty texts have none.
     """
     words = docs.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("t"))
     words = words.where(F.col("t").rlike(CANDIDATE))  # most texts hold none and are not split
     words = words.select("id", "path", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    hits = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("position"), F.regexp_extract(w, CANDIDATE, 0).alias("candidate"))), lambda x: x.candidate != "")
-    found = words.select("id", "path", "w", F.explode(hits).alias("x"))
+    all_of = lambda w: F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0))
+    hits = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("position"), all_of(w).alias("found"))), lambda x: F.size(x.found) > 0)
+    held = words.select("id", "path", "w", F.explode(hits).alias("x"))
     at = F.col("x.position")
-    begin = F.position(F.col("x.candidate"), word(at))
-    head = F.substring(word(at), F.lit(1), begin - 1)
-    tail = F.substring(word(at), begin + F.char_length("x.candidate"), F.lit(64))
-    before, after = F.concat_ws(" ", word(at - 2), word(at - 1), head), F.concat_ws(" ", tail, word(at + 1), word(at + 2))
-    return found.select("id", at.cast("long").alias("position"), F.col("x.candidate").alias("candidate"), "path", F.trim(before).alias("before"), after.alias("after"))
+    around = lambda *i: F.concat_ws(" ", *map(word, i))
+    held = held.select("id", "path", at.alias("at"), F.col("x.found").alias("found"), F.split(word(at), CANDIDATE, -1).alias("parts"), around(at - 2, at - 1).alias("front"), around(at + 1, at + 2).alias("behind"))
+    found = held.select("*", F.posexplode("found").alias("k", "candidate"))
+    head, tail = F.get("parts", F.col("k")), F.substring(F.get("parts", F.col("k") + 1), 1, 64)
+    before = F.when(F.col("k") == 0, F.concat_ws(" ", "front", head)).otherwise(head)
+    after = F.when(F.col("k") == F.size("found") - 1, F.concat_ws(" ", tail, "behind")).otherwise(tail)
+    return found.select("id", F.col("at").cast("long").alias("position"), "candidate", "path", F.trim(before).alias("before"), after.alias("after"))
 
 
 def example_findings(spark: SparkSession, n: int = 4_000) -> DataFrame:

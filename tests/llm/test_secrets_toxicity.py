@@ -17,6 +17,20 @@ def test_candidates_by_brute_force(spark):
     assert got == want and want
 
 
+def test_every_candidate_of_a_word(spark):
+    key, uuid = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "3f2b8c1e-0d4a-4c6b-9e7f-1a2b3c4d5e6f"
+    texts = [f"see https://h.io/api/v1/items/list?token={key} now", f'{{"id":"{uuid}","token":"{key}"}}', f"row {uuid},x,{key},{key} end of it"]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = sorted((r.id, r.position, r.candidate, r.before, r.after) for r in candidates(df).collect())
+    assert got == sorted([
+        (0, 2 - 1, "io/api/v1/items/list", "see https://h.", "?token="), (0, 1, key, "?token=", " now "),
+        (1, 0, uuid, '{"id":"', '","token":"'), (1, 0, key, '","token":"', '"}  '),
+        (2, 1, uuid, "row", ",x,"), (2, 1, key, ",x,", ","), (2, 1, key, ",", " end of"),
+    ])
+    scored = scan_secrets(df.where("doc_id < 2"), example_findings(spark)).collect()
+    assert {(r.id, r.candidate == key) for r in scored if r.is_secret} == {(0, True), (1, True)}
+
+
 def test_forest_on_new_findings(spark):
     found = example_findings(spark, 3000)
     model = fit(found.where(F.pmod(F.xxhash64("candidate"), F.lit(4)) != 0))
