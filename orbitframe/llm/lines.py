@@ -4,27 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orbitframe.session import read_table
+from orbitframe.session import cut_lineage, read_table
 
 SPAN = 3
 
 
 def _windows(docs: DataFrame, span: int) -> DataFrame:
-    """(d, th, h1, h2, pos, again): windows of each document; again: not its first with these lines."""
+    """(d, r, th, h1, h2, pos, again): windows of each document; again: not its first with these lines."""
     at = F.sequence(F.lit(0), F.size("lines") - span)
 
     def hashed(i):
         w = [F.get("lines", i + k) for k in range(span)]
         return F.struct(F.xxhash64(*w).alias("h1"), F.xxhash64(F.lit("second"), *w).alias("h2"), i.alias("pos"))
 
-    w = docs.where(F.size("lines") >= span).select("d", "th", F.array_sort(F.transform(at, hashed)).alias("w"))
+    w = docs.where(F.size("lines") >= span).select("d", "r", "th", F.array_sort(F.transform(at, hashed)).alias("w"))
 
     def marked(x, i):
         before = F.get("w", i - 1)
         again = (i > 0) & (before.h1 == x.h1) & (before.h2 == x.h2)
         return F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.pos.alias("pos"), F.coalesce(again, F.lit(False)).alias("again"))
 
-    return w.select("d", "th", F.inline(F.transform("w", marked)))
+    return w.select("d", "r", "th", F.inline(F.transform("w", marked)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -34,20 +34,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     windows with equal lines the first in order of (id, position) stays and the others are
     removed: the positions they cover, merged, leave the text. Each removed line has an equal one that
     stays earlier. A text of fewer lines has no window and stays as it is, as do null and empty
-    texts (n_lines 0 for null, 1 for empty). Rows of equal id, or of null ids, which come last,
-    count as one document each: they don't remove lines of one another, but each its own repeats.
+    texts (n_lines 0 for null, 1 for empty). Rows of equal id count as one document: they don't
+    remove lines of one another, but each its own repeats. Rows of null ids come last and are a document each,
+    told apart by a checkpointed row key.
     Other columns, whatever their names, stay; columns n_lines and n_removed of docs are replaced.
     A window in very many documents is counted before the shuffle, and its rows meet the count in a
     join that adaptive execution splits.
     """
     marked = docs.drop("n_lines", "n_removed").select("*", F.col(id_col).cast("long").alias("_d"), F.xxhash64(text_col).alias("_th"))
-    lines = marked.select(F.coalesce("_d", F.lit((1 << 63) - 1)).alias("d"), F.col("_th").alias("th"), F.split(text_col, "\n", -1).alias("lines"))
+    nameless = cut_lineage(marked.where("_d is null").withColumn("_r", F.monotonically_increasing_id()))
+    marked = marked.where("_d is not null").withColumn("_r", F.lit(-1).cast("long")).unionByName(nameless)
+    lines = marked.select(F.col("_d").alias("d"), F.col("_r").alias("r"), F.col("_th").alias("th"), F.split(text_col, "\n", -1).alias("lines"))
     w = _windows(lines, span)
-    shared = w.where("not again").groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
-    later = w.where("not again").join(shared, ["h1", "h2"]).where("d > first").select("d", "th", "pos")
-    later = later.union(w.where("again").select("d", "th", "pos"))
-    cover = later.groupBy("d", "th").agg(F.collect_set("pos").alias("_starts")).withColumnsRenamed({"d": "_cd", "th": "_cth"})
-    on = (F.coalesce("_d", F.lit((1 << 63) - 1)) == F.col("_cd")) & (F.col("_th") == F.col("_cth"))
+    row = F.when(F.col("d").isNull(), F.col("r"))
+    shared = w.where("not again").groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min(row).alias("first_row"), F.max(row).alias("last_row"))
+    shared = shared.where("first < last or first_row < last_row or (first is not null and first_row is not null)")
+    later = w.where("not again").join(shared, ["h1", "h2"]).where("d > first or (d is null and (first is not null or r > first_row))").select("d", "r", "th", "pos")
+    later = later.union(w.where("again").select("d", "r", "th", "pos"))
+    cover = later.groupBy("d", "r", "th").agg(F.collect_set("pos").alias("_starts")).withColumnsRenamed({"d": "_cd", "r": "_cr", "th": "_cth"})
+    on = F.col("_d").eqNullSafe(F.col("_cd")) & (F.col("_r") == F.col("_cr")) & (F.col("_th") == F.col("_cth"))
     out = marked.join(cover, on, "left").withColumn("_lines", F.split(text_col, "\n", -1))
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + span - 1))))
     out = out.withColumn("_gone", gone)
@@ -57,7 +62,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
     })
-    return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_removed", F.greatest("n_removed", F.lit(0))).drop("_d", "_th", "_cd", "_cth", "_starts", "_lines", "_gone")
+    return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_removed", F.greatest("n_removed", F.lit(0))).drop("_d", "_r", "_th", "_cd", "_cr", "_cth", "_starts", "_lines", "_gone")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

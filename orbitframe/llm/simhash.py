@@ -138,13 +138,30 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """The documents, one of each group of near-duplicates: that of the smallest id.
 
-    Rows with a null id are kept; of rows with the same id all stay or go together.
+    Rows with a null id are kept; of rows with the same id all stay or go together. For tables with
+    such rows see one_of_each_group.
     """
     found = simhash_groups(docs, id_col, text_col, width, distance)
     out = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
     return docs.join(out, docs[id_col] == F.col("_gone"), "left_anti")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """The documents, exactly one row of each group of near-duplicates, whatever the ids.
+
+    It is the first by id (null last), text hash and a checkpointed row key; rows that share an id,
+    or have none, are told apart by that key.
+    """
+    keyed = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    fps = cut_lineage(fingerprints(keyed, "_row", text_col, width))
+    linked = linked_fingerprints(fps.select("fp").distinct(), distance)
+    names = keyed.select(F.col("_row").alias("id"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_th"))
+    order = F.struct(F.col("_id").isNull().alias("late"), "_id", "_th", "id")
+    first = fps.join(names, "id").groupBy("fp").agg(F.min(order).alias("first"))
+    first = first.join(linked, "fp").groupBy("comp").agg(F.min("first").alias("first"))
+    return keyed.join(first.select(F.col("first.id").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash_groups(read_table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -76,3 +76,15 @@ def test_mix_stage_with_repeated_and_null_rows(spark):
         got[tuple(r)] = got.get(tuple(r), 0) + 1
     assert got and all(n <= 3 * rows.count(r) for r, n in got.items()) and {r for r in got} <= {r for r in rows if r[1]}
     assert cp.mix_sources(spark, docs.limit(0), SF).count() == 0
+
+
+def test_dedup_stages_with_repeated_and_null_ids(spark):
+    t, u = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, t, "x", "s", 1), (1, t, "x", "s", 1), (1, t, "y", "s", 1), (None, t, "x", "s", 1), (None, u, "x", "s", 1), (None, u, "x", "s", 1), (7, None, "x", "s", 0), (7, "", "x", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text or "") for r in cp.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, t), (None, u), (7, "")], key=repr)
+    assert cp.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+    lines = spark.createDataFrame([(None, "a\nb\nc\nd", "x", "s", 7), (None, "z\na\nb\nc", "x", "s", 7), (None, "q", "x", "s", 1)], docs.schema)
+    left = sorted(r.text for r in cp.drop_lines(spark, lines, SF).collect())
+    assert left in (["a\nb\nc\nd", "q", "z"], ["d", "q", "z\na\nb\nc"])
