@@ -345,15 +345,19 @@ def _be32(x):
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n / 18.0::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, alt from w where n < 3000")
 def parse_gpmf(spark, sf):
-    w = _written(spark, sf).where("n < 3000")
+    # A block's count of samples has 16 bits, so a job is as many DEVC blocks as it needs.
+    w = _written(spark, sf).withColumn("block", F.floor(F.col("n") / 3000))
     row = F.concat(*(_be32(F.round(F.col(c) * 10)) for c in ("lat", "lon", "alt")), F.lit("00000000" * 2))
-    p = _packed(w, row)
+    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text.alias("b")))), lambda x: x["b"]), "")
+    p = w.groupBy("job_id", "block").agg(F.count("*").alias("m"), joined("n", row).alias("parts"))
     h = lambda text: F.lit(text.encode().hex().upper())
     scal = F.concat(h("SCAL"), h("l"), F.lit("040005"), F.lit("0000000A" * 3 + "00000001" * 2))
     gps5 = F.concat(h("GPS5"), h("l"), F.lit("14"), F.lpad(F.hex("m"), 4, "0"), "parts")
     # Nested levels give their size as size 4 and a count of words.
     level = lambda key, body: F.concat(h(key), F.lit("0004"), F.lpad(F.hex((F.length(body) / 8).cast("long")), 4, "0"), body)
-    return rounded(tracks.parse_tracks(p.select("job_id", F.unhex(level("DEVC", level("STRM", F.concat(scal, gps5)))).alias("content")), "gpmf"), "ts", "lat", "lon", "alt")
+    devc = p.select("job_id", "block", level("DEVC", level("STRM", F.concat(scal, gps5))).alias("devc"))
+    files = devc.groupBy("job_id").agg(F.unhex(joined("block", F.col("devc"))).alias("content"))
+    return rounded(tracks.parse_tracks(files, "gpmf"), "ts", "lat", "lon", "alt")
 
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n / m::double * 30, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 3) as alt from w")

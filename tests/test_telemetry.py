@@ -126,3 +126,17 @@ def test_interpolated_by_bisection(spark):
             a = ps[0] if i == 0 else a
             want = tuple(x + (y - x) * f for x, y in zip(a[2:], b[2:])) if i < len(ps) else ps[-1][2:]
         assert got[j, k] == (pytest.approx(want) if want[0] is not None else want)
+
+
+def test_gpmf_query_gives_every_sample_of_a_long_job(spark, tmp_path):
+    import duckdb
+
+    from orbitframe.plans.queries import _WRITTEN, parse_gpmf
+
+    duckdb.sql(f"""copy (select i as event_id, timestamp '2024-01-01' + interval (i) second as ts, i % 40 // 39 as user_id, 'view' as event_type, i % 400 + 0.5 as value, '{{}}' as props
+        from range(8000) r(i)) to '{tmp_path}/events.parquet' (format parquet)""")
+    duckdb.sql(f"create or replace view events as select * from '{tmp_path}/events.parquet'")
+    want = duckdb.sql(f"with {_WRITTEN} select job_id, n, round(n / 18.0::double, 6), lat, lon, alt from w").fetchall()
+    got = [(r.job_id, r.seq, r.ts, r.lat, r.lon, r.alt) for r in parse_gpmf(spark, str(tmp_path)).collect()]
+    assert max(n for _, n, *_ in want) > 6000
+    assert sorted(tuple(round(float(v), 5) for v in r) for r in got) == sorted(tuple(round(float(v), 5) for v in r) for r in want)
