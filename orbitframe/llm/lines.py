@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orbitframe.session import cut_lineage, read_table
+from orbitframe.session import read_table, written_table
 
 SPAN = 3
 
@@ -36,33 +36,32 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays earlier. A text of fewer lines has no window and stays as it is, as do null and empty
     texts (n_lines 0 for null, 1 for empty). Rows of equal id count as one document: they don't
     remove lines of one another, but each its own repeats. Rows of null ids come last and are a document each,
-    told apart by a checkpointed row key.
+    told apart by a written row key. An empty table gives no rows.
     Other columns, whatever their names, stay; columns n_lines and n_removed of docs are replaced.
+    Work on a text is in proportion to its lines, however many there are or go.
     A window in very many documents is counted before the shuffle, and its rows meet the count in a
     join that adaptive execution splits.
     """
-    marked = docs.drop("n_lines", "n_removed").select("*", F.col(id_col).cast("long").alias("_d"), F.xxhash64(text_col).alias("_th"))
-    nameless = cut_lineage(marked.where("_d is null").withColumn("_r", F.monotonically_increasing_id()))
-    marked = marked.where("_d is not null").withColumn("_r", F.lit(-1).cast("long")).unionByName(nameless)
-    lines = marked.select(F.col("_d").alias("d"), F.col("_r").alias("r"), F.col("_th").alias("th"), F.split(text_col, "\n", -1).alias("lines"))
-    w = _windows(lines, span)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(f"`{text_col}`").alias("th"))
+    nameless = written_table(rows.where("d is null").withColumn("r", F.monotonically_increasing_id()))
+    rows = rows.where("d is not null").withColumn("r", F.lit(-1).cast("long")).unionByName(nameless)
+    text = F.col(f"row.`{text_col}`")
+    w = _windows(rows.select("d", "r", "th", F.split(text, "\n", -1).alias("lines")), span)
     row = F.when(F.col("d").isNull(), F.col("r"))
     shared = w.where("not again").groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min(row).alias("first_row"), F.max(row).alias("last_row"))
     shared = shared.where("first < last or first_row < last_row or (first is not null and first_row is not null)")
     later = w.where("not again").join(shared, ["h1", "h2"]).where("d > first or (d is null and (first is not null or r > first_row))").select("d", "r", "th", "pos")
     later = later.union(w.where("again").select("d", "r", "th", "pos"))
-    cover = later.groupBy("d", "r", "th").agg(F.collect_set("pos").alias("_starts")).withColumnsRenamed({"d": "_cd", "r": "_cr", "th": "_cth"})
-    on = F.col("_d").eqNullSafe(F.col("_cd")) & (F.col("_r") == F.col("_cr")) & (F.col("_th") == F.col("_cth"))
-    out = marked.join(cover, on, "left").withColumn("_lines", F.split(text_col, "\n", -1))
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + span - 1))))
-    out = out.withColumn("_gone", gone)
-    kept = F.array_join(F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumns({
-        text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept),
-        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-    })
-    return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_removed", F.greatest("n_removed", F.lit(0))).drop("_d", "_r", "_th", "_cd", "_cr", "_cth", "_starts", "_lines", "_gone")
+    cover = later.groupBy("d", "r", "th").agg(F.collect_set("pos").alias("starts")).withColumnsRenamed({"d": "cd", "r": "cr", "th": "cth"})
+    on = F.col("d").eqNullSafe(F.col("cd")) & (F.col("r") == F.col("cr")) & (F.col("th") == F.col("cth"))
+    out = rows.join(cover, on, "left").withColumn("lines", F.split(text, "\n", -1))
+    out = out.withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + span - 1)))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # a hash set, not a search for each line
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    shown = [F.when(F.col("gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*shown, count("lines").alias("n_lines"), count("gone").alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    size = word_count(F.col(text_col))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("src"), key.alias("key"), size.alias("size"))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, name_col: str | None) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+    name = F.col(f"`{name_col}`") if name_col else F.lit(None)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("src"), key.alias("key"), word_count(text).alias("size"), name.cast("long").alias("name"))
 
 
 def source_targets(sizes: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
@@ -49,23 +50,24 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, epochs: int
     return s.select("src", "rank", "source_size", target.alias("target"), "total")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Column | None = None) -> DataFrame:
-    """(id, src, size, source_size, target, taken) of every row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Column | None = None, name_col: str | None = None) -> DataFrame:
+    """(id, src, size, source_size, target, taken, name) of every row; name is the column ``name_col``, a number of its own for each row, or null.
 
     A document's size is its number of words (null: 0). Within its source documents are in order of
-    the MD5 of their id; copy e of a document finishes at (e times the source's size + the sizes
+    the MD5 of their id and text, so that rows which share an id, or have none, are spread too; copy e of a document finishes at (e times the source's size + the sizes
     up to it) / target, and starts when its predecessor finishes. Copies that start before time 1 go
     out in order of finish times, ties by source and key, until the next one would pass the
     sum of all sizes. taken is size times the copies that went out, at most 3. Each source misses its
-    target by less than its largest document. Reruns agree. Rows of the same id and size are
-    interchangeable; null ids share a key and are told apart by size. An empty table gives no rows;
-    if all sizes are 0, nothing is taken and targets are 0.
+    target by less than its largest document. Reruns agree. Rows of the same id and text are
+    interchangeable. Null and empty texts have size 0, and very long ones count whole; null sources are
+    a source. Columns besides the three may have any names and aren't read. An empty table gives no
+    rows; if all sizes are 0, nothing is taken and targets are 0.
 
     A source's running sums go over slices of its keys, so no task holds a whole source; the order of
     finish times goes over parts of time with equal numbers of words. What is summed over all
     slices or parts has at most 4,096 rows a source or in all.
     """
-    base = cut_lineage(_sized(docs, id_col, text_col, source_col).withColumn("slice", F.substring("key", 1, SLICE_DIGITS)))
+    base = cut_lineage(_sized(docs, id_col, text_col, source_col, name_col).withColumn("slice", F.substring("key", 1, SLICE_DIGITS)))
     targets = source_targets(base, weights)
     slices = base.groupBy("src", "slice").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,10 +88,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("part").orderBy("finish", "rank", "key", "n", "epoch").rowsBetween(Window.unboundedPreceding, 0)
     queued = queued.withColumn("run", F.sum("size").over(order)).join(parts.select("part", "gone"), "part")
     went = queued.where(F.col("gone") + F.col("run") <= F.col("total"))
-    went = went.select("src", "slice", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("size").alias("taken"))
-    every = rows.select("src", "slice", "n", "id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")).union(went)
-    out = every.groupBy("src", "slice", "n").agg(F.max("id").alias("id"), F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-    return out.select("id", "src", "size", "source_size", "target", "taken")
+    went = went.select("src", "slice", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("size").alias("taken"), F.lit(None).cast("long").alias("name"))
+    every = rows.select("src", "slice", "n", "id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "name").union(went)
+    out = every.groupBy("src", "slice", "n").agg(F.max("id").alias("id"), F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("name").alias("name"))
+    return out.select("id", "src", "size", "source_size", "target", "taken", "name")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with base as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as key,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
   from documents
 ),

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL}
+    return {"op5_line_dedup": lines.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_embedding_near_dedup": embeddings.OP9_SQL}

@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orbitframe.session import cut_lineage, read_table
 
-#: A candidate word holds a run of 16 to 512 key characters with a digit or 16 capitals in it.
-CANDIDATE = r"(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16})[A-Za-z0-9+/_\-]{16,512}={0,2}"
+#: What is looked at: dotted tokens, and runs of 16 key characters or more, of any length. A run needs a digit or 16 capitals (STRONG).
+CANDIDATE = r"(?:[A-Za-z0-9_\-]{10,}+\.){2,}+[A-Za-z0-9_\-]{10,}+|[A-Za-z0-9+/_\-]{16,}+={0,2}"
+STRONG = r"[0-9]|[A-Z]{16}"
+#: Names of secrets, whose assigned values are looked at from 6 characters on.
+NAMES = r"(?i:password|passwd|pwd|passphrase|secret|token|api_key|apikey|access_key|credential)"
+ASSIGNED = rf"{CANDIDATE}|(?<={NAMES}[\"']{{0,1}}[=:][\"']{{0,1}})[^\x20\x09-\x0D\"',;&<>]{{6,}}+"
+VALUE = rf"{CANDIDATE}|[^\x20\x09-\x0D\"',;&<>]{{6,}}+"
+NAMED = rf"{NAMES}[\"']{{0,1}}[=:]{{1,2}}$"
 #: Words that parts of a harmless candidate consist of.
 DICTIONARY = (
     "the", "and", "that", "this", "with", "from", "test", "example", "sample", "demo", "dummy", "user", "name", "file", "path", "page", "index", "image",
@@ -61,59 +67,89 @@ def feature_columns(word: Column, path: Column, before: Column, after: Column) -
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, position, candidate, path, before, after) of every candidate.
 
-    position counts the words of the text from 0; a word that holds several candidates gives each.
-    before is the two words in front and what of the word itself comes first, after the two behind; of
-    a word's several candidates, each is bounded by its neighbours, so what lies between two is after
-    the one and before the other, and the words around belong to the outer ones.
-    Null and empty texts have none.
+    Candidates are dotted tokens, runs of 16 key characters or more that hold a digit or 16 capitals, and
+    values of 6 characters or more that are assigned to the name of a secret (password=..., token: ...). None is
+    cut, however long. position counts the words of the text from 0; a word that holds several candidates
+    gives each. before is the two words in front and what of the word itself comes first, after the two
+    behind; of a word's several candidates, each is bounded by its neighbours, so what lies between two is
+    after the one and before the other, and the words around belong to the outer ones.
+
+    Null and empty texts have none; null ids and paths stay, repeated rows are scanned each. Columns
+    besides the three may have any names. An empty table gives no rows.
     """
-    words = docs.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("t"))
-    words = words.where(F.col("t").rlike(CANDIDATE))  # most texts hold none and are not split
+    words = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").alias("t"))
+    words = words.where(F.col("t").rlike(rf"{CANDIDATE}|{NAMES}[\"']{{0,1}}\s{{0,1}}[=:]"))  # most texts hold none and are not split
     words = words.select("id", "path", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    all_of = lambda w: F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0))
-    hits = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("position"), all_of(w).alias("found"))), lambda x: F.size(x.found) > 0)
-    held = words.select("id", "path", "w", F.explode(hits).alias("x"))
+    found = lambda w, pattern: F.regexp_extract_all(w, F.lit(pattern), F.lit(0))
+    # The word before names a secret and ends in a sign of assignment, or is that sign.
+    named = lambda i: word(i - 1).rlike(NAMED) | (word(i - 1).isin("=", ":", ":=") & word(i - 2).rlike(rf"{NAMES}[\"']{{0,1}}$"))
+    worth = lambda w, i: w.rlike(STRONG) | w.rlike(rf"{NAMES}[\"']{{0,1}}[=:]") | named(i)
+
+    def hit(w: Column, i: Column) -> Column:
+        value = named(i)
+        return F.struct(i.alias("position"), value.alias("value"), F.when(value, found(w, VALUE)).otherwise(found(w, ASSIGNED)).alias("found"))
+
+    worthy = F.filter(F.transform("w", lambda w, i: F.when(worth(w, i), hit(w, i))), lambda x: x.isNotNull() & (F.size(x.found) > 0))
+    held = words.select("id", "path", "w", F.explode(worthy).alias("x"))
     at = F.col("x.position")
     around = lambda *i: F.concat_ws(" ", *map(word, i))
-    held = held.select("id", "path", at.alias("at"), F.col("x.found").alias("found"), F.split(word(at), CANDIDATE, -1).alias("parts"), around(at - 2, at - 1).alias("front"), around(at + 1, at + 2).alias("behind"))
-    found = held.select("*", F.posexplode("found").alias("k", "candidate"))
+    parts = F.when(F.col("x.value"), F.split(word(at), VALUE, -1)).otherwise(F.split(word(at), ASSIGNED, -1))
+    held = held.select("id", "path", at.alias("at"), F.col("x.value").alias("value"), F.col("x.found").alias("found"), parts.alias("parts"), around(at - 2, at - 1).alias("front"), around(at + 1, at + 2).alias("behind"))
+    rows = held.select("*", F.posexplode("found").alias("k", "candidate"))
     head, tail = F.get("parts", F.col("k")), F.substring(F.get("parts", F.col("k") + 1), 1, 64)
+    short = F.col("value") | head.rlike(rf"{NAMES}[\"']{{0,1}}[=:][\"']{{0,1}}$")
     before = F.when(F.col("k") == 0, F.concat_ws(" ", "front", head)).otherwise(head)
     after = F.when(F.col("k") == F.size("found") - 1, F.concat_ws(" ", tail, "behind")).otherwise(tail)
-    return found.select("id", F.col("at").cast("long").alias("position"), "candidate", "path", F.trim(before).alias("before"), after.alias("after"))
+    return rows.where(F.col("candidate").rlike(STRONG) | short).select("id", F.col("at").cast("long").alias("position"), "candidate", "path", F.trim(before).alias("before"), after.alias("after"))
 
 
 def example_findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
-    """Labelled findings (candidate, path, before, after, label) made by rule: ``n`` rows, half of them secrets.
+    """Labelled findings (candidate, path, before, after, label) made by rule: ``n`` rows, 9 of 20 of them secrets.
 
-    Secrets: access key ids, hexadecimal and base64 strings after secret words, with and without
-    quotes, and bare key ids among prose. Others: numbers such as cards and orders, commit and check sums,
-    uuids, versions, place holders, identifiers of dictionary words.
+    Secrets: access key ids, hexadecimal and base64 strings and short mixed values after names of secrets,
+    with and without quotes, dotted tokens, and bare key ids among prose. Others: numbers such as cards and
+    orders, commit and check sums, uuids, versions, place holders, identifiers of dictionary words, prose
+    after names of secrets. Paths and following words vary for both labels: others lie in test
+    and documentation paths and are followed by harmless words more often, secrets are by names of secrets.
     """
     digest = lambda k: F.sha2(F.concat(F.lit(k), F.col("i").cast("string")), 512)
-    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("i", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
-    upper = F.substring(F.translate(F.upper(F.base64(F.unhex(digest("u")))), "+/=", "XYZ"), 1, 16)
+    among = lambda k, n: F.pmod(F.xxhash64("i", F.lit(k)), F.lit(n))
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (among(k, len(words)) + 1).cast("int"))
+    raw = lambda k: F.translate(F.base64(F.unhex(digest(k))), "\r\n", "")
+    upper = F.substring(F.translate(F.upper(raw("u")), "+/=", "XYZ"), 1, 16)
     hexa = lambda size: F.substring(digest("h"), F.lit(1), size)
-    b64 = F.substring(F.base64(F.unhex(digest("b"))), 1, 40)
+    b64 = F.substring(raw("b"), 1, 40)
+    plain = lambda k: F.translate(raw(k), "+/=", "xyz")
+    short = F.concat(F.substring(plain("s"), F.lit(1), (among("l", 7) + 5).cast("int")), F.substring(F.translate(digest("d"), "abcdef", "123456"), 1, 2))
+    dotted = F.concat(F.lit("eyJ"), F.substring(plain("j"), 1, 17), F.lit("."), F.substring(plain("k"), 1, 60), F.lit("."), F.substring(plain("m"), 1, 43))
     number = F.substring(F.translate(digest("n"), "abcdef", "123456"), 1, 16)
     uuid = F.concat_ws("-", *(F.substring(digest("g"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     named = F.concat_ws("_", pick(DICTIONARY, "a"), pick(DICTIONARY, "b"), pick(DICTIONARY, "c"), F.substring(number, 1, 4))
     shouted = F.upper(F.concat(pick(DICTIONARY, "a"), pick(DICTIONARY, "b"), pick(DICTIONARY, "c"), pick(DICTIONARY, "d"), pick(DICTIONARY, "e")))
     prose = ("the", "of", "and, in", "is that", "for the", "est de la", "und der", "que los")
+    said = ("required", "optional", "incorrect", "settings", "changed", "forgotten", "expired", "missing", "please", "another", "length", "policy", "strength", "rotation")
     quiet, loud, calm = pick(prose, "p"), pick(SECRET_WORDS[:6], "s"), pick(HARMLESS_WORDS, "q")
-    sizes = F.element_at(F.array(*map(F.lit, (16, 18, 20, 24, 32, 40, 64))), (F.pmod(F.xxhash64("i", F.lit("z")), F.lit(7)) + 1).cast("int"))
+    sizes = F.element_at(F.array(*map(F.lit, (16, 18, 20, 24, 32, 40, 64))), (among("z", 7) + 1).cast("int"))
+    spoken = lambda *mark: F.concat(quiet, F.lit(" "), loud, *map(F.lit, mark))
     made = [
         (1, F.concat(F.lit("AKIA"), upper), quiet), (1, F.concat(F.lit("AKIA"), upper), F.concat(quiet, F.lit(" key: "))),
-        (1, hexa(sizes), F.concat(loud, F.lit("="))), (1, hexa(sizes), F.concat(quiet, F.lit(" "), loud, F.lit(' = "'))),
-        (1, b64, F.concat(loud, F.lit(": "))), (1, b64, F.concat(quiet, F.lit(" "), loud, F.lit("='"))),
-        (0, number, quiet), (0, number, F.concat(calm, F.lit(" "))), (0, hexa(F.lit(40)), F.concat(calm, F.lit(" "))), (0, uuid, F.concat(calm, F.lit("="))), (0, named, quiet), (0, named, F.concat(loud, F.lit("="))), (0, shouted, quiet), (0, shouted, F.lit("")),
+        (1, hexa(sizes), F.concat(loud, F.lit("="))), (1, hexa(sizes), spoken(' = "')), (1, b64, F.concat(loud, F.lit(": "))), (1, b64, spoken("='")),
+        (1, short, F.concat(loud, F.lit("="))), (1, short, spoken(':')), (1, dotted, spoken(" ")),
+        (0, number, quiet), (0, number, F.concat(calm, F.lit(" "))), (0, hexa(F.lit(40)), F.concat(calm, F.lit(" "))), (0, hexa(sizes), F.concat(calm, F.lit("="))), (0, uuid, F.concat(calm, F.lit("="))), (0, uuid, quiet),
+        (0, named, quiet), (0, named, F.concat(loud, F.lit("="))), (0, shouted, quiet), (0, pick(said, "w"), spoken(":")), (0, pick(DICTIONARY, "a"), F.concat(loud, F.lit("="))),
     ]
     rows = spark.range(n).withColumnRenamed("id", "i").withColumn("kind", (F.col("i") % len(made)).cast("int"))
     shown = F.array(*(F.struct(c.alias("candidate"), b.alias("before"), F.lit(float(y)).alias("label")) for y, c, b in made))
     rows = rows.select("i", F.element_at(shown, F.col("kind") + 1).alias("x"))
-    path = F.concat(F.lit("src"), (F.col("i") % 20).cast("string"))
-    return rows.select("x.candidate", path.alias("path"), "x.before", pick(prose, "e").alias("after"), "x.label")
+    places = ("src/app", "config/prod", "src", "deploy", "notebooks", "web")
+    apart = ("tests/unit", "docs/api", "fixtures", "examples", "vendor/lib", "mocks")
+    odd = F.when(F.col("x.label") == 1, among("path", 8) == 0).otherwise(among("path", 8) < 5)
+    path = F.concat(F.when(odd, pick(apart, "x")).otherwise(pick(places, "x")), F.lit("/"), among("f", 90).cast("string"))
+    turn = among("after", 10)
+    calmed = F.when(F.col("x.label") == 1, turn == 0).otherwise(turn < 4)
+    behind = F.when(calmed, F.concat(calm, F.lit(" "), quiet)).when((F.col("x.label") == 1) & (turn > 6), F.concat(F.lit('" '), pick(SECRET_WORDS, "e"))).when(turn == 9, pick(SECRET_WORDS, "e")).otherwise(pick(prose, "e"))
+    return rows.select("x.candidate", path.alias("path"), "x.before", behind.alias("after"), "x.label")
 
 
 def fit(findings: DataFrame, most: int = 50_000) -> RandomForestClassificationModel:
@@ -131,7 +167,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", t
     """(id, position, candidate, before, score, is_secret) of every candidate of every text.
 
     score is the forest's share of votes for a secret; is_secret: it is ``threshold`` or more. Null ids
-    and paths, repeated rows and ties stay; null and empty texts and an empty table give no rows.
+    and paths, repeated rows and ties stay; null and empty texts and an empty table give no rows; texts
+    and candidates of any length are read whole. Other columns, whatever their names, aren't read.
     """
     model = fit(findings)
     found = candidates(docs, id_col, text_col, path_col)

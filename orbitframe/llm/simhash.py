@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orbitframe.llm.batches import bound_batches, text_parts
 from orbitframe.llm.components import connected_components
-from orbitframe.session import cut_lineage, read_table
+from orbitframe.session import cut_lineage, read_table, written_table
 
 #: Bit ranges (shift, width) of the three fingerprint segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -48,9 +49,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t, width) for _, part in text_parts(b, 1) for t in part), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return src.mapInArrow(run, "id long, fp long")
 
@@ -149,17 +151,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """The documents, exactly one row of each group of near-duplicates, whatever the ids.
 
-    It is the first by id (null last), text hash and a checkpointed row key; rows that share an id,
-    or have none, are told apart by that key.
+    It is the first by id (null last), text hash and a written row key; rows that share an id,
+    or have none, are told apart by that key. Null and empty texts are a group; repeated rows go but
+    one. All columns stay, whatever their names; an empty table gives no rows.
     """
-    keyed = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    fps = cut_lineage(fingerprints(keyed, "_row", text_col, width))
+    keyed = written_table(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("key")))
+    names = keyed.select("key", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    fps = cut_lineage(fingerprints(names, "key", "text", width))
     linked = linked_fingerprints(fps.select("fp").distinct(), distance)
-    names = keyed.select(F.col("_row").alias("id"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_th"))
-    order = F.struct(F.col("_id").isNull().alias("late"), "_id", "_th", "id")
-    first = fps.join(names, "id").groupBy("fp").agg(F.min(order).alias("first"))
+    order = F.struct(F.col("id").isNull().alias("late"), "id", "th", "key")
+    first = fps.select(F.col("id").alias("key"), "fp").join(names.select("key", "id", F.xxhash64("text").alias("th")), "key").groupBy("fp").agg(F.min(order).alias("first"))
     first = first.join(linked, "fp").groupBy("comp").agg(F.min("first").alias("first"))
-    return keyed.join(first.select(F.col("first.id").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return keyed.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from orbitframe.llm.batches import bound_batches, text_parts
 from orbitframe.session import cut_lineage, read_table
 
 #: Labelled rows that are used at most (those of the least hashes), and words the lexicon learns at most.
@@ -31,62 +32,103 @@ FEATURES = (
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
 _LOOSE = re.compile(r"[^\W\d_][013457@$!|€]+[^\W\d_]|\b[013457@$|€]+[^\W\d_]")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?:\b[^\W\d_][ .*\-_]){3,}[^\W\d_]\b")
+_DISGUISE = re.compile(r"[013457@$!|€]")
+_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}")
+_SECOND = frozenset(SECOND_PERSON)
+
+
+class Lexicon(dict):
+    """What a lower-case word says: (weight, weight of its start, second person, single letter), or None for nothing.
+
+    weights has words, and word starts of 4 or 5 letters written with a trailing star. Words once seen are
+    kept, a bounded number of them.
+    """
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[float, float, bool, bool] | None:
+        get = self.weights.get
+        start = max(get(word[:4] + "*", 0.0), get(word[:5] + "*", 0.0)) if len(word) > 4 else 0.0
+        said = (get(word, 0.0), start, word in _SECOND, len(word) == 1)
+        said = said if any(said) else None
+        if len(self) < 1 << 17:
+            self[word] = said
+        return said
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
+def _disguised(low: str, weights: dict[str, float]) -> int:
+    """Tokens that are a word of the lexicon once digits and signs that stand for letters are read as these."""
+    if not _DISGUISE.search(low):
+        return 0
+    n = 0
+    for token in low.split():
+        if not token.isalpha() and _LOOSE.search(token := token.strip("*$%&#.,;:!?\"'()")):
+            n += weights.get("".join(c for c in token.translate(LEET) if c.isalpha()), 0.0) > 0
+    return n
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
     """The dense features of a text, in the order of FEATURES; of an empty text all are 0.
 
-    lexicon: weights of lower-case words, and of word starts of 4 or 5 letters written with a
-    trailing star.
+    Work is in proportion to the text's length.
     """
     if not text:
         return [0.0] * len(FEATURES)
     low = text.lower()
     words = _WORD.findall(low)
     n, size = max(1, len(words)), len(text)
-    weights = [lexicon.get(w, 0.0) for w in words]
-    starts = [max(lexicon.get(w[:4] + "*", 0.0), lexicon.get(w[:5] + "*", 0.0)) if len(w) > 4 else 0.0 for w in words]
-    at = [i for i, x in enumerate(weights) if x > 0]
-    second = [i for i, w in enumerate(words) if w in _SECOND]
-    near = sum(bool(second) and bool(np.abs(_as_array(second) - i).min() <= NEAR) for i in at)
-    disguised = 0
-    if _LOOSE.search(low):
-        for token in _TOKEN.findall(low):
-            token = token.strip("*$%&#.,;:!?\"'()")
-            if _LOOSE.search(token):
-                plain = "".join(c for c in token.translate(LEET) if c.isalpha())
-                disguised += lexicon.get(plain, 0.0) > 0
-    spaced = _SPACED.findall(low)
+    said = [(i, x) for i, x in enumerate(map(lexicon.__getitem__, words)) if x]
+    hits = [(i, x[0]) for i, x in said if x[0] > 0]
+    starts = [x[1] for _, x in said if x[1] > 0]
+    second = [i for i, x in said if x[2]]
+    near = 0
+    if hits and second:
+        at, you = np.array([i for i, _ in hits]), np.array([-NEAR - 1, *second, len(words) + NEAR])
+        after = np.searchsorted(you, at)
+        near = int(np.count_nonzero((you[after] - at <= NEAR) | (at - you[after - 1] <= NEAR)))
+    single = np.array([i for i, x in said if x[3]])
+    spaced = np.count_nonzero((single[3:] - single[:-3] == 3)) if len(single) > 3 else 0
     letters = sum(map(len, words)) or 1
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+    codes, plain = _codes(text), _codes(low)
+    capitals = int(np.count_nonzero(codes != plain)) if len(codes) == len(plain) else sum(map(str.isupper, text))
+    tripled = plain[2:][(plain[2:] == plain[1:-1]) & (plain[2:] == plain[:-2])]
+    repeats = int(np.count_nonzero((tripled >= 97) & (tripled != 0xD7) & (tripled != 0xF7) & ((tripled <= 122) | (tripled >= 0xC0))))
     marks = size - letters - sum(map(text.count, " \n\t"))
+    disguised = _disguised(low, lexicon.weights)
+    weights = [x for _, x in hits]
     return [
-        math.log1p(len(words)), len(at) / n, math.log1p(len(at)), sum(weights) / n, max(weights, default=0.0), len(second) / n, float(near), near / n,
-        sum(x > 0 for x in starts) / n, max(starts, default=0.0), float(disguised), disguised / n, capitals / letters, sum(w.isupper() and len(w) > 1 for w in text.split()) / n,
-        text.count("!") / n, text.count("?") / n, marks / size, sum(map(text.count, "*#$%&@")) / n, len(_REPEAT.findall(low)) / n, float(len(spaced)),
+        math.log1p(len(words)), len(hits) / n, math.log1p(len(hits)), sum(weights) / n, max(weights, default=0.0), len(second) / n, float(near), near / n,
+        len(starts) / n, max(starts, default=0.0), float(disguised), disguised / n, capitals / letters, len(_CAPITALS.findall(text)) / n,
+        text.count("!") / n, text.count("?") / n, marks / size, sum(map(text.count, "*#$%&@")) / n, repeats / n, float(spaced),
     ]
 
 
-_SECOND = frozenset(SECOND_PERSON)
+def with_features(df: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """df's other columns and x array<double>, the features of its column text; a row in, a row out."""
+    names, at = df.columns, df.columns.index("text")
+    names.pop(at)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(lexicon)
+        for b in batches:
+            x = [features(t or "", known) for _, part in text_parts(b, at) for t in part]
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(np.array(x, float).ravel()))
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), x], names=[*names, "x"])
 
-def _as_array(x: list[int]) -> np.ndarray:
-    return np.array(x)
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", x array<double>")
 
 
 def text_features(df: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """(id, label, x array<double>) of df's id, label and text; a row in, a row out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [features(t.as_py() or "", lexicon) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "label", "x"])
-
-    return df.select("id", "label", "text").mapInArrow(run, "id long, label double, x array<double>")
+    """(id, label, x array<double>) of df's id, label and text."""
+    return with_features(df.select("id", "label", "text"), lexicon)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -132,16 +174,8 @@ class ToxicityModel:
         if self.trees is None:
             return docs.where(F.lit(self.prior < threshold))
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        rows = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        kind = rows.schema["row"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = [features(t.as_py(), lexicon) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
-
-        lexicon = self.lexicon
-        m = self.trees.transform(rows.mapInArrow(run, f"row {kind}, x array<double>").withColumn("features", array_to_vector("x")))
+        rows = with_features(docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), self.lexicon)
+        m = self.trees.transform(rows.select("row", array_to_vector("x").alias("features")))
         m = m.select("row", vector_to_array("rawPrediction")[1].alias("margin"))
         return self._scored(m).where(F.col("score") < threshold).select("row.*")
 
