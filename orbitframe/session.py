@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared checkpoint folder: smaller than a checkpoint where rows hold texts."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
