@@ -2,54 +2,123 @@
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession, functions as F
 
 from orbitframe.functions import geometry, naming, raster
-from orbitframe.operators import frames as fr, telemetry
+from orbitframe.operators import detections as det, frames as fr, telemetry
 from orbitframe.plans import settings
 from orbitframe.sources import media, sinks, tracks
 
 
-def located(frames, files):
-    """frames with lat, lon and alt from the .gpx file of the same folder and stem; null without one.
+#: Files that are read: images and videos, and what telemetry comes from.
+MEDIA, PLACES = "*.{[pP][nN][gG],[yY]4[mM]}", "*.{[gG][pP][xX],[sS][rR][tT],[mM][pP]4,[mM][oO][vV]}"
+FORMATS = {"png": "png", "tiff": "tif", "tif": "tif"}
+
+
+def read_files(spark: SparkSession, folder: str, glob: str):
+    """Paths and contents of a folder's files of these suffixes; others aren't opened. A single file is read whatever its name."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not re.search(r"\.[^./]+$", folder):
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(folder)
+
+
+def samples_of(files, altitude_mode: str):
+    """Samples of each stem from its .gpx file, else its .srt file, else the first telemetry track of its container."""
+    key = F.xxhash64(F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))).alias("job_id")
+    of = lambda *suffix: files.where(naming.suffix(F.col("path")).isin(*suffix)).select(key, "content")
+    boxes = media.container_tracks(files.where(naming.suffix(F.col("path")).isin("mp4", "mov")).select("path", "content"), payloads=True)
+    streams = boxes.select(key, F.col("path").alias("media_id"), "kind", "tag", "stream_index", F.lit(0).alias("samples"), "duration", "payload")
+    parsed = [tracks.parse_tracks(of("gpx"), "gpx"), tracks.parse_srt(of("srt"), altitude_mode), tracks.container_samples(telemetry.chosen_tracks(streams))]
+    every = None
+    for rank, part in enumerate(parsed):
+        part = telemetry.sanitized(part).withColumn("rank", F.lit(rank))
+        every = part if every is None else every.unionByName(part)
+    best = every.groupBy(F.col("job_id").alias("best_job")).agg(F.min("rank").alias("best"))
+    return every.join(best, (F.col("job_id") == F.col("best_job")) & (F.col("rank") == F.col("best"))).drop("rank", "best", "best_job")
+
+
+def located(frames, samples):
+    """frames with lat, lon and alt from samples of the same folder and stem; null without any.
 
     Only keys and times go through the windows; images meet their places in one join.
     """
     key = F.xxhash64(F.lower(F.regexp_replace("path", r"\.[^./]*$", "")))
-    gpx = files.where(naming.suffix(F.col("path")) == "gpx").select(key.alias("job_id"), "content")
     times = frames.select(key.alias("job_id"), "path", "frame_idx", fr.frame_time(F.col("frame_idx"), F.col("fps")).alias("t"))
-    places = telemetry.interpolated(times, telemetry.sanitized(tracks.parse_tracks(gpx, "gpx")))
+    places = telemetry.interpolated(times, samples)
     return frames.join(places.select("path", "frame_idx", "lat", "lon", "alt"), ["path", "frame_idx"], "left")
 
 
+def detected(looks, s: dict):
+    """looks with ai_action and mask from the table of detections in the settings; without one all pass."""
+    mode = {settings.AI_SKIP: "skip_frame", settings.AI_MASK: "generate_mask"}.get(s["ai_mode"])
+    if mode is None or not s.get("detections"):
+        return looks.withColumns({"ai_action": F.lit("pass"), "mask": F.lit(None).cast(raster.IMAGE)})
+    spark, on = looks.sparkSession, ["path", "frame_idx", "name"]
+    custom = [k for k, name in enumerate(det.COCO) if name in {x.strip().lower() for x in s["ai_custom_classes"].split(",")}]
+    wanted = sorted({k for c in det.PRESETS if s[f"ai_detect_{c}"] for k in det.PRESETS[c]} | set(custom)) or [0]
+    found = det.confident(spark.read.parquet(s["detections"]), wanted, float(s["ai_confidence"]))
+    local = lambda d: d.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    found, looks = local(found), local(looks)
+    scope = det.face_scope(F.lit(",".join(s["ai_mask_cameras"]))) if s["ai_mask_cameras"] else None
+    looks = det.outcomes(looks, found.withColumn("has_mask", F.col("prob").isNotNull()), on, mode, None if scope is None else det.in_scope(F.col("name"), scope))
+    looks = looks.where("ai_action <> 'drop'")
+    return det.with_table_masks(looks, found.select(*on, "height", "width", "prob"), on, bool(s["ai_invert_mask"]), bool(s["feather_mask"]))
+
+
 def extract(spark: SparkSession, folder: str, s: dict):
-    """The manifest of views written for the PNG images and raw videos under a folder, by resolved settings."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    frames = media.read_frames(files.where(F.lower("path").rlike(r"\.(png|y4m)$"))).where("error is null")
-    step = fr.interval_step(F.lit(float(s["interval_value"])), F.lit(s["interval_unit"]), F.col("fps"))
-    frames = fr.sampled(frames, step)
+    """The manifest (path, length, ok, error) of views and masks written for the PNG images and raw videos under a folder.
+
+    A file that can't be read is a row of its own with the error and ends nothing else.
+    """
+    files = read_files(spark, folder, MEDIA)
+    every = media.read_frames(files, interval=(float(s["interval_value"]), s["interval_unit"]))
+    failed = every.where("error is not null").select("path", F.lit(0).cast("long").alias("length"), F.lit(False).alias("ok"), "error")
+    frames = every.where("error is null")
     if s["adaptive_mode"]:
         frames = fr.motion_keyframes(frames, float(s["adaptive_threshold"]))
     place = ("lat", "lon", "alt") if s["export_telemetry"] else ()
     if place:
-        frames = located(frames, files)
+        frames = located(frames, samples_of(read_files(spark, folder, PLACES), s["altitude_mode"]))
     if s["is_360"]:
         views = geometry.generate_views(spark, int(s["camera_count"]), float(s["pitch_offset"]), s["layout_mode"])
         looks = raster.reproject(frames, geometry.active_views(views, s.get("active_cameras")), int(s["resolution"]), float(s["fov"]), s["interpolation_mode"] == "lanczos")
     else:
         looks = frames.withColumns({"name": F.lit("flat"), "view_idx": F.lit(0), "view_image": F.col("image")})
+    looks = looks.drop("image")
     if s["blur_filter_enabled"]:
         looks = raster.with_image_column(looks, "score", "double", raster.blur_score, "view_image")
         floor = float(s["blur_threshold"])
         looks = fr.smart_blur(looks, floor, job="path") if s["smart_blur_enabled"] else fr.blur_floor(looks, floor)
     if s["sharpening_enabled"]:
         looks = raster.with_image_column(looks.withColumnRenamed("view_image", "_plain"), "view_image", raster.IMAGE, lambda px: None if px is None else raster.sharpen(px, float(s["sharpening_strength"])), "_plain").drop("_plain")
-    image, _ = naming.output_names(s["naming_mode"], naming.stem(F.col("path")), F.col("frame_idx"), F.col("name"), "png", s["image_pattern"], s["mask_pattern"])
-    local = F.regexp_replace("path", "^file:/+", "/")
-    looks = looks.select(naming.output_dir(local, s["custom_output_dir"]).alias("output_dir"), image.alias("image_name"), "view_image", *place)
-    return sinks.write_files(sinks.encoded(looks))
+    looks = detected(looks, s)
+    ext = FORMATS.get(s["output_format"].lower(), "png")
+    image, mask = naming.output_names(s["naming_mode"], naming.stem(F.col("path")), F.col("frame_idx"), F.col("name"), ext, s["image_pattern"], s["mask_pattern"])
+    folder_of = naming.output_dir(F.regexp_replace("path", "^file:/+", "/"), F.lit(s["custom_output_dir"] if os.path.isdir(s["custom_output_dir"] or "") else ""))
+    looks = looks.select(folder_of.alias("output_dir"), image.alias("image_name"), mask.alias("mask_name"), "view_image", "mask", *place)
+    done = sinks.write_files(sinks.encoded(looks.drop("mask", "mask_name"), ext=ext))
+    if s["ai_mode"] == settings.AI_MASK and s.get("detections"):
+        masks = looks.where("mask is not null").select("output_dir", F.col("mask_name").alias("image_name"), F.col("mask").alias("view_image"))
+        done = done.unionByName(sinks.write_files(sinks.encoded(masks)))
+    return done.unionByName(failed)
+
+
+def refused(args: dict, s: dict) -> str | None:
+    """Why settings can't be carried out, or None. Nothing that is asked for is left out silently."""
+    form = (args.get("format") or s["output_format"]).lower()
+    if args.get("format") and form not in FORMATS:
+        return f"--format {args['format']}: png and tiff are written; other formats need an encoder that isn't here"
+    if args.get("quality") is not None:
+        return "--quality: it is for jpg, which isn't written"
+    if s["altitude_mode"] not in ("absolute", "relative"):
+        return f"--altitude-mode {s['altitude_mode']}: absolute or relative"
+    return None
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -65,7 +134,19 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     args["active_cameras"] = geometry.parse_active(args["active_cameras"])
     args["custom_output_dir"] = args.pop("output")
-    done = extract(SparkSession.builder.getOrCreate(), folder, settings.resolved(config, args))
+    s = settings.resolved(config, args) | {"detections": args["detections"] or config.get("detections")}
+    if why := refused(args, s):
+        print(why, file=sys.stderr)
+        return 1
+    if s["ai_mode"] != settings.AI_NONE and not s["detections"]:
+        print("no --detections table: views pass as without a detector", file=sys.stderr)
+    try:
+        done = extract(SparkSession.builder.getOrCreate(), folder, s)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        print(f"input not found: {folder}", file=sys.stderr)
+        return 1
     counts = done.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed")).first()
     print(f"{counts.ok} written, {counts.failed} failed")
     return 0 if not counts.failed else 2

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+#: Rows of a map that is broadcast, at most.
+MAX_MAP = 65_536
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 
 
@@ -143,6 +145,42 @@ def dense_flow(prev: np.ndarray, cur: np.ndarray, scale: float = 0.5, levels: in
     return flow
 
 
+def motion_input(img: np.ndarray | None, width: int = 256, height: int = 144) -> np.ndarray | None:
+    """The small gray image that motion is measured on."""
+    return None if img is None else np.rint(resize(gray(img), width, height)).astype(np.uint8)[..., None]
+
+
+def area_resize(img: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Each pixel the mean of the source area it covers, with parts of source pixels by their share."""
+
+    def shares(n: int, m: int) -> np.ndarray:
+        edges = np.arange(m + 1) * (n / m)
+        at = np.arange(n)
+        return np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None) / (n / m)
+
+    out = np.einsum("yh,hw...,xw->yx...", shares(img.shape[0], height), img.astype(float), shares(img.shape[1], width))
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def preview(img: np.ndarray | None, yaw: float, pitch: float, roll: float, fov: float, size: int = 1024, widest: int = 4096) -> np.ndarray | None:
+    """One view for the eye: sources wider than ``widest`` are scaled down by area; beyond the source is black, not wrapped."""
+    if img is None:
+        return None
+    if img.shape[1] > widest:
+        img = area_resize(img, widest, max(1, int(img.shape[0] * widest / img.shape[1])))
+    return remap(img, *view_map(img.shape[0], img.shape[1], size, size, fov, yaw, pitch, roll), wrap=False)
+
+
+def thumbnail(img: np.ndarray | None, size: int = 80) -> np.ndarray | None:
+    """The centre square, scaled to size x size."""
+    if img is None or not img.size:
+        return None
+    h, w = img.shape[:2]
+    n = min(h, w)
+    y, x = (h - n) // 2, (w - n) // 2
+    return np.rint(resize(img[y : y + n, x : x + n], size, size)).astype(np.uint8)
+
+
 def motion_score(prev: np.ndarray | None, cur: np.ndarray | None, width: int = 256, height: int = 144) -> float:
     """Mean flow magnitude of two frames scaled to width x height; None gives 0."""
     if prev is None or cur is None:
@@ -166,8 +204,11 @@ def view_map(src_h: int, src_w: int, height: int, width: int, fov: float, yaw: f
     return ((theta / (2 * math.pi) + 0.5) * src_w).astype(np.float32), ((phi / math.pi + 0.5) * src_h).astype(np.float32)
 
 
-def remap(img: np.ndarray, u: np.ndarray, v: np.ndarray, lanczos: bool = False) -> np.ndarray:
-    """Gather of img at (u, v), wrapped on both axes; bilinear or 8-tap Lanczos; rounded for bytes."""
+def remap(img: np.ndarray, u: np.ndarray, v: np.ndarray, lanczos: bool = False, wrap: bool = True) -> np.ndarray:
+    """Gather of img at (u, v), wrapped on both axes or black beyond them; bilinear or 8-tap Lanczos; rounded for bytes."""
+    if not wrap:  # a black frame as wide as the taps reach; what lies further out is in it too
+        img = np.pad(img, [(5, 5), (5, 5)] + [(0, 0)] * (img.ndim - 2))
+        u, v = np.clip(u + 5, 0, img.shape[1] - 1), np.clip(v + 5, 0, img.shape[0] - 1)
     h, w = img.shape[:2]
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
     fx, fy = (u - x0).astype(float), (v - y0).astype(float)
@@ -257,8 +298,27 @@ def laplacian_sql(df: DataFrame, flat: str, width: int, height: int, out: str =
     return laps.withColumn(out, var).drop("_lap", "_mean")
 
 
+def dilated_sql(df: DataFrame, flat: str, width: int, height: int, size: int = 3) -> DataFrame:
+    """df with the flat raster replaced by the maximum over size x size windows, inside the row: no row for each pixel, no shuffle."""
+    lo, hi = size // 2, size - 1 - size // 2
+
+    def top(pos):
+        x, y = pos % width, F.floor(pos / width)
+        inside = lambda k, n, d: (k + d >= 0) & (k + d < n)
+        near = [F.when(inside(x, width, dx) & inside(y, height, dy), F.get(F.col(flat), (pos + dy * width + dx).cast("int"))) for dy in range(-lo, hi + 1) for dx in range(-lo, hi + 1)]
+        return F.greatest(*near) if len(near) > 1 else near[0]
+
+    return df.withColumn(flat, F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), top))
+
+
 def gathered(df: DataFrame, key: str, flat: str, width: int, height: int, coords: DataFrame, bilinear: bool) -> DataFrame:
-    """(key, px, py, value): small rasters seen through map rows (px, py, u, v), wrapped on both axes."""
+    """(key, px, py, value): small rasters seen through map rows (px, py, u, v), wrapped on both axes.
+
+    This form is for maps of up to MAX_MAP rows, which are counted and broadcast; larger ones are made in the
+    worker (see reproject).
+    """
+    if coords.limit(MAX_MAP + 1).count() > MAX_MAP:
+        raise ValueError(f"the map has over {MAX_MAP} rows; use reproject")
     both = df.select(key, flat).crossJoin(F.broadcast(coords.select("px", "py", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))))
     if not bilinear:
         value = _at(flat, F.pmod(F.floor(F.col("u")), F.lit(width)), F.pmod(F.floor(F.col("v")), F.lit(height)), width)

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, Protocol
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from orbitframe.functions import raster
 
 #: The class names of the detector's data set, in the order of their ids from 0.
 COCO = (
-    "person, bicycle, car, motorcycle, airplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter, bench, bird, cat, dog, horse, sheep, cow, "
-    "elephant, bear, zebra, giraffe, backpack, umbrella, handbag, tie, suitcase, frisbee, skis, snowboard, sports ball, kite, baseball bat, baseball glove, skateboard, surfboard, tennis racket, bottle, "
-    "wine glass, cup, fork, knife, spoon, bowl, banana, apple, sandwich, orange, broccoli, carrot, hot dog, pizza, donut, cake, chair, couch, potted plant, bed, "
-    "dining table, toilet, tv, laptop, mouse, remote, keyboard, cell phone, microwave, oven, toaster, sink, refrigerator, book, clock, vase, scissors, teddy bear, hair drier, toothbrush"
-)
+    "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck", "boat", "traffic light", "fire hydrant", "stop sign",
+    "parking meter", "bench", "bird", "cat", "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe", "backpack", "umbrella",
+    "handbag", "tie", "suitcase", "frisbee", "skis", "snowboard", "sports ball", "kite", "baseball bat", "baseball glove", "skateboard", "surfboard",
+    "tennis racket", "bottle", "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple", "sandwich", "orange", "broccoli", "carrot",
+    "hot dog", "pizza", "donut", "cake", "chair", "couch", "potted plant", "bed", "dining table", "toilet", "tv", "laptop", "mouse", "remote",
+    "keyboard", "cell phone", "microwave", "oven", "toaster", "sink", "refrigerator", "book", "clock", "vase", "scissors", "teddy bear", "hair drier",
+    "toothbrush",
+)
 #: The ids of each preset.
 PRESETS = {"humans": (0,), "vehicles": tuple(range(2, 9)), "plants": (58,)}
 
 
-def class_names() -> list[str]:
-    return COCO.split(", ")
-
-
 def class_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(class_names())), "class_id int, class_name string")
+    return spark.createDataFrame(list(enumerate(COCO)), "class_id int, class_name string")
 
 
 def listed(text: Column) -> Column:
@@ -77,3 +84,96 @@ def outcomes(views: DataFrame, detections: DataFrame, on: list[str], mode: str,
     if scope is not None:
         act = F.when(scope, act).otherwise("pass")
     return v.withColumn("ai_action", act).drop("_n", "_masks")
+
+
+class Detection(NamedTuple):
+    """What a detector found: a class, its confidence, and the probability of each pixel, if it has a mask."""
+
+    class_id: int
+    conf: float
+    mask: np.ndarray | None = None
+
+
+class Detector(Protocol):
+    """A model: what it finds in each image of a batch, of any class and confidence."""
+
+    def detect(self, images: list[np.ndarray]) -> list[list[Detection]]: ...
+
+
+#: Makers of detectors by name; a maker runs once in each task.
+DETECTORS: dict[str, Callable[[], Detector]] = {}
+
+
+def register(name: str, make: Callable[[], Detector]) -> None:
+    DETECTORS[name] = make
+
+
+def process_batch(detector: Detector | None, images: list[np.ndarray | None], mode: str, confidence: float, classes: list[int] | None, invert: bool = True, feather: bool = False) -> list[tuple[str, np.ndarray | None]]:
+    """(action, mask) of each image: pass, drop, keep, or mask with the mask; see outcomes.
+
+    Without a detector, for unreadable images and in other modes images pass. In mask mode an image in which nothing with a
+    mask was found gets an empty one.
+    """
+    out: list[tuple[str, np.ndarray | None]] = [("pass", None)] * len(images)
+    good = [i for i, x in enumerate(images) if x is not None]
+    if detector is None or mode not in ("skip_frame", "generate_mask") or not good:
+        return out
+    for i, found in zip(good, detector.detect([images[i] for i in good])):
+        found = [d for d in found if d.conf >= confidence and (classes is None or d.class_id in classes)]
+        if mode == "skip_frame":
+            out[i] = ("drop" if found else "keep", None)
+            continue
+        masks = [d.mask for d in found if d.mask is not None]
+        h, w = images[i].shape[:2]
+        out[i] = ("mask" if masks else "empty_mask", raster.detection_mask(np.stack(masks) if masks else np.zeros((0, h, w)), w, h, invert, feather))
+    return out
+
+
+def process_image(detector: Detector | None, image: np.ndarray | None, mode: str, confidence: float, classes: list[int] | None, invert: bool = True, feather: bool = False) -> tuple[str, np.ndarray | None]:
+    """process_batch of one image."""
+    return process_batch(detector, [image], mode, confidence, classes, invert, feather)[0]
+
+
+def with_detector(views: DataFrame, make: Callable[[], Detector] | str | None, mode: str, confidence: float, classes: list[int] | None, invert: bool = True, feather: bool = False, image: str = "view_image", scope: str | None = None) -> DataFrame:
+    """views with ai_action and mask (an image, or null) from a detector that each task makes once.
+
+    make: a maker, the name of a registered one, or None. A maker that fails gives no detector, so views pass.
+    ``scope``: a boolean column; views where it isn't true pass unseen. An Arrow batch is one batch of the detector.
+    """
+    make = DETECTORS.get(make) if isinstance(make, str) else make
+    names = views.columns
+    kind = raster._arrow(raster.IMAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            detector = make() if make else None
+        except Exception:  # whatever a model's loader raises
+            detector = None
+        for b in batches:
+            images = [None if x is None else raster.to_array(x["height"], x["width"], x["channels"], x["data"]) for x in b.column(names.index(image)).to_pylist()]
+            if scope:
+                images = [x if inside else None for x, inside in zip(images, b.column(names.index(scope)).to_pylist())]
+            done = process_batch(detector, images, mode, confidence, classes, invert, feather)
+            masks = [None if m is None else {"height": m.shape[0], "width": m.shape[1], "channels": 1, "data": m.tobytes()} for _, m in done]
+            arrow = pa.schema([*zip(b.schema.names, b.schema.types), ("ai_action", pa.string()), ("mask", kind)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in done], pa.string()), pa.array(masks, kind)], schema=arrow)
+
+    return views.mapInArrow(run, StructType([*views.schema.fields, *StructType.fromDDL(f"ai_action string, mask {raster.IMAGE}").fields]))
+
+
+def with_table_masks(views: DataFrame, detections: DataFrame, on: list[str], invert: bool = True, feather: bool = False, image: str = "view_image") -> DataFrame:
+    """views (with ai_action of outcomes) with ``mask`` from a table of detections (on, height, width, prob array<float>).
+
+    Views whose action is mask or empty_mask get one; all detections of a view are one mask. A detector gives an image a
+    bounded number of detections, so a view's are gathered in its row.
+    """
+    found = detections.where("prob is not null").groupBy(*on).agg(F.collect_list(F.struct("height", "width", "prob")).alias("_found"))
+
+    def mask(img, action, found):
+        if img is None or action not in ("mask", "empty_mask"):
+            return None
+        h, w = img.shape[:2]
+        soft = [np.asarray(x["prob"], float).reshape(x["height"], x["width"]) for x in found or ()]
+        return raster.detection_mask(np.stack(soft) if soft else np.zeros((0, h, w)), w, h, invert, feather)
+
+    return raster.with_image_column(views.join(found, on, "left"), "mask", raster.IMAGE, mask, image, ("ai_action", "_found")).drop("_found")

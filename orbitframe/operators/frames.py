@@ -96,6 +96,16 @@ def smart_blur_machine(floor: float, factor: float = 0.6, history: int = 10, pat
     return start
 
 
+def kept_rows(df: DataFrame, job: str, order: tuple[str, ...], value: Column, start: Callable[[], Callable]) -> DataFrame:
+    """df's rows that the machine keeps. Wide rows (images) stay where they are: only keys and values are scanned, and flags joined."""
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("struct", "binary")]
+    if not wide:
+        return ordered_scan(df.withColumn("_value", value), job, list(order), "_value", "_keep", start).where("_keep").drop("_keep", "_value")
+    narrow = df.select(job, *order, value.alias("_value"))
+    kept = ordered_scan(narrow, job, list(order), "_value", "_keep", start).where("_keep").select(job, *order)
+    return df.join(kept, [job, *order], "left_semi")
+
+
 def adaptive_keyframes(frames: DataFrame, threshold: float, value: str = "value", job: str = "job_id", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
     """Rows that move more than ``threshold`` from the last kept row of their job; numbers or arrays."""
 
@@ -104,19 +114,22 @@ def adaptive_keyframes(frames: DataFrame, threshold: float, value: str = "value"
             return 0.0
         return float(np.mean(np.abs(np.asarray(b, float) - np.asarray(a, float))))
 
-    kept = ordered_scan(frames, job, list(order), value, "_keep", keyframe_machine(threshold, motion))
-    return kept.where("_keep").drop("_keep")
+    return kept_rows(frames, job, order, F.col(value), keyframe_machine(threshold, motion))
 
 
 def motion_keyframes(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
-    """Frames whose mean flow from the last kept frame of their job exceeds ``threshold``; unreadable frames don't move."""
+    """Frames whose mean flow from the last kept frame of their job exceeds ``threshold``; unreadable frames don't move.
+
+    What is dealt out and sorted are the small gray images that the flow is taken of, not the frames.
+    """
 
     def motion(a, b) -> float:
         px = [None if x is None else raster.to_array(x["height"], x["width"], x["channels"], x["data"]) for x in (a, b)]
         return raster.motion_score(*px)
 
-    kept = ordered_scan(frames, job, list(order), image, "_keep", keyframe_machine(threshold, motion))
-    return kept.where("_keep").drop("_keep")
+    small = raster.with_image_column(frames.select(job, *order, image), "_small", raster.IMAGE, raster.motion_input, image).drop(image)
+    kept = ordered_scan(small, job, list(order), "_small", "_keep", keyframe_machine(threshold, motion)).where("_keep").select(job, *order)
+    return frames.join(kept, [job, *order], "left_semi")
 
 
 def blur_floor(frames: DataFrame, floor: float, score: str = "score") -> DataFrame:
@@ -126,14 +139,31 @@ def blur_floor(frames: DataFrame, floor: float, score: str = "score") -> DataFra
 
 def smart_blur(frames: DataFrame, floor: float, score: str = "score", job: str = "job_id", order: tuple[str, ...] = ("frame_idx", "view_idx")) -> DataFrame:
     """Accepted rows of the smart blur filter; one state per job across views in (frame, view) order."""
-    kept = ordered_scan(frames, job, list(order), score, "_keep", smart_blur_machine(floor))
-    return kept.where("_keep").drop("_keep")
+    return kept_rows(frames, job, order, F.col(score), smart_blur_machine(floor))
+
+
+def middle_frame(frames: DataFrame, job: str = "job_id", idx: str = "frame_idx") -> DataFrame:
+    """The frame that stands for each job: number count // 2 where there are more than 60, else the first.
 
+    Counts meet the frames in a join on the job; no job passes through a window.
+    """
+    n = frames.groupBy(F.col(job).alias("_job")).agg(F.count("*").alias("_n"))
+    at = F.when(F.col("_n") > 60, F.floor(F.col("_n") / 2)).otherwise(F.lit(0))
+    return frames.join(n, F.col(job).eqNullSafe(F.col("_job"))).where(F.col(idx) == at).drop("_job", "_n")
+
+
+def first_frame(frames: DataFrame, idx: str = "frame_idx") -> DataFrame:
+    """The first frame of each job; with a source that takes a step, it reads nothing else."""
+    return frames.where(F.col(idx) == 0)
 
-def blur_summary(scores: DataFrame) -> DataFrame:
-    """One row: average, min and max score, the ordered details, and 0.8 of the average as threshold."""
+
+def blur_summary(scores: DataFrame, *by: str) -> DataFrame:
+    """Average, min and max score, the details in view order, and 0.8 of the average as threshold: a row for each of ``by``.
+
+    Without ``by`` there is one row, of zeros and no details where there are no scores.
+    """
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         zero(F.avg("score")).alias("average"), zero(F.min("score")).alias("min"), zero(F.max("score")).alias("max"),
         F.transform(F.array_sort(F.collect_list(F.struct("view_idx", "name", "score"))), lambda x: F.struct(x["name"].alias("view"), x["score"].alias("score"))).alias("details"),
     ).withColumn("recommended", F.col("average") * 0.8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def progress(idx: Column, total: Column, elapsed: Column) -> tuple[Column, Column]:
@@ -14,8 +14,9 @@ def progress(idx: Column, total: Column, elapsed: Column) -> tuple[Column, Colum
 
 def batch_progress(jobs: DataFrame, idx: str, percent: str) -> DataFrame:
     """jobs with batch_percent: finished jobs and the share of the running one, of all."""
-    n = F.count("*").over(Window.partitionBy())
-    return jobs.withColumn("batch_percent", F.floor((F.col(idx) * 100 + F.col(percent)) / n).cast("int"))
+    n = jobs.agg(F.count("*").alias("_n"))  # one row
+    share = F.floor((F.col(idx) * 100 + F.col(percent)) / F.col("_n")).cast("int")
+    return jobs.crossJoin(F.broadcast(n)).withColumn("batch_percent", share).drop("_n")
 
 
 def outcome(jobs: DataFrame, status: str = "status") -> DataFrame:
@@ -38,3 +39,8 @@ def summary(is_360: Column, pitch: Column, cameras: Column, layout: Column, adap
     head = F.when(is_360, F.concat(tilt, F.lit(" ("), pitch.cast("string"), F.lit("°), "), cameras.cast("string"), F.lit(" cams"), known)).otherwise("Flat (Non-360)")
     ai = F.when(ai_mode == "Generate Mask", " [AI Mask]").when(ai_mode == "Skip Frame", " [AI Skip]").otherwise("")
     return F.concat(head, F.when(adaptive, " [Adaptive]").otherwise(""), ai)
+
+
+def any_needs_detector(jobs: DataFrame, mode: str = "ai_mode") -> DataFrame:
+    """One row: whether any job's mode needs a detector; false without jobs."""
+    return jobs.agg(F.coalesce(F.bool_or(F.coalesce(F.col(mode), F.lit("None")) != "None"), F.lit(False)).alias("needs_detector"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.functions import geometry, gps, naming, raster
 from orbitframe.operators import detections as det, frames as fr, telemetry as tel
 from orbitframe.plans import extraction as ex, jobs, settings
 from orbitframe.session import read_table
-from orbitframe.sources import tracks
+from orbitframe.sources import media, tracks
 from orbitframe.streaming import smart_blur
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,7 @@ SAMPLES_SQL = """samples as (
     (event_id * 37 % 2000) / 10.0::double - 100 as lat, (event_id * 53 % 4000) / 10.0::double - 200 as lon, value as alt
   from events where event_id % 3 = 0),
 clean as (select * from samples where lat between -90 and 90 and lon between -180 and 180)"""
+ALL_SAMPLES_SQL = SAMPLES_SQL.replace(" where event_id % 3 = 0", "")
 
 
 def query(sql: str | None = None):
@@ -219,32 +221,121 @@ def laplacian_blur_score(spark, sf):
 @query("""with p as (select vec_id, i % 8 as x, i // 8 as y, case when embedding[i + 1] > 0.1 then 255 else 0 end as m from embeddings, range(64) r(i))
 select a.vec_id, a.x::int as x, a.y::int as y, 255 - max(b.m) as mask from p a join p b on a.vec_id = b.vec_id and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 group by 1, 2, 3""")
 def dilate_mask(spark, sf):
-    p = raster.pixels(read_table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
-    p = p.withColumn("m", F.when(F.col("value") > F.lit(0.1).cast("float"), 255).otherwise(0))
-    steps = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
-    spread = p.withColumn("dx", steps).withColumn("dy", steps).select("vec_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "m")
-    spread = spread.where("x between 0 and 7 and y between 0 and 7")
-    return spread.groupBy("vec_id", "x", "y").agg((255 - F.max("m")).alias("mask"))
+    m = F.transform("embedding", lambda v: F.when(v > F.lit(0.1).cast("float"), 255).otherwise(0))
+    d = raster.dilated_sql(read_table(spark, sf, "embeddings").select("vec_id", m.alias("m")), "m", 8, 8, 3)
+    p = d.select("vec_id", F.posexplode("m").alias("i", "v"))
+    return p.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), (255 - F.col("v")).alias("mask"))
 
 
-@query(f"""with {FRAMES_SQL}, v as (select job_id, count(*) as n, avg(score) as a, min(score) as lo, max(score) as hi,
-  string_agg(face || ':' || frame_idx, ',' order by frame_idx) as details from frames where frame_idx < 6 group by job_id)
-select job_id, n, round(a, 6) as average, round(lo, 6) as min, round(hi, 6) as max, round(a * 0.8, 6) as recommended, details from v""")
+@query(f"""with {FRAMES_SQL}, m as (select job_id, case when count(*) > 60 then count(*) // 2 else 0 end as at from frames group by job_id),
+v as (select f.job_id, i::int as view_idx, 'View_' || i as name, score / (i + 1) as score from frames f join m on f.job_id = m.job_id and f.frame_idx = m.at, range(6) r(i)),
+a as (select job_id, avg(score) as average, min(score) as lo, max(score) as hi, string_agg(name || ':' || round(score, 3), ',' order by view_idx) as details from v group by job_id)
+select job_id, round(average, 6) as average, round(lo, 6) as min, round(hi, 6) as max, round(average * 0.8, 6) as recommended, details from a""")
 def blur_analysis(spark, sf):
-    f = _frames(spark, sf).where("frame_idx < 6")
-    a = f.groupBy("job_id").agg(
-        F.count("*").alias("n"), F.avg("score").alias("average"), F.min("score").alias("min"), F.max("score").alias("max"), F.array_sort(F.collect_list(F.struct("frame_idx", "face"))).alias("d")
-    )
-    details = F.array_join(F.transform("d", lambda x: F.concat(x["face"], F.lit(":"), x["frame_idx"].cast("string"))), ",")
-    return rounded(a.select("job_id", "n", "average", "min", "max", (F.col("average") * 0.8).alias("recommended"), details.alias("details")), "average", "min", "max", "recommended")
+    # The views of each job's middle frame; a view's score is a share of its frame's.
+    f = fr.middle_frame(_frames(spark, sf))
+    views = geometry.generate_views(spark, 6, 0.0)
+    looks = f.crossJoin(F.broadcast(views.select("view_idx", "name"))).withColumn("score", F.col("score") / (F.col("view_idx") + 1))
+    a = fr.blur_summary(looks, "job_id")
+    details = F.array_join(F.transform("details", lambda x: F.concat(x["view"], F.lit(":"), F.round(x["score"], 3).cast("string"))), ",")
+    return rounded(a.select("job_id", "average", "min", "max", "recommended", details.alias("details")), "average", "min", "max", "recommended")
+
+
+_PIXELS = "p as (select vec_id, i, i % 8 as x, i // 8 as y, greatest(0, least(255, floor(embedding[i + 1]::double * 256 + 128)))::int as v from embeddings, range(64) r(i))"
+
+
+def _image(values, width, height, channels=1):
+    """An image struct of an array of bytes."""
+    data = F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    return F.struct(F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("channels"), data.alias("data"))
+
+
+def _pictures(spark, sf):
+    v = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(e.cast("double") * 256 + 128))))
+    return read_table(spark, sf, "embeddings").select("vec_id", _image(v, 8, 8).alias("image"))
+
+
+@query(f"""with {_PIXELS}, k as (select k, exp(-(k * k) / 8.0::double) as e from range(-7, 8) r(k)), w as (select k, e / (select sum(e) from k) as w from k),
+t as (select c, k, w, case when c + k < 0 then -(c + k) when c + k > 7 then 14 - (c + k) else c + k end as src from w, range(8) r(c)),
+h as (select vec_id, t.c as y, x, sum(w * v) as v from p join t on p.y = t.src group by 1, 2, 3),
+g as (select vec_id, y, t.c as x, sum(w * v) as v from h join t on h.x = t.src group by 1, 2, 3)
+select p.vec_id, string_agg(printf('%02X', greatest(0, least(255, round_even(p.v * 1.5::double - round_even(g.v, 0) * 0.5::double, 0)))::int), '' order by i) as pixels
+from p join g on p.vec_id = g.vec_id and p.x = g.x and p.y = g.y group by p.vec_id""")
+def sharpen_raster(spark, sf):
+    out = raster.with_image_column(_pictures(spark, sf), "sharp", raster.IMAGE, lambda px: raster.sharpen(px, 0.5))
+    return out.select("vec_id", F.hex("sharp.data").alias("pixels"))
+
+
+@query(f"""with {_PIXELS}, g as (select j, floor(c)::int as a, least(floor(c)::int + 1, 7) as b, c - floor(c) as f from (select j, greatest(0::double, least(7::double, (j + 0.5::double) * 8 / 12 - 0.5::double)) as c from range(12) r(j))),
+top as (select p.vec_id, p.x, p.y, greatest(p.v, q.v) / 255.0::double as v from p join p q on p.vec_id = q.vec_id and q.i = 63 - p.i),
+big as (select n.vec_id, gx.j as x, gy.j as y, trunc(((a.v * (1 - gx.f) + b.v * gx.f) * (1 - gy.f) + (c.v * (1 - gx.f) + d.v * gx.f) * gy.f) * 255)::int as m
+  from (select distinct vec_id from p) n, g gx, g gy, top a, top b, top c, top d
+  where a.vec_id = n.vec_id and a.x = gx.a and a.y = gy.a and b.vec_id = n.vec_id and b.x = gx.b and b.y = gy.a and c.vec_id = n.vec_id and c.x = gx.a and c.y = gy.b and d.vec_id = n.vec_id and d.x = gx.b and d.y = gy.b),
+wide as (select a.vec_id, a.x, a.y, 255 - max(b.m) as m from big a join big b on a.vec_id = b.vec_id and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 group by 1, 2, 3)
+select vec_id, string_agg(printf('%02X', m), '' order by y, x) as mask from wide group by vec_id""")
+def feather_mask(spark, sf):
+    # Two detections a view: the picture's values as probabilities, and the same from behind.
+    pictures = read_table(spark, sf, "embeddings")
+    prob = lambda e: (F.greatest(F.lit(0), F.least(F.lit(255), F.floor(e.cast("double") * 256 + 128))) / F.lit(255.0)).cast("double")
+    one = F.transform("embedding", prob)
+    found = pictures.select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.explode(F.array(one, F.reverse(one))).alias("prob"))
+    views = pictures.select("vec_id", _image(F.array_repeat(F.lit(0), 144), 12, 12).alias("view_image"), F.lit("mask").alias("ai_action"))
+    return det.with_table_masks(views, found, ["vec_id"], feather=True).select("vec_id", F.hex("mask.data").alias("mask"))
+
+
+@query(f"""with {_PIXELS}, t as (select t from range(-3, 5) r(t)), axis as (select j, floor(0.35 + 1.7::double * j)::int as x0, (0.35 + 1.7::double * j) - floor(0.35 + 1.7::double * j) as fx,
+  floor(0.6 + 1.3::double * j)::int as y0, (0.6 + 1.3::double * j) - floor(0.6 + 1.3::double * j) as fy from range(4) r(j)),
+wx as (select j, (x0 + t + 8) % 8 as src, sin(pi() * (t - fx)) / (pi() * (t - fx)) * sin(pi() * (t - fx) / 4) / (pi() * (t - fx) / 4) as w from axis, t),
+wy as (select j, (y0 + t + 8) % 8 as src, sin(pi() * (t - fy)) / (pi() * (t - fy)) * sin(pi() * (t - fy) / 4) / (pi() * (t - fy) / 4) as w from axis, t),
+nx as (select j, src, w / sum(w) over (partition by j) as w from wx), ny as (select j, src, w / sum(w) over (partition by j) as w from wy),
+o as (select vec_id, ny.j as y, nx.j as x, greatest(0, least(255, round_even(sum(ny.w * nx.w * v), 0)))::int as v from p join nx on p.x = nx.src join ny on p.y = ny.src group by 1, 2, 3)
+select vec_id, string_agg(printf('%02X', v), '' order by y, x) as pixels from o group by vec_id""")
+def remap_lanczos_small(spark, sf):
+    def look(px):
+        at = np.arange(4)
+        u, v = np.broadcast_to(0.35 + 1.7 * at, (4, 4)), np.broadcast_to((0.6 + 1.3 * at)[:, None], (4, 4))
+        return raster.remap(px, u, v, lanczos=True)
+
+    out = raster.with_image_column(_pictures(spark, sf), "look", raster.IMAGE, look)
+    return out.select("vec_id", F.hex("look.data").alias("pixels"))
+
+
+class _Bright:
+    """A detector that finds a class 0 thing, as sure as the image is bright."""
+
+    def detect(self, images):
+        return [[det.Detection(0, float(x.mean()) / 255)] for x in images]
+
+
+@query(f"with {_PIXELS} select vec_id, case when avg(v) / 255 >= 0.5 then 'drop' else 'keep' end as ai_action from p group by vec_id")
+def detector_skip(spark, sf):
+    return det.with_detector(_pictures(spark, sf), _Bright, "skip_frame", 0.5, [0], image="image").select("vec_id", "ai_action")
+
+
+@query("select bool_or(case o_orderkey % 3 when 0 then 'None' when 1 then null else case when o_orderstatus = 'F' then 'Skip Frame' else 'None' end end = 'Skip Frame') as needs_detector from orders")
+def any_needs_detector(spark, sf):
+    k = F.col("o_orderkey") % 3
+    mode = F.when(k == 0, "None").when(k == 2, F.when(F.col("o_orderstatus") == "F", "Skip Frame").otherwise("None"))
+    return jobs.any_needs_detector(read_table(spark, sf, "orders").select(mode.alias("ai_mode")))
+
+
+@query("""with m as (select '/in/' || (c_custkey % 7) || '/' || c_name || '.MP4' as path, '/in/' || (c_custkey % 7) || '/' || c_name as stem from customer),
+f as (select '/in/' || (c_custkey % 7) || '/' || c_name || case c_custkey % 3 when 0 then '.gpx' when 1 then '.GPX' else '.srt' end as path, '/in/' || (c_custkey % 7) || '/' || c_name as stem, c_custkey % 3 < 2 as ok from customer)
+select m.path, f.path as sidecar_path from m left join f on m.stem = f.stem and f.ok""")
+def media_sidecars(spark, sf):
+    c = read_table(spark, sf, "customer")
+    at = F.concat(F.lit("/in/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/"), F.col("c_name"))
+    k = F.col("c_custkey") % 3
+    files = c.select(F.concat(at, F.when(k == 0, ".gpx").when(k == 1, ".GPX").otherwise(".srt")).alias("path"))
+    return media.with_sidecars(c.select(F.concat(at, F.lit(".MP4")).alias("path")), files).select("path", "sidecar_path")
 
 
 # --- telemetry
 
 
-@query(f"with {SAMPLES_SQL} select job_id, seq, round(ts, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 6) as alt from clean")
+@query(f"with {ALL_SAMPLES_SQL} select job_id, seq, round(ts, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 6) as alt from clean")
 def telemetry_sanitize(spark, sf):
-    s = tel.sanitized(ex.event_samples(_events(spark, sf)).where("seq % 3 = 0"))
+    s = tel.sanitized(ex.event_samples(_events(spark, sf)))
     return rounded(s.select("job_id", "seq", "ts", "lat", "lon", "alt"), "ts", "lat", "lon", "alt")
 
 
@@ -279,16 +370,16 @@ def telemetry_source_priority(spark, sf):
     return tel.chosen_tracks(s).select("media_id", "kind", "tag", "stream_index")
 
 
-@query(f"""with {SAMPLES_SQL}, n as (select *, row_number() over (partition by job_id order by seq) - 1 as i, count(*) over (partition by job_id) as n from clean)
+@query(f"""with {ALL_SAMPLES_SQL}, n as (select *, row_number() over (partition by job_id order by seq) - 1 as i, count(*) over (partition by job_id) as n from clean)
 select job_id, seq, round(case when job_id % 3 > 0 then i / n::double * (job_id % 3 * 10) else i * 0.2::double end, 6) as ts from n""")
 def camm_even_timestamps(spark, sf):
-    s = tel.sanitized(ex.event_samples(_events(spark, sf)).where("seq % 3 = 0"))
+    s = tel.sanitized(ex.event_samples(_events(spark, sf)))
     return rounded(tel.even_timestamps(s, F.col("job_id") % 3 * 10).select("job_id", "seq", "ts"), "ts")
 
 
-@query(f"with {SAMPLES_SQL} select job_id, seq, round((row_number() over (partition by job_id order by seq) - 1) / 18.0::double, 6) as ts from clean")
+@query(f"with {ALL_SAMPLES_SQL} select job_id, seq, round((row_number() over (partition by job_id order by seq) - 1) / 18.0::double, 6) as ts from clean")
 def gpmf_clock(spark, sf):
-    s = tel.sanitized(ex.event_samples(_events(spark, sf)).where("seq % 3 = 0"))
+    s = tel.sanitized(ex.event_samples(_events(spark, sf)))
     return rounded(tel.clock_timestamps(s).select("job_id", "seq", "ts"), "ts")
 
 
@@ -343,7 +434,7 @@ def _be32(x):
     return F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")
 
 
-@query(f"with {_WRITTEN} select job_id, n as seq, round(n / 18.0::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, alt from w where n < 3000")
+@query(f"with {_WRITTEN} select job_id, n as seq, round(n / 18.0::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, alt from w")
 def parse_gpmf(spark, sf):
     # A block's count of samples has 16 bits, so a job is as many DEVC blocks as it needs.
     w = _written(spark, sf).withColumn("block", F.floor(F.col("n") / 3000))
@@ -362,7 +453,19 @@ def parse_gpmf(spark, sf):
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n / m::double * 30, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 3) as alt from w")
 def parse_camm(spark, sf):
-    w = _written(spark, sf)
+    return _camm(_written(spark, sf))
+
+
+@query(f"""with {_WRITTEN}, k as (select *, row_number() over (partition by job_id order by n) - 1 as i, count(*) over (partition by job_id) as found from w where n % 5 > 0)
+select job_id, i as seq, round(i / found::double * 30, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 3) as alt from k""")
+def camm_null_island(spark, sf):
+    # Every fifth packet has no fix: latitude and longitude zero.
+    fix = lambda c: F.when(F.col("n") % 5 > 0, F.col(c)).otherwise(F.lit(0.0))
+    return _camm(_written(spark, sf).withColumns({"lat": fix("lat"), "lon": fix("lon")}))
+
+
+def _camm(w):
+    """The samples that are read back from packets written for w."""
 
     def double_le(c):
         # IEEE bits of a double, exact for these values: sign, exponent and fraction from arithmetic.
@@ -387,12 +490,12 @@ def parse_camm(spark, sf):
     return rounded(rounded(tracks.parse_tracks(files, "camm", duration="duration"), "ts", "lat", "lon"), "alt", digits=3)
 
 
-@query(f"""with {SAMPLES_SQL}, d as (select *, abs(lat) as x, abs(lon) as y from clean)
+@query(f"""with {ALL_SAMPLES_SQL}, d as (select *, abs(lat) as x, abs(lon) as y from clean)
 select job_id, seq, case when lat >= 0 then 'N' else 'S' end as lat_ref, floor(x)::bigint as lat_deg, floor((x - floor(x)) * 60)::bigint as lat_min,
   trunc((x - floor(x) - floor((x - floor(x)) * 60) / 60) * 3600 * 1000000)::bigint as lat_sec_num, case when lon >= 0 then 'E' else 'W' end as lon_ref, floor(y)::bigint as lon_deg,
   case when alt >= 0 then 0 else 1 end as alt_ref, trunc(abs(alt) * 1000000)::bigint as alt_num from d""")
 def exif_dms(spark, sf):
-    s = tel.sanitized(ex.event_samples(_events(spark, sf)).where("seq % 3 = 0"))
+    s = tel.sanitized(ex.event_samples(_events(spark, sf)))
     g = s.select("job_id", "seq", gps.gps_tags(F.col("lat"), F.col("lon"), F.col("alt")).alias("g"))
     whole = lambda c: (F.col(f"{c}.num") / 1_000_000).cast("long")
     return g.select(
@@ -541,12 +644,12 @@ def job_summary(spark, sf):
 
 
 def _detections(spark, sf):
-    """Detections from events: some of them, with a class and a confidence."""
-    f = _frames(spark, sf).where("event_id % 4 = 0")
+    """Detections from events, one each, with a class and a confidence."""
+    f = _frames(spark, sf)
     return f.select("job_id", "frame_idx", "face", (F.col("event_id") % 80).cast("int").alias("class_id"), (F.col("score") / 500).alias("conf"), (F.col("event_id") % 8 == 0).alias("has_mask"))
 
 
-_DETECTIONS = "d as (select job_id, frame_idx, face, (event_id % 80)::int as class_id, score / 500 as conf, event_id % 8 = 0 as has_mask from frames where event_id % 4 = 0)"
+_DETECTIONS = "d as (select job_id, frame_idx, face, (event_id % 80)::int as class_id, score / 500 as conf, event_id % 8 = 0 as has_mask from frames)"
 
 
 @query(f"with {FRAMES_SQL} select job_id, frame_idx, face from frames where job_id % 3 = 0 or (job_id % 3 = 1 and face in ('click', 'view'))")

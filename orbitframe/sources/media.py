@@ -108,13 +108,59 @@ def _bgr(plane: bytes, head: dict) -> np.ndarray:
     return np.clip(np.rint(np.stack([y + 2.018 * u, y - 0.391 * u - 0.813 * v, y + 1.596 * v], axis=-1)), 0, 255).astype(np.uint8)
 
 
-def read_frames(files: DataFrame, step: int = 1) -> DataFrame:
+def _size(data: bytes) -> tuple[float, int, int, int] | None:
+    """(frames a second, frames, width, height) of a PNG image or raw video; None if it can't be read."""
+    if data[:9] == b"YUV4MPEG2":
+        try:
+            head = y4m_header(data)
+        except (KeyError, ValueError):
+            return None
+        return head["fps"], sum(1 for _ in _y4m_frames(data, head)), head["width"], head["height"]
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return 0.0, 1, *struct.unpack_from(">II", data, 16)
+    return None
+
+
+def _y4m_frames(data: bytes, head: dict) -> Iterator[int]:
+    """Where the planes of each whole frame begin."""
+    at = head["start"]
+    while at < len(data):
+        body = data.find(b"\n", at) + 1
+        if body <= 0 or body + head["size"] > len(data):
+            return
+        yield body
+        at = body + head["size"]
+
+
+def media_metadata(files: DataFrame) -> DataFrame:
+    """(path, fps, frame_count, width, height) of files (path, content); nulls where a file can't be read. Nothing is decoded."""
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *(_size(data.as_py() or b"") or (None,) * 4)) for path, data in zip(b.column(0).to_pylist(), b.column(1))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["path", "fps", "frame_count", "width", "height"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, fps double, frame_count long, width int, height int")
+
+
+def read_frames(files: DataFrame, step: int = 1, interval: tuple[float, str] | None = None, only: str | None = None) -> DataFrame:
     """(path, frame_idx, fps, image, error) of PNG images and raw .y4m videos in files (path, content).
 
-    Only every ``step``-th frame of a video is decoded. A still image is one frame of 0 frames a second;
+    Of a video every ``step``-th frame is decoded; with ``interval`` (value, "seconds" or "frames") the
+    step follows each file's frame rate; ``only`` "first" or "middle" decodes that frame alone (middle: count // 2
+    where there are more than 60, else the first). A still image is one frame of 0 frames a second;
     a file that can't be read gives one row with an error.
     """
 
+    def wanted(n: int, fps: float) -> range:
+        if only:
+            at = n // 2 if only == "middle" and n > 60 else 0
+            return range(at, min(n, at + 1))
+        value, unit = interval or (step, "frames")
+        return range(0, n, int(max(1.0, float(value) if unit.lower() == "frames" else fps * value)))
+
     def rows(path: str, data: bytes) -> Iterator[tuple]:
         if data[:9] == b"YUV4MPEG2":
             try:
@@ -122,14 +168,11 @@ def read_frames(files: DataFrame, step: int = 1) -> DataFrame:
             except (KeyError, ValueError):
                 yield path, 0, 0.0, None, "unreadable"
                 return
-            k, at = 0, head["start"]
-            while at < len(data):
-                body = data.find(b"\n", at) + 1
-                if body <= 0 or body + head["size"] > len(data):
-                    break
-                if k % step == 0:
-                    yield path, k, head["fps"], _bgr(data[body : body + head["size"]], head), None
-                k, at = k + 1, body + head["size"]
+            places = list(_y4m_frames(data, head))
+            for k in wanted(len(places), head["fps"]):
+                yield path, k, head["fps"], _bgr(data[places[k] : places[k] + head["size"]], head), None
+            if not places:
+                yield path, 0, head["fps"], None, "no frames"
             return
         px = decode_png(data)
         yield path, 0, 0.0, px, None if px is not None else "unreadable"
@@ -146,51 +189,99 @@ def read_frames(files: DataFrame, step: int = 1) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, f"path string, frame_idx long, fps double, image {IMAGE}, error string")
 
 
+def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, first byte, end) of each box of a level; a broken one ends the level."""
+    while at + 8 <= end:
+        n, kind = struct.unpack_from(">I4s", data, at)
+        head = 8
+        if n == 1 and at + 16 <= end:
+            n, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+        n = end - at if n == 0 else n
+        if n < head or at + n > end:
+            return
+        yield kind, at + head, at + n
+        at += n
+
+
+def _track(data: bytes, at: int, end: int) -> dict:
+    """Kind, sample entry's code, seconds, and where the sample tables lie."""
+    found = {"kind": "data", "tag": "", "seconds": 0.0, "tables": {}}
+    todo = [(at, end)]
+    while todo:
+        for name, lo, hi in _boxes(data, *todo.pop()):
+            if name in (b"mdia", b"minf", b"stbl"):
+                todo.append((lo, hi))
+            elif name == b"mdhd" and hi - lo >= 24:
+                scale, ticks = struct.unpack_from(">IQ", data, lo + 20) if data[lo] == 1 and hi - lo >= 32 else struct.unpack_from(">II", data, lo + 12)
+                found["seconds"] = ticks / scale if scale else 0.0
+            elif name == b"hdlr" and hi - lo >= 12:
+                found["kind"] = {b"vide": "video", b"soun": "sound", b"sbtl": "subtitle", b"text": "subtitle"}.get(data[lo + 8 : lo + 12], "data")
+            elif name == b"stsd" and hi - lo >= 16:
+                found["tag"] = data[lo + 12 : lo + 16].decode("latin-1")
+            elif name in (b"stsz", b"stsc", b"stco", b"co64") and hi - lo >= 8:
+                found["tables"][name] = (lo, hi)
+    return found
+
+
+def _tracks(data: bytes) -> list[dict]:
+    out = []
+    for name, lo, hi in _boxes(data, 0, len(data)):
+        if name == b"moov":
+            out = [_track(data, x, y) for kind, x, y in _boxes(data, lo, hi) if kind == b"trak"]
+    return out
+
+
+def _numbers(data: bytes, lo: int, hi: int, kind: str, width: int = 1) -> np.ndarray:
+    """The entries of a sample table, those before the break if it is cut."""
+    n = struct.unpack_from(">I", data, lo + 4)[0] * width
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, min(n, (hi - lo - 8) // size), lo + 8).astype(np.int64)
+
+
+def _payload(data: bytes, tables: dict[bytes, tuple[int, int]]) -> bytes:
+    """The samples of a track one after the other: chunks by offset, samples of a chunk by the runs of stsc."""
+    if not {b"stsz", b"stsc"} <= tables.keys() or not (b"stco" in tables or b"co64" in tables):
+        return b""
+    lo, hi = tables[b"stsz"]
+    if hi - lo < 12:
+        return b""
+    one, n = struct.unpack_from(">II", data, lo + 4)
+    sizes = np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", min(n, (hi - lo - 12) // 4), lo + 12).astype(np.int64)
+    chunks = _numbers(data, *tables[b"co64"], ">u8") if b"co64" in tables else _numbers(data, *tables[b"stco"], ">u4")
+    runs = _numbers(data, *tables[b"stsc"], ">u4", 3)
+    runs = runs[: len(runs) // 3 * 3].reshape(-1, 3)
+    if not len(runs):
+        return b""
+    each = runs[np.clip(np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), side="right") - 1, 0, None), 1]
+    out, k = [], 0
+    for start, count in zip(chunks.tolist(), each.tolist()):
+        length = int(sizes[k : k + count].sum())
+        if start + length > len(data):
+            break
+        out.append(data[start : start + length])
+        k += count
+    return b"".join(out)
+
+
 def isobmff_tracks(files: DataFrame) -> DataFrame:
     """(path, stream_index, kind, tag, duration) of the tracks of MP4 and MOV files (path, content).
 
     kind is video, sound, subtitle or data, tag the sample entry's code (such as gpmd or camm); a broken file gives the tracks
     before the break.
     """
+    return container_tracks(files).drop("payload")
 
-    def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-        while at + 8 <= end:
-            n, kind = struct.unpack_from(">I4s", data, at)
-            head = 8
-            if n == 1 and at + 16 <= end:
-                n, head = struct.unpack_from(">Q", data, at + 8)[0], 16
-            n = end - at if n == 0 else n
-            if n < head or at + n > end:
-                return
-            yield kind, at + head, at + n
-            at += n
-
-    def track(data: bytes, at: int, end: int) -> tuple[str, str, float]:
-        kind, tag, length = "data", "", 0.0
-        todo = [(at, end)]
-        while todo:
-            for name, lo, hi in boxes(data, *todo.pop()):
-                if name in (b"mdia", b"minf", b"stbl"):
-                    todo.append((lo, hi))
-                elif name == b"mdhd" and hi - lo >= 24:
-                    scale, ticks = struct.unpack_from(">IQ", data, lo + 20) if data[lo] == 1 and hi - lo >= 32 else struct.unpack_from(">II", data, lo + 12)
-                    length = ticks / scale if scale else 0.0
-                elif name == b"hdlr" and hi - lo >= 12:
-                    kind = {b"vide": "video", b"soun": "sound", b"sbtl": "subtitle", b"text": "subtitle"}.get(data[lo + 8 : lo + 12], "data")
-                elif name == b"stsd" and hi - lo >= 16:
-                    tag = data[lo + 12 : lo + 16].decode("latin-1")
-        return kind, tag, length
+
+def container_tracks(files: DataFrame, payloads: bool = False) -> DataFrame:
+    """isobmff_tracks with the column payload: the samples of data tracks, if asked for; null else."""
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                data, found = data.as_py() or b"", []
-                for name, lo, hi in boxes(data, 0, len(data)):
-                    if name == b"moov":
-                        found = [track(data, x, y) for kind, x, y in boxes(data, lo, hi) if kind == b"trak"]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * len(found)), pa.array(range(len(found)), pa.int32()), *(pa.array(list(c)) for c in zip(*found))], names=["path", "stream_index", "kind", "tag", "duration"]
-                    )
+                data = data.as_py() or b""
+                rows = [(path, i, t["kind"], t["tag"], t["seconds"], _payload(data, t["tables"]) if payloads and t["kind"] == "data" else None) for i, t in enumerate(_tracks(data))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["path", "stream_index", "kind", "tag", "duration", "payload"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, stream_index int, kind string, tag string, duration double")
+    return files.select("path", "content").mapInArrow(run, "path string, stream_index int, kind string, tag string, duration double, payload binary")

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -69,16 +70,31 @@ def with_gps(image: bytes, lat: float, lon: float, alt: float = 0.0) -> bytes:
     return image
 
 
-def encoded(df: DataFrame, image: str = "view_image", out: str = "file") -> DataFrame:
-    """df with the image as PNG bytes, with its place where lat, lon and alt are given; null images stay null."""
+def encode_tiff(px: np.ndarray) -> bytes:
+    """An uncompressed 8-bit TIFF (little-endian, one strip) of one channel, or of blue, green, red pixels."""
+    px = px if px.ndim == 3 else px[..., None]
+    h, w, channels = px.shape
+    body = np.ascontiguousarray(px[..., ::-1] if channels == 3 else px).tobytes()
+    body += b"\0" * (len(body) % 2)
+    bits_at = 8 + len(body)  # three counts of bits don't fit into their entry
+    directory = bits_at + (6 if channels == 3 else 0)
+    bits = (258, 3, 3, bits_at) if channels == 3 else (258, 3, 1, 8)
+    entries = [(256, 4, 1, w), (257, 4, 1, h), bits, (259, 3, 1, 1), (262, 3, 1, 2 if channels == 3 else 1), (273, 4, 1, 8), (277, 3, 1, channels), (278, 4, 1, h), (279, 4, 1, h * w * channels)]
+    tail = (struct.pack("<HHH", 8, 8, 8) if channels == 3 else b"") + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+    return b"II*\0" + struct.pack("<I", directory) + body + tail
+
+
+def encoded(df: DataFrame, image: str = "view_image", out: str = "file", ext: str = "png") -> DataFrame:
+    """df with the image as PNG or TIFF bytes, a PNG with its place where lat, lon and alt are given; null images stay null."""
     columns, schema = df.columns, StructType([*df.schema.fields, StructField(out, BinaryType())])
+    encode = encode_tiff if ext in ("tif", "tiff") else encode_png
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = lambda c: b.column(columns.index(c)).to_pylist() if c in columns else [None] * b.num_rows
             files = []
             for img, lat, lon, alt in zip(at(image), at("lat"), at("lon"), at("alt")):
-                data = None if img is None else encode_png(to_array(img["height"], img["width"], img["channels"], img["data"]))
+                data = None if img is None else encode(to_array(img["height"], img["width"], img["channels"], img["data"]))
                 files.append(data if data is None or lat is None or lon is None else with_gps(data, lat, lon, alt or 0.0))
             arrow = pa.schema([*zip(b.schema.names, b.schema.types), (out, pa.binary())])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(files, pa.binary())], schema=arrow)

@@ -8,21 +8,12 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 SAMPLES = "job_id long, seq long, ts double, lat double, lon double, alt double"
 _NUMBER = r"([-0-9.]+)"
 
 
-def _bracket(name: str) -> Column:
-    """The number of [name: x] in a block's text, else an empty string."""
-    return F.regexp_extract("body", rf"(?i)\[\s*{name}\s*:\s*{_NUMBER}\s*\]", 1)
-
-
-def _tag(name: str) -> Column:
-    return F.regexp_extract("body", rf"(?i)\b{name}\s*:\s*{_NUMBER}", 1)
-
-
 def parse_srt(files: DataFrame, altitude_mode: str = "absolute", job: str = "job_id", content: str = "content") -> DataFrame:
     """Samples of subtitle files (job_id, content binary or string); SQL expressions only.
 
@@ -30,28 +21,37 @@ def parse_srt(files: DataFrame, altitude_mode: str = "absolute", job: str = "job
     and [longitude: x], else GPS(lat, lon, alt). In absolute mode the altitude is abs_alt, else
     altitude, else rel_alt; in relative mode rel_alt, altitude, abs_alt; else 0. A block with a number
     that can't be read is dropped.
+
+    Blocks become structs inside the row, a step a level, so that each pattern runs once a block.
     """
     text = F.decode(F.col(content).cast("binary"), "UTF-8") if dict(files.dtypes)[content] == "binary" else F.col(content)
     text = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
-    b = files.select(F.col(job).alias("job_id"), F.posexplode(F.split(text, "\n\n")).alias("seq", "block"))
-    b = b.withColumn("lines", F.split(F.regexp_replace("block", r"^\n+|\n+$", ""), "\n")).where("size(lines) >= 3")
-    b = b.withColumns({"time": F.trim(F.regexp_extract(F.get("lines", F.lit(1)), r"^(.*?)-->", 1)), "body": F.concat_ws(" ", F.slice("lines", 3, F.size("lines")))})
-    b = b.where("time rlike '^[^:,]*:[^:,]*:[^:,]*,[^:,]*$'")
-    part = lambda k: F.expr(f"try_cast(trim(get(split(time, '[:,]'), {k})) as double)")
-    b = b.withColumn("ts", part(0) * 3600 + part(1) * 60 + part(2) + part(3) / 1000)
     triple = rf"(?i)GPS\s*\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)"
-    num = lambda c: F.expr(f"try_cast({c} as double)")
-    b = b.withColumns({"t_lat": _bracket("latitude"), "t_lon": _bracket("longitude"), "abs": _tag("abs_alt"), "rel": _tag("rel_alt"), "old": _bracket("altitude")})
-    b = b.withColumns({"g_lat": F.regexp_extract("body", triple, 1), "g_lon": F.regexp_extract("body", triple, 2), "g_alt": F.regexp_extract("body", triple, 3)})
+    lines = F.transform(F.split(text, "\n\n"), lambda x, i: F.struct(i.alias("seq"), F.split(F.regexp_replace(x, r"^\n+|\n+$", ""), "\n").alias("lines")))
+    parts = F.transform(
+        F.filter(lines, lambda x: F.size(x.lines) >= 3),
+        lambda x: F.struct(x.seq.alias("seq"), F.trim(F.regexp_extract(F.get(x.lines, F.lit(1)), r"^(.*?)-->", 1)).alias("time"), F.concat_ws(" ", F.slice(x.lines, 3, F.size(x.lines))).alias("body")),
+    )
+    bracket = lambda body, name: F.regexp_extract(body, rf"(?i)\[\s*{name}\s*:\s*{_NUMBER}\s*\]", 1)
+    tag = lambda body, name: F.regexp_extract(body, rf"(?i)\b{name}\s*:\s*{_NUMBER}", 1)
+    read = F.transform(
+        parts,
+        lambda x: F.struct(
+            x.seq.alias("seq"), F.when(x.time.rlike("^[^:,]*:[^:,]*:[^:,]*,[^:,]*$"), F.split(x.time, "[:,]")).alias("time"), F.regexp_extract(x.body, triple, 0).alias("gps"),
+            *(bracket(x.body, name).alias(c) for c, name in (("t_lat", "latitude"), ("t_lon", "longitude"), ("old", "altitude"))), tag(x.body, "abs_alt").alias("abs"), tag(x.body, "rel_alt").alias("rel"),
+        ),
+    )
+    b = files.select(F.col(job).cast("long").alias("job_id"), F.inline(read)).where("time is not null")
+    number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
+    b = b.withColumn("g", F.split(F.regexp_replace("gps", r"^[^(]*\(|\)$", ""), ","))
     tagged = F.expr("t_lat <> '' and t_lon <> ''")
-    unread = lambda c: (F.col(c) != "") & num(c).isNull()
-    broken = tagged & (unread("abs") | unread("rel") | unread("old"))
+    unread = lambda c: (F.col(c) != "") & number(c).isNull()
     order = ("abs", "old", "rel") if altitude_mode == "absolute" else ("rel", "old", "abs")
-    b = b.where(~broken).select(
-        F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), "ts",
-        F.when(tagged, num("t_lat")).otherwise(num("g_lat")).alias("lat"),
-        F.when(tagged, num("t_lon")).otherwise(num("g_lon")).alias("lon"),
-        F.when(tagged, F.coalesce(*map(num, order), F.lit(0.0))).otherwise(num("g_alt")).alias("alt"),
+    b = b.where(~(tagged & (unread("abs") | unread("rel") | unread("old")))).select(
+        "job_id", F.col("seq").cast("long").alias("seq"), (number("time[0]") * 3600 + number("time[1]") * 60 + number("time[2]") + number("time[3]") / 1000).alias("ts"),
+        F.when(tagged, number("t_lat")).otherwise(number("get(g, 0)")).alias("lat"),
+        F.when(tagged, number("t_lon")).otherwise(number("get(g, 1)")).alias("lon"),
+        F.when(tagged, F.coalesce(*map(number, order), F.lit(0.0))).otherwise(number("get(g, 2)")).alias("alt"),
     )
     return b.where("ts is not null and lat is not null and lon is not null and alt is not null")
 
@@ -175,3 +175,10 @@ def parse_tracks(files: DataFrame, kind: str, job: str = "job_id", content: str
     length = F.col(duration).cast("double") if duration else F.lit(0.0)
     src = files.select(F.col(job).cast("long").alias("job_id"), F.col(content).cast("binary").alias("content"), length.alias("duration"))
     return src.mapInArrow(run, SAMPLES)
+
+
+def container_samples(tracks: DataFrame, job: str = "job_id") -> DataFrame:
+    """Samples of gpmd and camm tracks (job_id, tag, duration, payload), as sources.media.container_tracks gives them."""
+    tag = F.lower("tag")
+    gpmf = parse_tracks(tracks.where(tag.contains("gpmd")), "gpmf", job, "payload")
+    return gpmf.unionByName(parse_tracks(tracks.where(tag.contains("camm") & ~tag.contains("gpmd")), "camm", job, "payload", "duration"))

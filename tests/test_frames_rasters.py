@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry, raster
-from orbitframe.operators import frames as fr
+from orbitframe.operators import detections as det, frames as fr, telemetry
 from orbitframe.sources import media, sinks
 
 
@@ -156,12 +156,15 @@ def test_files_to_views_and_back(spark, tmp_path):
 
     from orbitframe.cli import main
 
-    assert main(["--input", str(tmp_path / "in"), "--output", str(out), "--resolution", "8", "--camera-count", "4", "--active-cameras", "0,2", "--interval", "1"]) == 0
+    assert main(["--input", str(tmp_path / "in"), "--output", str(out), "--resolution", "8", "--camera-count", "4", "--active-cameras", "0,2", "--interval", "1", "--format", "png"]) == 2  # one input can't be read
+    (src / "bad.png").unlink()
     made = sorted(p.relative_to(out).as_posix() for p in out.rglob("*.png"))
     assert made == sorted([f"clip_processed/clip_frame{k:06d}_View_{v}.png" for k in (0, 30, 60) for v in (0, 2)] + [f"pano_processed/pano_frame000000_View_{v}.png" for v in (0, 2)])
     seen = media.decode_png((out / "pano_processed/pano_frame000000_View_0.png").read_bytes())
     assert (seen == raster.remap(img, *raster.view_map(16, 32, 8, 8, 90.0, 0.0, 0.0, 0.0))).all()
-    assert main(["--config", "/nonexistent.json"]) == 1 and main([]) == 1
+    assert main(["--config", "/nonexistent.json"]) == 1 and main([]) == 1 and main(["--input", str(tmp_path / "none")]) == 1
+    for refused in (["--format", "jpg"], ["--quality", "80"], ["--altitude-mode", "above"]):
+        assert main(["--input", str(src), "--output", str(out), *refused]) == 1
 
     (src / "pano.gpx").write_text('<gpx><trk><trkseg><trkpt lat="-1.5" lon="2.25"><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>')
     assert main(["--input", str(src), "--output", str(out), "--flat", "--adaptive", "--motion-threshold", "50", "--export-telemetry", "--naming-mode", "simple"]) == 0
@@ -170,6 +173,81 @@ def test_files_to_views_and_back(spark, tmp_path):
     assert sinks.gps_directory(-1.5, 2.25, 0.0) in flat["pano_frame000000_flat.png"] and b"eXIf" not in flat["clip_frame000000_flat.png"]
 
 
+def test_masks_and_tiff_and_subtitles_from_the_command_line(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    out.mkdir()
+    img = np.random.default_rng(6).integers(0, 255, (8, 8, 3), np.uint8)
+    for name in ("a", "b", "c"):
+        (src / f"{name}.png").write_bytes(media.encode_png(img))
+    (src / "a.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\n[latitude: 1.5] [longitude: 2.5] [rel_alt: 3.5 abs_alt: 9]\n\n")
+    soft = [float(k >= 32) for k in range(64)]
+    rows = [(f"file:{src}/a.png", 0, "flat", 0, 0.9, 8, 8, soft), (f"file:{src}/b.png", 0, "flat", 0, 0.1, 8, 8, soft)]
+    found = str(tmp_path / "found.parquet")
+    spark.createDataFrame(rows, "path string, frame_idx long, name string, class_id int, conf double, height int, width int, prob array<double>").write.parquet(found)
+
+    from orbitframe.cli import main
+
+    args = ["--input", str(src), "--output", str(out), "--flat", "--naming-mode", "simple"]
+    assert main([*args, "--ai-mask", "--detections", found, "--export-telemetry", "--altitude-mode", "relative"]) == 0
+    files = {p.name: p.read_bytes() for p in out.rglob("*") if p.is_file()}
+    masks = {n: media.decode_png(d)[..., 0] for n, d in files.items() if "mask" in n}
+    assert len(masks) == 3 and sum((m == 255).all() for m in masks.values()) == 2
+    (hit,) = [m for m in masks.values() if not (m == 255).all()]
+    assert (hit[4:] == 0).all() and (hit[:3] == 255).all()
+    assert sinks.gps_directory(1.5, 2.5, 3.5) in files["a_frame000000_flat.png"]
+    again = tmp_path / "skip"
+    again.mkdir()
+    assert main(["--input", str(src), "--output", str(again), "--flat", "--ai-skip", "--detections", found, "--format", "tiff"]) == 0
+    made = {p.name: p.read_bytes() for p in again.rglob("*.tif")}
+    assert len(made) == 2 and all(d[:4] == b"II*\0" and img[..., ::-1].tobytes() in d for d in made.values())
+
+
+def test_detectors(spark):
+    dim, lit = np.zeros((4, 6), np.uint8), np.full((4, 6), 250, np.uint8)
+
+    class Bright:
+        def detect(self, images):
+            return [[det.Detection(0, float(x.mean()) / 255, (x[..., 0] if x.ndim == 3 else x) / 255.0)] if x.mean() > 10 else [] for x in images]
+
+    def broken():
+        raise OSError("no weights")
+
+    assert det.process_image(None, lit, "skip_frame", 0.5, None) == ("pass", None)
+    assert det.process_image(Bright(), lit, "skip_frame", 0.5, [0])[0] == "drop" and det.process_image(Bright(), lit, "skip_frame", 0.5, [1])[0] == "keep"
+    act, mask = det.process_image(Bright(), dim, "generate_mask", 0.5, None)
+    assert act == "empty_mask" and (mask == 255).all() and mask.shape == (4, 6)
+    act, mask = det.process_image(Bright(), lit, "generate_mask", 0.5, None, invert=False)
+    assert act == "mask" and (mask == 255).all()
+    rows = [(k, None if x is None else (4, 6, 1, bytearray(x.tobytes())), k != 3) for k, x in enumerate((dim, lit, None, lit))]
+    views = spark.createDataFrame(rows, "k int, view_image struct<height:int,width:int,channels:int,data:binary>, inside boolean")
+    got = lambda make: [r.ai_action for r in det.with_detector(views, make, "skip_frame", 0.5, None, scope="inside").orderBy("k").collect()]
+    assert got(Bright) == ["keep", "drop", "pass", "pass"] and got(broken) == got(None) == ["pass"] * 4
+    det.register("bright", Bright)
+    assert got("bright") == got(Bright)
+
+
+def test_seeks_metadata_and_small_pictures(spark, tmp_path):
+    (tmp_path / "clip.y4m").write_bytes(y4m(8, 4, 61))
+    (tmp_path / "short.y4m").write_bytes(y4m(8, 4, 60))
+    (tmp_path / "p.png").write_bytes(media.encode_png(np.zeros((3, 5), np.uint8)))
+    (tmp_path / "bad.png").write_bytes(b"no")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r.path.rsplit("/")[-1]: tuple(r)[1:] for r in media.media_metadata(files).collect()}
+    assert got == {"clip.y4m": (30.0, 61, 8, 4), "short.y4m": (30.0, 60, 8, 4), "p.png": (0.0, 1, 5, 3), "bad.png": (None,) * 4}
+    at = lambda only: {r.path.rsplit("/")[-1]: r.frame_idx for r in media.read_frames(files, only=only).where("error is null").collect()}
+    assert at("middle") == {"clip.y4m": 30, "short.y4m": 0, "p.png": 0} and set(at("first").values()) == {0}
+    frames = spark.createDataFrame([(j, k) for j, n in (("a", 61), ("b", 60)) for k in range(n)], "job_id string, frame_idx int")
+    assert {tuple(r) for r in fr.middle_frame(frames).collect()} == {("a", 30), ("b", 0)} and fr.first_frame(frames).count() == 2
+    img = np.random.default_rng(1).integers(0, 255, (20, 50, 3), np.uint8)
+    assert raster.thumbnail(img, 10).shape == (10, 10, 3) and (raster.thumbnail(np.full((4, 9), 7, np.uint8), 3) == 7).all()
+    assert (raster.area_resize(img, 50, 20) == img).all() and raster.area_resize(img, 25, 10)[0, 0, 0] == round(float(img[:2, :2, 0].mean()))
+    look = raster.preview(img, 0.0, 0.0, 0.0, 90.0, size=16, widest=25)
+    assert look.shape == (16, 16, 3) and raster.preview(None, 0, 0, 0, 90) is None
+    edge = raster.remap(np.full((4, 4), 200, np.uint8), np.array([[3.5, 1.0]]), np.array([[1.0, 1.0]]), wrap=False)
+    assert edge.tolist() == [[100, 200]]
+
+
 def test_places_in_files():
     png = media.encode_png(np.zeros((2, 2), np.uint8))
     once = sinks.with_gps(png, -1.5, 2.25, -3.0)
@@ -207,6 +285,40 @@ def test_tracks_of_a_container(spark):
     assert [(r.stream_index, r.kind, r.tag, r.duration) for r in media.isobmff_tracks(df).collect()] == [(0, "video", "avc1", 2.5), (1, "data", "gpmd", 2.5), (2, "subtitle", "tx3g", 2.5)]
 
 
+def test_samples_out_of_a_container(spark):
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    row = lambda *v: struct.pack(">5l", *v)
+    klv = lambda key, kind, size, count, body: key + bytes([ord(kind) if kind else 0, size]) + struct.pack(">H", count) + body + bytes(-len(body) % 4)
+    devc = lambda *rows: (lambda s: klv(b"DEVC", "", 4, len(s) // 4, s))((lambda s: klv(b"STRM", "", 4, len(s) // 4, s))(klv(b"SCAL", "l", 4, 5, row(10, 10, 1, 1, 1)) + klv(b"GPS5", "l", 20, len(rows), b"".join(row(*r) for r in rows))))
+    camm = lambda lat, lon: struct.pack("<HHddf", 0, 6, lat, lon, 1.0)
+    parts = [devc((100, 200, 5, 0, 0), (110, 210, 6, 0, 0)), camm(3.0, 4.0), devc((120, 220, 7, 0, 0)), camm(5.0, 6.0), b"tail"]
+    head = box(b"ftyp", b"isom")
+    body, at, places = b"", len(head) + 8, []
+    for p in parts:
+        places.append(at + len(body))
+        body += p
+    table = lambda kind, *v: box(kind, struct.pack(f">{len(v) + 1}I", 0, *v))
+
+    def trak(tag, sizes, chunks, runs, wide):
+        offsets = box(b"co64", struct.pack(f">II{len(chunks)}Q", 0, len(chunks), *chunks)) if wide else table(b"stco", len(chunks), *chunks)
+        stbl = box(b"stbl", box(b"stsd", bytes(4) + struct.pack(">II", 1, 16) + tag + bytes(8)) + table(b"stsz", 0, len(sizes), *sizes) + table(b"stsc", len(runs) // 3, *runs) + offsets)
+        mdhd = box(b"mdhd", bytes(12) + struct.pack(">II", 1000, 4000) + bytes(4))
+        return box(b"trak", box(b"mdia", mdhd + box(b"hdlr", bytes(8) + b"meta" + bytes(12)) + box(b"minf", stbl)))
+
+    moov = box(b"moov", trak(b"gpmd", [len(parts[0]), len(parts[2])], [places[0], places[2]], [1, 1, 1], False) + trak(b"camm", [len(parts[1]), len(parts[3])], [places[1], places[3]], [1, 1, 1], True))
+    data = head + box(b"mdat", body) + moov
+    df = spark.createDataFrame([(1, "a.mp4", bytearray(data)), (2, "b.mp4", bytearray(data[:200]))], "job_id long, path string, content binary")
+    got = media.container_tracks(df, payloads=True).collect()
+    assert [(r.tag, bytes(r.payload)) for r in got] == [("gpmd", parts[0] + parts[2]), ("camm", parts[1] + parts[3])]
+    from orbitframe.sources import tracks
+
+    boxes = media.container_tracks(df, payloads=True).withColumn("job_id", F.lit(1).cast("long"))
+    samples = {(r.lat, r.lon, r.alt, round(r.ts, 6)) for r in tracks.container_samples(boxes).collect()}
+    assert samples == {(10.0, 20.0, 5.0, 0.0), (11.0, 21.0, 6.0, round(1 / 18, 6)), (12.0, 22.0, 7.0, round(2 / 18, 6)), (3.0, 4.0, 1.0, 0.0), (5.0, 6.0, 1.0, 2.0)}
+    first = telemetry.chosen_tracks(boxes.select(F.lit(1).alias("media_id"), "kind", "tag", "stream_index", F.lit(0).alias("samples"), "payload", "duration", "job_id"))
+    assert first.count() == 1 and tracks.container_samples(first).count() == 3
+
+
 def test_interval_steps(spark):
     df = spark.createDataFrame([(0.5, "Seconds", 29.97), (1.0, "Seconds", 29.97), (2.9, "Frames", 0.0), (0.1, "Frames", 30.0), (3.0, "Seconds", 0.0)], "v double, u string, fps double")
     assert [r[0] for r in df.select(fr.interval_step(F.col("v"), F.col("u"), F.col("fps"))).collect()] == [14, 29, 2, 1, 1]

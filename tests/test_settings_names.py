@@ -66,7 +66,7 @@ def test_paths(spark):
 
 
 def test_classes_and_scope(spark):
-    names = det.class_names()
+    names = det.COCO
     assert len(names) == 80 and names[16] == "dog" and names[58] == "potted plant" and names[79] == "toothbrush"
     df = spark.createDataFrame([(1, " Dog, cat ,,unknown,DOG"), (2, None), (3, " ")], "id int, t string")
     assert sorted(map(tuple, det.class_ids(df, det.class_table(spark), "id", "t").collect())) == [(1, 15), (1, 16)]
