@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbitframe.llm import lines, mixing, pieces, simhash, toxicity
-from orbitframe.session import ensure_checkpoint_dir, read_table
+from orbitframe.session import ensure_checkpoint_dir, read_table, written_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -19,37 +19,55 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold; scores travel with the texts, so nothing is joined."""
+    """Documents whose toxicity score is below the threshold.
+
+    Scores travel with the rows, so nothing is joined: rows that share an id, or have none, are judged by
+    their own text, and repeated rows alike. Null and empty texts have a score as any other and stay where it is
+    low; long texts are scored whole. Without labels of both kinds the score is the share of toxic ones.
+    Columns besides COLUMNS are left out; an empty table gives no rows.
+    """
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return model.keep(docs, toxicity.THRESHOLD).select(*COLUMNS)
+    return model.keep(docs.select(*COLUMNS), toxicity.THRESHOLD)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows; a text that loses all lines goes with them."""
-    out = lines.line_dedup(docs)
+    """Texts without later occurrences of three-line windows; a text that loses all lines goes with them.
+
+    The first occurrence by id (null last) stays, so ties are only within an id, whose rows don't touch one another. Null
+    and empty texts and those of fewer lines stay as they are; long texts are worked through whole. n_chars is
+    counted anew. Columns besides COLUMNS are left out; an empty table gives no rows.
+    """
+    out = lines.line_dedup(docs.select(*COLUMNS))
     return _columns(out.where("n_removed = 0 or n_removed < n_lines"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, also where rows share an id or have none."""
-    return simhash.one_of_each_group(docs).select(*COLUMNS)
+    """One document of each group of near-duplicates, also where rows share an id or have none.
+
+    It is the first by id (null last), text hash and row. Null and empty texts are one group; repeated rows
+    leave one; long texts are fingerprinted whole. Columns besides COLUMNS are left out; an empty table gives no rows.
+    """
+    return simhash.one_of_each_group(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents without words aren't taken.
+    """Each document as often as the mix takes it, three times at most; documents without words (null, empty) aren't taken.
 
-    Rows of the same id (or without one), source and size share their copies, rounded up, so none is
-    in the mix more than three times.
+    Rows have keys of their own, so each has the copies the mix gave it, whether ids are null, shared or repeated; the
+    whole never passes the sum of all words. Ties are in the order of mix. Null sources are a source. Columns besides COLUMNS
+    are left out; an empty table gives no rows.
     """
-    taken = mixing.mix(docs).groupBy("id", "src", "size").agg(F.sum("taken").alias("_all"), F.count("*").alias("_rows")).where("_all > 0")
-    taken = taken.select(F.col("id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), F.ceil(F.col("_all") / F.col("size") / F.col("_rows")).cast("int").alias("_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (mixing.word_count(F.col("text")) == F.col("_size"))
-    out = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(*COLUMNS)
+    keyed = written_table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")))
+    taken = mixing.mix(keyed, name_col="key").where("taken > 0").select(F.col("name").alias("key"), F.expr("cast(taken div size as int)").alias("times"))
+    return keyed.join(taken, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, byte spans and decoded text's digest of every document that the mix took."""
+    """doc_id, ids, byte spans and decoded text's digest of every row that the mix took, repeats included.
+
+    Null texts are empty ones (two marks), null ids stay null, long texts are encoded whole; other columns are left out;
+    an empty table gives no rows.
+    """
     e = pieces.encode_documents(docs)
     return e.select(F.col("id").alias("doc_id"), "ids", F.col("starts").alias("piece_starts"), F.col("ends").alias("piece_ends"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -63,13 +81,26 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each but the last is written in the shared checkpoint folder and read again."""
+    """All stages on documents; each but the last is written in the shared checkpoint folder and read again.
+
+    A stage's input folder goes once its output is written; that of the last stage stays, since the
+    result is read from it.
+    """
     folder = os.path.join(ensure_checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            at = f"{folder}/{k}-{name}"
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
+            if before:
+                _remove(spark, before)
+            before = at
     return docs
