@@ -5,20 +5,30 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from orbitframe.session import cut_lineage
 
-def block_pairs(rows: DataFrame, key: str, guest: str | None, id_col: str, size: int) -> DataFrame:
+#: Keys whose sizes are broadcast at most.
+MAX_BROADCAST = 100_000
+
+
+def block_pairs(rows: DataFrame, key: str, guest: str | None, id_col: str, size: int, few: bool = False) -> DataFrame:
     """Rows dealt into tasks (key, lo, hi) that together compare each pair of a key once.
 
     A key's own rows are split by hash into blocks of about ``size``, its guests likewise; a task
     holds one own block (lo) with one other own block or guest block (hi), so no task grows with the key.
     Guests aren't compared with each other. ``left`` and ``right`` mark a row's side in its task; in a
     task of one block (lo = hi) rows are on both. A key with a single own row and no guest is dropped.
+    ``few``: there are few keys, whose sizes are counted first and broadcast up to MAX_BROADCAST of them.
     """
     g = F.col(guest) if guest else F.lit(False)
     sizes = rows.groupBy(key).agg(F.count_if(~g).alias("_own"), F.count_if(g).alias("_guests"))
     sizes = sizes.where("_own > 1 or (_own > 0 and _guests > 0)")
     blocks = lambda c: F.ceil(F.col(c) / F.lit(size)).cast("long")
     sizes = sizes.select(key, blocks("_own").alias("_no"), blocks("_guests").alias("_ng"))
+    if few:
+        sizes = cut_lineage(sizes)
+        if sizes.count() <= MAX_BROADCAST:
+            sizes = F.broadcast(sizes)  # so that no task gets a key's rows
     r = rows.join(sizes, key)
     at = F.pmod(F.xxhash64(id_col), F.when(g, F.col("_ng")).otherwise(F.col("_no")))
     r = r.withColumn("_b", at + F.when(g, F.col("_no")).otherwise(F.lit(0)))

@@ -134,7 +134,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     names = ["cid", "n", "vec", "cell", "guest"]
     dealt = classes.select("cid", "n", "vec").mapInArrow(place, "cid long, n long, vec array<double>, cell long, guest boolean")
-    pairs = block_pairs(dealt, "cell", "guest", "cid", BLOCK)
+    pairs = block_pairs(dealt, "cell", "guest", "cid", BLOCK, few=True)
 
     def compare(table: pa.Table) -> pa.Table:
         vec, cid = table["vec"].combine_chunks(), np.asarray(table["cid"])
