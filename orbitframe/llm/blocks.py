@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from orbitframe.session import cut_lineage
 
-#: Keys whose sizes are broadcast at most.
-MAX_BROADCAST = 100_000
+#: Keys whose sizes are broadcast at most. A key with more than one row in so many is joined apart.
+MAX_BROADCAST, HOT_SHARE = 100_000, 256
 
 
 def block_pairs(rows: DataFrame, key: str, guest: str | None, id_col: str, size: int, few: bool = False) -> DataFrame:
@@ -40,6 +40,23 @@ def block_pairs(rows: DataFrame, key: str, guest: str | None, id_col: str, size:
     return r.withColumns({"left": F.col("_b") == F.col("lo"), "right": F.col("_b") == F.col("hi")}).drop("_no", "_ng", "_b", "_p")
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str, *spread: str) -> DataFrame:
+    """rows with the columns of table (a row for each key, and its number of rows in ``count``), null where it has none.
+
+    Keys with more than one row in HOT_SHARE, of which there are fewer than HOT_SHARE, are broadcast; their rows, and those
+    of null keys, are dealt by ``spread`` in the join that brings the others, so no task gets a key's rows.
+    """
+    table = cut_lineage(table)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    more = [c for c in table.columns if c not in (key, count)]
+    of = lambda hot, name: table.where((F.col(count) * HOT_SHARE > total) == hot).select(F.col(key).alias(f"_{name}"), *(F.col(c).alias(f"_{name}_{c}") for c in more))
+    out = rows.join(F.broadcast(of(True, "hot")), F.col(key) == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(0)
+    rest = of(False, "rest").withColumn("_at", F.lit(0).cast("long"))
+    out = out.withColumn("_salt", salt).join(rest, (F.col(key) == F.col("_rest")) & (F.col("_salt") == F.col("_at")), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in more))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node it is connected to by edges a-b."""
     root = np.arange(n)

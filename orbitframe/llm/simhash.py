@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orbitframe.llm.batches import bound_batches, text_parts
+from orbitframe.llm.blocks import join_spread
 from orbitframe.llm.components import connected_components
 from orbitframe.session import cut_lineage, read_table, written_table
 
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     return src.mapInArrow(run, "id long, fp long")
 
 
@@ -127,14 +128,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints of at most ``distance`` differing bits link. Null and empty texts have fingerprint
     zero and link like others; a null id gets a row and never names a component unless all ids of
     its group are null. Repeated rows stay. An empty table gives no rows. Equal fingerprints are
-    one key in the search, however many rows have them.
+    one key in the search, however many rows have them, and rows of a very common one are spread in the join that names them.
+    Other columns, whatever their names, aren't read; very long texts are read whole.
     """
     fps = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     linked = linked_fingerprints(classes.select("fp"), distance)
     of = classes.join(linked, "fp")
     least = of.groupBy("comp").agg(F.min("rep").alias("component"))
-    return fps.join(of.join(least, "comp").select("fp", "component"), "fp").select("id", "fp", "component")
+    return join_spread(fps, of.join(least, "comp").select("fp", "n", "component"), "fp", "n", "id").select("id", "fp", "component")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orbitframe.llm.blocks import join_spread
 from orbitframe.session import cut_lineage, read_table
 
 #: (verdict, host suffix, path prefix); a rule's name is its host and path.
@@ -15,8 +16,6 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING, ROUNDS = 0.85, 15
-#: A host with more than one page in so many is joined apart.
-HOT_SHARE = 256
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -107,34 +106,19 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     exceeds its trust by ``threshold`` or more, else allowed. Null urls and those without :// have
     the empty host, which no rule fits and which is allowed; null ids and repeated rows stay. Null
     html has no links; html and urls of any length are read whole. Other columns may have any names. An
-    empty table gives no rows. A host may have any number of pages (see with_scores).
+    empty table gives no rows. A host may have any number of pages (see blocks.join_spread).
     """
     p = pages.select(F.col(id_col).cast("long").alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     name, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": name, "ruled": ruled})
     edges = cut_lineage(host_links(pages, url_col, html_col))
     scores = host_scores(p.where("host <> ''"), edges)
-    out = with_scores(p, scores)
+    out = join_spread(p.withColumn("at", F.nullif("host", F.lit(""))), scores.withColumnRenamed("host", "at"), "at", "n", "id", "path")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.coalesce("ruled", F.when(distrust - trust >= threshold, "block").otherwise("allow"))
     return out.select("id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
-def with_scores(pages: DataFrame, scores: DataFrame) -> DataFrame:
-    """pages (id, host, ...) with their host's trust and distrust, null without scores (host, n, trust, distrust).
-
-    Hosts with more than one page in HOT_SHARE, of which there are fewer than HOT_SHARE, are broadcast; their
-    pages are dealt by id in the join that brings the other hosts' scores, so no task gets a host.
-    """
-    total = scores.agg(F.sum("n")).first()[0] or 0
-    hot = scores.where(F.col("n") * HOT_SHARE > total).select(F.col("host").alias("hhost"), F.col("trust").alias("htrust"), F.col("distrust").alias("hdistrust"))
-    rest = scores.where(F.col("n") * HOT_SHARE <= total).select(F.col("host").alias("rhost"), F.col("trust").alias("rtrust"), F.col("distrust").alias("rdistrust"))
-    out = pages.join(F.broadcast(hot), F.col("host") == F.col("hhost"), "left")
-    dealt = F.when(F.col("hhost").isNotNull() | (F.col("host") == ""), F.concat(F.lit("/"), F.xxhash64("id", "path").cast("string"))).otherwise(F.col("host"))  # no host has a /
-    out = out.withColumn("dealt", dealt).join(rest, F.col("dealt") == F.col("rhost"), "left")
-    return out.withColumns({"trust": F.coalesce("htrust", "rtrust"), "distrust": F.coalesce("hdistrust", "rdistrust")}).drop("hhost", "htrust", "hdistrust", "rhost", "rtrust", "rdistrust", "dealt")
-
-
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = url_verdicts(read_table(spark, sf_dir, "pages"))
     return v.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))

@@ -50,3 +50,19 @@ def test_edge_cases(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [2, 2, 5, 9]
     assert simhash_groups(df.limit(0)).count() == 0
+
+
+def test_rows_of_a_very_common_key_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from orbitframe.llm.blocks import join_spread
+
+    rows = spark.createDataFrame([(i, 7 if i % 2 else (None if i % 5 == 0 else i)) for i in range(3000)], "id long, fp long")
+    table = rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("fp % 10 <> 6")
+    got = {r.id: r.first for r in join_spread(rows, table, "fp", "n", "id").collect()}
+    want = {}
+    for i in range(3000):
+        fp = 7 if i % 2 else (None if i % 5 == 0 else i)
+        want[i] = None if fp is None or fp % 10 == 6 else 1 if fp == 7 else i
+    assert got == want
+    assert join_spread(rows, table.limit(0), "fp", "n", "id").where("first is not null").count() == 0
