@@ -20,42 +20,42 @@ DEFAULTS = {
 ALIASES = {"interval": "interval_value", "format": "output_format", "layout": "layout_mode", "custom_classes": "ai_custom_classes"}
 AI_NONE, AI_SKIP, AI_MASK = "None", "Skip Frame", "Generate Mask"
 
+#: What a value given on the command line entails besides itself.
+ENTAILED = {
+    "flat": {"is_360": False}, "adaptive": {"adaptive_mode": True}, "export_telemetry": {"export_telemetry": True}, "interval_value": {"interval_unit": "Seconds"},
+}
+#: Where the AI mode comes from, first wins: a layer, its key, and the mode if that is a flag (None: the value is the mode).
+AI_SOURCES = (("given", "ai_skip", AI_SKIP), ("given", "ai_mask", AI_MASK), ("given", "ai", AI_MASK), ("config", "ai_mode", None), ("config", "ai", AI_MASK))
+TARGETS = ("humans", "vehicles", "plants")
+
+
+def _named(layer: dict, names: dict[str, str]) -> dict:
+    """A layer without nulls and with full names, which win over short ones."""
+    layer = {k: v for k, v in layer.items() if v is not None}
+    return {names[k]: v for k, v in layer.items() if k in names} | {k: v for k, v in layer.items() if k not in names}
+
 
 def resolved(config: dict, cli: dict) -> dict:
-    """The settings of a run: non-null command line values over the config over the defaults.
+    """The settings of a run: command line values over the config over the defaults; nulls say nothing.
 
-    Short names stand for the full ones (ALIASES), which win where a layer has both. An interval on the command
-    line is in seconds. The AI mode is that of the skip flag, else of the mask or ai flag, else the config's,
-    else that of its flag ai. Targets on the command line set all three detection flags. A pattern without
-    a mode means custom names. Flags only switch on.
+    Short names stand for the full ones (ALIASES). Values may entail others (ENTAILED); flags only switch on. The AI
+    mode is that of the first source that has one (AI_SOURCES). Targets on the command line set all three
+    detection flags, and a pattern without a mode means custom names.
     """
-    full = lambda d: {ALIASES[k]: v for k, v in d.items() if k in ALIASES} | {k: v for k, v in d.items() if k not in ALIASES}
-    config, given = full(config), full({k: v for k, v in cli.items() if v is not None})
-    out = dict(DEFAULTS) | {k: v for k, v in config.items() if k in DEFAULTS and v is not None}
-    flags = {"adaptive": "adaptive_mode", "export_telemetry": "export_telemetry"}
-    out |= {k: v for k, v in given.items() if k in DEFAULTS and k not in flags.values()}
-    if "interval_value" in given:
-        out["interval_unit"] = "Seconds"
-    if given.get("flat"):
-        out["is_360"] = False
-    if given.get("motion_threshold") is not None:
-        out["adaptive_threshold"] = given["motion_threshold"]
-    for flag, key in flags.items():
-        if given.get(flag):
-            out[key] = True
-    if given.get("ai_skip"):
-        out["ai_mode"] = AI_SKIP
-    elif given.get("ai_mask") or given.get("ai"):
-        out["ai_mode"] = AI_MASK
-    elif out["ai_mode"] == AI_NONE and config.get("ai"):
-        out["ai_mode"] = AI_MASK
-    if given.get("targets") is not None:
+    config, given = _named(config, ALIASES), _named(cli, ALIASES | {"motion_threshold": "adaptive_threshold"})
+    layers = {"given": given, "config": config}
+    out = DEFAULTS | {k: v for layer in (config, given) for k, v in layer.items() if k in DEFAULTS and not (layer is given and k in ENTAILED and isinstance(v, bool))}
+    for key, more in ENTAILED.items():
+        out |= more if key in given and given[key] is not False else {}
+    found = (mode or layers[layer][key] for layer, key, mode in AI_SOURCES if layers[layer].get(key) not in (None, False, AI_NONE))
+    out["ai_mode"] = next(found, AI_NONE)
+    if "targets" in given:
         chosen = {x.strip().lower() for x in given["targets"].split(",")}
-        out |= {f"ai_detect_{k}": k in chosen for k in ("humans", "vehicles", "plants")}
-    if "naming_mode" not in given and ("image_pattern" in given or "mask_pattern" in given):
+        out |= {f"ai_detect_{k}": k in chosen for k in TARGETS}
+    if "naming_mode" not in given and given.keys() & {"image_pattern", "mask_pattern"}:
         out["naming_mode"] = "custom"
-    if given.get("active_cameras") is not None or config.get("active_cameras") is not None:
-        out["active_cameras"] = given.get("active_cameras", config.get("active_cameras"))
+    if cameras := [x["active_cameras"] for x in (given, config) if "active_cameras" in x]:
+        out["active_cameras"] = cameras[0]
     if isinstance(out["ai_mask_cameras"], str):
         out["ai_mask_cameras"] = [x.strip() for x in out["ai_mask_cameras"].split(",") if x.strip()]
     return out
@@ -106,4 +106,7 @@ def merged_columns(rows: DataFrame, keys: dict[str, tuple]) -> DataFrame:
 
 
 def ai_mode_column(skip: Column, mask: Column, config_mode: Column, legacy: Column) -> Column:
-    return F.when(skip, AI_SKIP).when(mask, AI_MASK).otherwise(F.when(F.coalesce(config_mode, F.lit(AI_NONE)) != AI_NONE, config_mode).when(legacy, AI_MASK).otherwise(AI_NONE))
+    """The AI mode of each row by AI_SOURCES; mask stands for both of its flags."""
+    columns = {("given", "ai_skip"): skip, ("given", "ai_mask"): mask, ("config", "ai_mode"): config_mode, ("config", "ai"): legacy}
+    found = [F.when(columns[x[:2]], x[2]) if x[2] else F.nullif(columns[x[:2]], F.lit(AI_NONE)) for x in AI_SOURCES if x[:2] in columns]
+    return F.coalesce(*found, F.lit(AI_NONE))
