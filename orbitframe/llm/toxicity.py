@@ -217,9 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row of docs; see fit and ToxicityModel.score."""
+    """(id, score) of every row of docs; see fit and ToxicityModel.score.
+
+    Null and empty texts have the score of a text without features; very long ones are read whole. Null
+    ids stay and are never labelled; rows of an id that has a label all serve, repeated ones too. Ties stay ties.
+    Other columns, whatever their names, aren't read; an empty table gives no rows.
+    """
     model = fit(docs, labels, id_col, text_col)
-    return model.score(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return model.score(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 import random
 
 import duckdb
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from brute import components, simhash
-from orbitframe.llm.simhash import fingerprint, linked_fingerprints, near_dedup, op3_simhash_near_dedup, simhash_groups
+from orbitframe.llm.simhash import HALVES, THIRDS, fingerprint, linked_fingerprints, near_dedup, op3_simhash_near_dedup, simhash_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,8 @@ def test_whole_query_against_all_pairs(spark):
     assert got == {i: (f"{fp[i]:016x}", want[i]) for i in docs}
 
 
-def test_links_of_random_near_fingerprints(spark):
+@pytest.mark.parametrize("segments", [None, THIRDS, HALVES])
+def test_links_of_random_near_fingerprints(spark, segments):
     rng = random.Random(3)
     fps = set()
     for _ in range(40):
@@ -36,7 +38,7 @@ def test_links_of_random_near_fingerprints(spark):
                 x ^= 1 << b
             fps.add(x - (1 << 64) if x >> 63 else x)
     want = components(sorted(fps), lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4)
-    got = {r.fp: r.comp for r in linked_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    got = {r.fp: r.comp for r in linked_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), segments=segments).collect()}
     assert {frozenset(k for k in got if got[k] == c) for c in got.values()} == {frozenset(k for k in want if want[k] == c) for c in want.values()}
 
 
