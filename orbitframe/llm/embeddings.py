@@ -161,13 +161,13 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with recursive v as (
-  select row_number() over () as r, vec_id, list_transform(embedding, x -> x::double) as e,
-    embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-      and len(list_filter(embedding, x -> x <> 0)) > 0 as ok
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: coalesce(x::double, 0)) as e,
+    embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok
   from embeddings
 ),
-u as (select r, vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) as n from v where ok),
-link as (select a.r as a, b.r as b from u a join u b on a.r <> b.r and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+u as (select r, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v where ok),
+link as (select a.r as a, b.r as b from u a join u b on a.r <> b.r and case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9 else false end),
 reach(a, b) as (select r, r from v union select reach.a, link.b from reach join link on reach.b = link.a),
 comp as (select reach.a as r, min(v.vec_id) as component_id from reach join v on reach.b = v.r group by reach.a),
 links as (select a as r, count(*) as n from link group by a)
