@@ -302,13 +302,15 @@ def dilated_sql(df: DataFrame, flat: str, width: int, height: int, size: int = 3
     """df with the flat raster replaced by the maximum over size x size windows, inside the row: no row for each pixel, no shuffle."""
     lo, hi = size // 2, size - 1 - size // 2
 
-    def top(pos):
+    def top(values, pos):
         x, y = pos % width, F.floor(pos / width)
         inside = lambda k, n, d: (k + d >= 0) & (k + d < n)
-        near = [F.when(inside(x, width, dx) & inside(y, height, dy), F.get(F.col(flat), (pos + dy * width + dx).cast("int"))) for dy in range(-lo, hi + 1) for dx in range(-lo, hi + 1)]
+        near = [F.when(inside(x, width, dx) & inside(y, height, dy), F.get(values, (pos + dy * width + dx).cast("int"))) for dy in range(-lo, hi + 1) for dx in range(-lo, hi + 1)]
         return F.greatest(*near) if len(near) > 1 else near[0]
 
-    return df.withColumn(flat, F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), top))
+    every = F.sequence(F.lit(0), F.lit(width * height - 1))
+    # As an element of an array the raster is worked out once, not for each pixel.
+    return df.withColumn(flat, F.get(F.transform(F.array(flat), lambda values: F.transform(every, lambda pos: top(values, pos))), F.lit(0)))
 
 
 def gathered(df: DataFrame, key: str, flat: str, width: int, height: int, coords: DataFrame, bilinear: bool) -> DataFrame:
