@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitframe.llm import embeddings, lines, mixing, passages, pieces, secrets, simhash, toxicity, urls, winnowing
+from orbitframe.llm import embeddings, lines, mixing, owners, passages, pieces, runs, secrets, simhash, spelling, toxicity, urls, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         winnowing.op8_winnowing,
         embeddings.op9_embedding_near_dedup,
         urls.op10_url_filters,
+        owners.op11_exact_dedup,
+        spelling.op12_spelling_variants,
+        runs.op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_embedding_near_dedup": embeddings.OP9_SQL}
+    return {"op5_line_dedup": lines.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_embedding_near_dedup": embeddings.OP9_SQL, "op11_exact_dedup": owners.OP11_SQL}
