@@ -3,38 +3,42 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbitframe.functions import geometry, naming, raster
 from orbitframe.operators import detections as det, frames as fr, telemetry
 from orbitframe.plans import settings
-from orbitframe.sources import media, sinks, tracks
+from orbitframe.session import written_table
+from orbitframe.sources import containers, media, rawvideo, sinks, tracks
 
+#: Files that places come from, and the formats that are written, with their suffixes.
+TEXTS, CONTAINERS = "*.{[gG][pP][xX],[sS][rR][tT]}", "*.{[mM][pP]4,[mM][oO][vV]}"
+FORMATS = {"jpg": "jpg", "jpeg": "jpg", "png": "png", "tiff": "tif", "tif": "tif"}
+#: Tasks that raw frames are dealt to, for each core.
+SPREAD = 4
 
-#: Files that are read: images and videos, and what telemetry comes from.
-MEDIA, PLACES = "*.{[pP][nN][gG],[yY]4[mM]}", "*.{[gG][pP][xX],[sS][rR][tT],[mM][pP]4,[mM][oO][vV]}"
-FORMATS = {"png": "png", "tiff": "tif", "tif": "tif"}
 
+def stem_key(path: str = "path"):
+    """What files of one folder and name share, whatever their suffix."""
+    return F.xxhash64(F.lower(F.regexp_replace(media.same_path(F.col(path)), r"\.[^./]*$", "")))
 
-def read_files(spark: SparkSession, folder: str, glob: str):
-    """Paths and contents of a folder's files of these suffixes; others aren't opened. A single file is read whatever its name."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if not re.search(r"\.[^./]+$", folder):
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
 
+def samples_of(spark: SparkSession, folder: str, altitude_mode: str) -> DataFrame:
+    """Samples of each stem from its .gpx file, else its .srt file, else the first telemetry track of its container.
 
-def samples_of(files, altitude_mode: str):
-    """Samples of each stem from its .gpx file, else its .srt file, else the first telemetry track of its container."""
-    key = F.xxhash64(F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))).alias("job_id")
-    of = lambda *suffix: files.where(naming.suffix(F.col("path")).isin(*suffix)).select(key, "content")
-    boxes = media.container_tracks(files.where(naming.suffix(F.col("path")).isin("mp4", "mov")).select("path", "content"), payloads=True)
+    Of containers only headers and the tracks' samples are read.
+    """
+    key = stem_key().alias("job_id")
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", TEXTS).load(folder)
+    of = lambda suffix: texts.where(naming.suffix(F.col("path")) == suffix).select(key, "content")
+    boxes = containers.container_tracks(media.listed(spark, folder, CONTAINERS).select("path"), payloads=True)
     streams = boxes.select(key, F.col("path").alias("media_id"), "kind", "tag", "stream_index", F.lit(0).alias("samples"), "duration", "payload")
-    parsed = [tracks.parse_tracks(of("gpx"), "gpx"), tracks.parse_srt(of("srt"), altitude_mode), tracks.container_samples(telemetry.chosen_tracks(streams))]
+    chosen = tracks.container_samples(telemetry.chosen_tracks(streams), altitude_mode=altitude_mode)
+    parsed = [tracks.parse_tracks(of("gpx"), "gpx"), tracks.parse_srt(of("srt"), altitude_mode), chosen]
     every = None
     for rank, part in enumerate(parsed):
         part = telemetry.sanitized(part).withColumn("rank", F.lit(rank))
@@ -43,81 +47,145 @@ def samples_of(files, altitude_mode: str):
     return every.join(best, (F.col("job_id") == F.col("best_job")) & (F.col("rank") == F.col("best"))).drop("rank", "best", "best_job")
 
 
-def located(frames, samples):
-    """frames with lat, lon and alt from samples of the same folder and stem; null without any.
-
-    Only keys and times go through the windows; images meet their places in one join.
-    """
-    key = F.xxhash64(F.lower(F.regexp_replace("path", r"\.[^./]*$", "")))
-    times = frames.select(key.alias("job_id"), "path", "frame_idx", fr.frame_time(F.col("frame_idx"), F.col("fps")).alias("t"))
+def located(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """rows (path, frame_idx, fps, ...) with lat, lon and alt from samples of the same folder and stem; null without any."""
+    times = rows.select(stem_key().alias("job_id"), "path", "frame_idx", fr.frame_time(F.col("frame_idx"), F.col("fps")).alias("t")).distinct()
     places = telemetry.interpolated(times, samples)
-    return frames.join(places.select("path", "frame_idx", "lat", "lon", "alt"), ["path", "frame_idx"], "left")
-
+    return rows.join(places.select("path", "frame_idx", "lat", "lon", "alt"), ["path", "frame_idx"], "left")
 
-def detected(looks, s: dict):
-    """looks with ai_action and mask from the table of detections in the settings; without one all pass."""
-    mode = {settings.AI_SKIP: "skip_frame", settings.AI_MASK: "generate_mask"}.get(s["ai_mode"])
-    if mode is None or not s.get("detections"):
-        return looks.withColumns({"ai_action": F.lit("pass"), "mask": F.lit(None).cast(raster.IMAGE)})
-    spark, on = looks.sparkSession, ["path", "frame_idx", "name"]
-    custom = [k for k, name in enumerate(det.COCO) if name in {x.strip().lower() for x in s["ai_custom_classes"].split(",")}]
-    wanted = sorted({k for c in det.PRESETS if s[f"ai_detect_{c}"] for k in det.PRESETS[c]} | set(custom)) or [0]
-    found = det.confident(spark.read.parquet(s["detections"]), wanted, float(s["ai_confidence"]))
-    local = lambda d: d.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    found, looks = local(found), local(looks)
-    scope = det.face_scope(F.lit(",".join(s["ai_mask_cameras"]))) if s["ai_mask_cameras"] else None
-    looks = det.outcomes(looks, found.withColumn("has_mask", F.col("prob").isNotNull()), on, mode, None if scope is None else det.in_scope(F.col("name"), scope))
-    looks = looks.where("ai_action <> 'drop'")
-    return det.with_table_masks(looks, found.select(*on, "height", "width", "prob"), on, bool(s["ai_invert_mask"]), bool(s["feather_mask"]))
 
+def video_keys(spark: SparkSession, folder: str, s: dict) -> DataFrame:
+    """The frames to take of the raw videos, by place; with adaptive keyframes those that move, for which small images are taken of all."""
+    keys = rawvideo.frame_keys(media.listed(spark, folder, media.VIDEOS), interval=(float(s["interval_value"]), s["interval_unit"]))
+    # Runs of neighbouring frames, so that a long file is many tasks and a task opens few files.
+    keys = written_table(keys)
+    deal = lambda k: k.repartitionByRange(SPREAD * spark.sparkContext.defaultParallelism, "path", "frame_idx")
+    if s["adaptive_mode"]:
+        moving = fr.motion_keys(rawvideo.decoded(deal(keys.where("error is null"))), float(s["adaptive_threshold"]))
+        keys = written_table(keys.join(moving, ["path", "frame_idx"], "left_semi").unionByName(keys.where("error is not null")))
+    return deal(keys)
 
-def extract(spark: SparkSession, folder: str, s: dict):
-    """The manifest (path, length, ok, error) of views and masks written for the PNG images and raw videos under a folder.
 
-    A file that can't be read is a row of its own with the error and ends nothing else.
-    """
-    files = read_files(spark, folder, MEDIA)
-    every = media.read_frames(files, interval=(float(s["interval_value"]), s["interval_unit"]))
-    failed = every.where("error is not null").select("path", F.lit(0).cast("long").alias("length"), F.lit(False).alias("ok"), "error")
-    frames = every.where("error is null")
-    if s["adaptive_mode"]:
-        frames = fr.motion_keyframes(frames, float(s["adaptive_threshold"]))
-    place = ("lat", "lon", "alt") if s["export_telemetry"] else ()
-    if place:
-        frames = located(frames, samples_of(read_files(spark, folder, PLACES), s["altitude_mode"]))
+def looks_of(frames: DataFrame, s: dict) -> DataFrame:
+    """frames as views with view_image, score, ai_action and mask, a row for each view; a frame with an error is one row."""
+    spark = frames.sparkSession
     if s["is_360"]:
         views = geometry.generate_views(spark, int(s["camera_count"]), float(s["pitch_offset"]), s["layout_mode"])
-        looks = raster.reproject(frames, geometry.active_views(views, s.get("active_cameras")), int(s["resolution"]), float(s["fov"]), s["interpolation_mode"] == "lanczos")
+        views = geometry.active_views(views, s.get("active_cameras"))
+        first = views.agg(F.min("view_idx")).first()[0]
+        looks = raster.reproject(frames, views, int(s["resolution"]), float(s["fov"]), s["interpolation_mode"] == "lanczos")
+        looks = looks.where(F.col("error").isNull() | (F.col("view_idx") == F.lit(first)))
     else:
         looks = frames.withColumns({"name": F.lit("flat"), "view_idx": F.lit(0), "view_image": F.col("image")})
     looks = looks.drop("image")
-    if s["blur_filter_enabled"]:
-        looks = raster.with_image_column(looks, "score", "double", raster.blur_score, "view_image")
-        floor = float(s["blur_threshold"])
-        looks = fr.smart_blur(looks, floor, job="path") if s["smart_blur_enabled"] else fr.blur_floor(looks, floor)
+    looks = raster.with_image_column(looks, "score", "double", raster.blur_score, "view_image") if s["blur_filter_enabled"] else looks.withColumn("score", F.lit(None).cast("double"))
+    if s["blur_filter_enabled"] and not s["smart_blur_enabled"]:
+        looks = looks.where((F.col("score") >= float(s["blur_threshold"])) | F.col("error").isNotNull())
     if s["sharpening_enabled"]:
         looks = raster.with_image_column(looks.withColumnRenamed("view_image", "_plain"), "view_image", raster.IMAGE, lambda px: None if px is None else raster.sharpen(px, float(s["sharpening_strength"])), "_plain").drop("_plain")
-    looks = detected(looks, s)
-    ext = FORMATS.get(s["output_format"].lower(), "png")
+    mode, scope = ai_mode(s), face_scope(s)
+    if mode is None or not s.get("detector"):
+        return looks.withColumns({"ai_action": F.lit("pass"), "mask": F.lit(None).cast(raster.IMAGE)})
+    looks = looks.withColumn("_inside", F.lit(True) if scope is None else det.in_scope(F.col("name"), scope))
+    make = det.maker(s["detector"])
+    return det.with_detector(looks, make, mode, float(s["ai_confidence"]), wanted_classes(s), bool(s["ai_invert_mask"]), bool(s["feather_mask"]), scope="_inside").drop("_inside")
+
+
+def ai_mode(s: dict) -> str | None:
+    return {settings.AI_SKIP: "skip_frame", settings.AI_MASK: "generate_mask"}.get(s["ai_mode"])
+
+
+def face_scope(s: dict):
+    return det.face_scope(F.lit(",".join(s["ai_mask_cameras"]))) if s["ai_mask_cameras"] else None
+
+
+def wanted_classes(s: dict) -> list[int]:
+    custom = [k for k, name in enumerate(det.COCO) if name in {x.strip().lower() for x in s["ai_custom_classes"].split(",")}]
+    return sorted({k for c in det.PRESETS if s[f"ai_detect_{c}"] for k in det.PRESETS[c]} | set(custom)) or [0]
+
+
+def with_table_outcomes(rows: DataFrame, s: dict) -> tuple[DataFrame, DataFrame | None]:
+    """rows with the ai_action that the table of detections in the settings gives them, and the detections, if there are."""
+    mode = ai_mode(s)
+    if mode is None or not s.get("detections"):
+        return rows, None
+    on, scope = ["path", "frame_idx", "name"], face_scope(s)
+    found = det.confident(rows.sparkSession.read.parquet(s["detections"]), wanted_classes(s), float(s["ai_confidence"]))
+    found = found.withColumn("path", media.same_path(F.regexp_replace("path", "^/", "file:/")))
+    return det.outcomes(rows.drop("ai_action"), found.withColumn("has_mask", F.col("prob").isNotNull()), on, mode, None if scope is None else det.in_scope(F.col("name"), scope)), found
+
+
+def table_masks(kept: DataFrame, found: DataFrame, s: dict) -> DataFrame:
+    """(output_dir, image_name, view_image): the masks of kept views from a table of detections; the views' sizes are known, so no image is read again."""
+    on = ["path", "frame_idx", "name"]
+    rows = kept.where(F.col("ai_action").isin("mask", "empty_mask")).select(*on, "output_dir", F.col("mask_name").alias("image_name"), "ai_action", "height", "width")
+    found = found.where("prob is not null").groupBy(*on).agg(F.collect_list(F.struct("height", "width", "prob")).alias("found"))
+    return det.with_sized_masks(rows.join(found, on, "left"), bool(s["ai_invert_mask"]), bool(s["feather_mask"]), "view_image").select("output_dir", "image_name", "view_image")
+
+
+def staged_views(spark: SparkSession, folder: str, s: dict, run_id: str) -> DataFrame:
+    """The rows of sinks.staged for every view, and mask of a detector: one pass from the files that are read to those of the attempt."""
+    frames = media.still_frames(spark, folder).withColumn("place", F.lit(None).cast("long"))
+    frames = frames.unionByName(rawvideo.decoded(video_keys(spark, folder, s)))
+    looks = looks_of(frames, s)
+    ext = FORMATS[s["output_format"].lower()]
     image, mask = naming.output_names(s["naming_mode"], naming.stem(F.col("path")), F.col("frame_idx"), F.col("name"), ext, s["image_pattern"], s["mask_pattern"])
     folder_of = naming.output_dir(F.regexp_replace("path", "^file:/+", "/"), F.lit(s["custom_output_dir"] if os.path.isdir(s["custom_output_dir"] or "") else ""))
-    looks = looks.select(folder_of.alias("output_dir"), image.alias("image_name"), mask.alias("mask_name"), "view_image", "mask", *place)
-    done = sinks.write_files(sinks.encoded(looks.drop("mask", "mask_name"), ext=ext))
-    if s["ai_mode"] == settings.AI_MASK and s.get("detections"):
-        masks = looks.where("mask is not null").select("output_dir", F.col("mask_name").alias("image_name"), F.col("mask").alias("view_image"))
-        done = done.unionByName(sinks.write_files(sinks.encoded(masks)))
-    return done.unionByName(failed)
-
-
-def refused(args: dict, s: dict) -> str | None:
-    """Why settings can't be carried out, or None. Nothing that is asked for is left out silently."""
-    form = (args.get("format") or s["output_format"]).lower()
-    if args.get("format") and form not in FORMATS:
-        return f"--format {args['format']}: png and tiff are written; other formats need an encoder that isn't here"
-    if args.get("quality") is not None:
-        return "--quality: it is for jpg, which isn't written"
+    row = ("path", "frame_idx", "fps", "name", "view_idx", "score", "ai_action", "error")
+    size = (F.col("view_image.height").alias("height"), F.col("view_image.width").alias("width"))
+    looks = looks.select(*row, *size, folder_of.alias("output_dir"), image.alias("image_name"), mask.alias("mask_name"), "view_image", "mask")
+    if s.get("detector"):
+        file = lambda name, px, kind, is_mask: F.struct(F.col(name).alias("file_name"), F.col(px).alias("px"), F.lit(kind).alias("ext"), F.lit(is_mask).alias("is_mask"))
+        files = F.filter(F.array(file("image_name", "view_image", ext, False), file("mask_name", "mask", "png", True)), lambda f: ~f.is_mask | f.px.isNotNull())
+        looks = looks.select(*row, "height", "width", "output_dir", "mask_name", F.inline(files))
+    else:
+        looks = looks.select(*row, "height", "width", "output_dir", "mask_name", F.col("image_name").alias("file_name"), F.col("view_image").alias("px"), F.lit(ext).alias("ext"), F.lit(False).alias("is_mask"))
+    files = sinks.encoded(looks, "px", quality=int(s["quality"]), ext_col="ext").drop("px")
+    return sinks.staged(files, run_id, name="file_name")
+
+
+def extract(spark: SparkSession, folder: str, s: dict) -> DataFrame:
+    """The manifest (path, length, ok, error) of views and masks written for the images and raw videos under a folder.
+
+    Each image is decoded once, whatever the settings, in one stage that ends in files of the attempt; raw frames are read twice for adaptive
+    keyframes, the second time only those kept. Images don't pass through joins or exchanges: smart blur, places and outcomes of a table are decided on
+    the rows of what was staged, and then files are published or dropped. A file that can't be read is a row with the error and ends nothing else.
+    """
+    run_id = uuid.uuid4().hex
+    manifest = written_table(staged_views(spark, folder, s, run_id))
+    rows, found = with_table_outcomes(manifest, s)
+    keep = F.col("ai_action") != "drop"
+    if s["blur_filter_enabled"] and s["smart_blur_enabled"]:
+        on = ["path", "frame_idx", "view_idx"]
+        sharp = fr.smart_blur(manifest.where("not is_mask and error is null").select(*on, "score"), float(s["blur_threshold"]), job="path").select(*on, F.lit(True).alias("sharp"))
+        rows = rows.join(sharp, on, "left")
+        keep = keep & (F.col("sharp").isNotNull() | F.col("error").isNotNull())
+    if s["export_telemetry"]:
+        places = samples_of(spark, folder, s["altitude_mode"])
+        rows = located(rows, places).withColumns({c: F.when(~F.col("is_mask"), F.col(c)) for c in ("lat", "lon", "alt")})
+    rows = written_table(rows.withColumn("keep", keep))
+    done = written_table(sinks.published(rows, name="file_name"))
+    if found is not None and ai_mode(s) == "generate_mask":
+        masks = sinks.encoded(table_masks(rows.where("keep and part is not null"), found, s))
+        masks = written_table(sinks.staged(masks.drop("view_image"), run_id)).withColumn("keep", F.lit(True))
+        done = written_table(done.unionByName(sinks.published(masks)))
+    sinks.cleared(rows, run_id).write.format("noop").mode("overwrite").save()
+    return done
+
+
+def refused(s: dict) -> str | None:
+    """Why settings, of the command line or a config, can't be carried out, or None. Nothing that is asked for is left out silently."""
+    if s["output_format"].lower() not in FORMATS:
+        return f"format {s['output_format']}: jpg, png and tiff are written"
+    if not str(s["quality"]).isdigit() or not 1 <= int(s["quality"]) <= 100:
+        return f"quality {s['quality']}: 1 to 100"
     if s["altitude_mode"] not in ("absolute", "relative"):
-        return f"--altitude-mode {s['altitude_mode']}: absolute or relative"
+        return f"altitude mode {s['altitude_mode']}: absolute or relative"
+    if s.get("detector"):
+        try:
+            det.maker(s["detector"])
+        except LookupError as e:
+            return str(e)
     return None
 
 
@@ -134,12 +202,12 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     args["active_cameras"] = geometry.parse_active(args["active_cameras"])
     args["custom_output_dir"] = args.pop("output")
-    s = settings.resolved(config, args) | {"detections": args["detections"] or config.get("detections")}
-    if why := refused(args, s):
+    s = settings.resolved(config, args) | {k: args[k] or config.get(k) for k in ("detections", "detector")}
+    if why := refused(s):
         print(why, file=sys.stderr)
         return 1
-    if s["ai_mode"] != settings.AI_NONE and not s["detections"]:
-        print("no --detections table: views pass as without a detector", file=sys.stderr)
+    if s["ai_mode"] != settings.AI_NONE and not (s["detections"] or s["detector"]):
+        print("no --detector and no --detections table: views pass as without a detector", file=sys.stderr)
     try:
         done = extract(SparkSession.builder.getOrCreate(), folder, s)
     except AnalysisException as e:

@@ -17,8 +17,9 @@ IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 
 
 def to_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
-    """Pixels of an image row: blue, green, red for three channels."""
-    return np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    """Pixels of an image row: blue, green, red for three channels or more, without opacity."""
+    px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return px[..., :3] if channels > 3 else px
 
 
 def gray(img: np.ndarray) -> np.ndarray:

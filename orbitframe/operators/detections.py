@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
@@ -108,6 +109,17 @@ def register(name: str, make: Callable[[], Detector]) -> None:
     DETECTORS[name] = make
 
 
+def maker(name: str) -> Callable[[], Detector]:
+    """The maker registered under a name, or that of ``module:function``; LookupError if there is none."""
+    if name in DETECTORS:
+        return DETECTORS[name]
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (AttributeError, ImportError, ValueError) as e:
+        raise LookupError(f"no detector {name}: {e}") from e
+
+
 def process_batch(detector: Detector | None, images: list[np.ndarray | None], mode: str, confidence: float, classes: list[int] | None, invert: bool = True, feather: bool = False) -> list[tuple[str, np.ndarray | None]]:
     """(action, mask) of each image: pass, drop, keep, or mask with the mask; see outcomes.
 
@@ -161,6 +173,26 @@ def with_detector(views: DataFrame, make: Callable[[], Detector] | str | None, m
     return views.mapInArrow(run, StructType([*views.schema.fields, *StructType.fromDDL(f"ai_action string, mask {raster.IMAGE}").fields]))
 
 
+def _soft_mask(found: list | None, height: int, width: int, invert: bool, feather: bool) -> np.ndarray:
+    soft = [np.asarray(x["prob"], float).reshape(x["height"], x["width"]) for x in found or ()]
+    return raster.detection_mask(np.stack(soft) if soft else np.zeros((0, height, width)), width, height, invert, feather)
+
+
+def with_sized_masks(rows: DataFrame, invert: bool = True, feather: bool = False, out: str = "mask") -> DataFrame:
+    """rows (height, width, found array<struct<height,width,prob>>) with the mask of their detections; empty ones where nothing was found. No image is needed."""
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"{out} {raster.IMAGE}").fields])
+    names, kind = rows.columns, raster._arrow(raster.IMAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = lambda c: b.column(names.index(c)).to_pylist()
+            masks = [_soft_mask(found, h, w, invert, feather) for found, h, w in zip(at("found"), at("height"), at("width"))]
+            made = [{"height": m.shape[0], "width": m.shape[1], "channels": 1, "data": m.tobytes()} for m in masks]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], schema=pa.schema([*zip(b.schema.names, b.schema.types), (out, kind)]))
+
+    return rows.mapInArrow(run, schema)
+
+
 def with_table_masks(views: DataFrame, detections: DataFrame, on: list[str], invert: bool = True, feather: bool = False, image: str = "view_image") -> DataFrame:
     """views (with ai_action of outcomes) with ``mask`` from a table of detections (on, height, width, prob array<float>).
 
@@ -172,8 +204,6 @@ def with_table_masks(views: DataFrame, detections: DataFrame, on: list[str], inv
     def mask(img, action, found):
         if img is None or action not in ("mask", "empty_mask"):
             return None
-        h, w = img.shape[:2]
-        soft = [np.asarray(x["prob"], float).reshape(x["height"], x["width"]) for x in found or ()]
-        return raster.detection_mask(np.stack(soft) if soft else np.zeros((0, h, w)), w, h, invert, feather)
+        return _soft_mask(found, *img.shape[:2], invert, feather)
 
     return raster.with_image_column(views.join(found, on, "left"), "mask", raster.IMAGE, mask, image, ("ai_action", "_found")).drop("_found")

@@ -117,8 +117,8 @@ def adaptive_keyframes(frames: DataFrame, threshold: float, value: str = "value"
     return kept_rows(frames, job, order, F.col(value), keyframe_machine(threshold, motion))
 
 
-def motion_keyframes(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
-    """Frames whose mean flow from the last kept frame of their job exceeds ``threshold``; unreadable frames don't move.
+def motion_keys(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """(job, order) of the frames whose mean flow from the last kept frame of their job exceeds ``threshold``; unreadable frames don't move.
 
     What is dealt out and sorted are the small gray images that the flow is taken of, not the frames.
     """
@@ -128,8 +128,12 @@ def motion_keyframes(frames: DataFrame, threshold: float, image: str = "image",
         return raster.motion_score(*px)
 
     small = raster.with_image_column(frames.select(job, *order, image), "_small", raster.IMAGE, raster.motion_input, image).drop(image)
-    kept = ordered_scan(small, job, list(order), "_small", "_keep", keyframe_machine(threshold, motion)).where("_keep").select(job, *order)
-    return frames.join(kept, [job, *order], "left_semi")
+    return ordered_scan(small, job, list(order), "_small", "_keep", keyframe_machine(threshold, motion)).where("_keep").select(job, *order)
+
+
+def motion_keyframes(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """The frames of motion_keys. The frames are worked out twice; where that is dear, filter keys by motion_keys and decode what is left."""
+    return frames.join(motion_keys(frames, threshold, image, job, order), [job, *order], "left_semi")
 
 
 def blur_floor(frames: DataFrame, floor: float, score: str = "score") -> DataFrame:

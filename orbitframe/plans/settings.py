@@ -88,7 +88,7 @@ def save(path: str, settings: dict) -> None:
 def arguments() -> argparse.ArgumentParser:
     """The command line of the extraction."""
     p = argparse.ArgumentParser(prog="orbitframe", description="Extract views from panoramic and flat frames with Spark.")
-    for name in ("input", "output", "config", "layout", "format", "active-cameras", "targets", "image-pattern", "mask-pattern", "ai-mask-cameras", "custom-classes", "altitude-mode", "detections"):
+    for name in ("input", "output", "config", "layout", "format", "active-cameras", "targets", "image-pattern", "mask-pattern", "ai-mask-cameras", "custom-classes", "altitude-mode", "detections", "detector"):
         p.add_argument(f"--{name}")
     p.add_argument("--naming-mode", choices=("realityscan", "simple", "custom"))
     for name in ("resolution", "camera-count", "quality"):

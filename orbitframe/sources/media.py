@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orbitframe.functions import naming
-from orbitframe.functions.raster import IMAGE, _arrow
+from orbitframe.functions.raster import IMAGE
+from orbitframe.sources import rawvideo
+from orbitframe.sources.containers import container_tracks, isobmff_tracks  # noqa: F401
+from orbitframe.sources.stores import Ranged
 
-Y4M_BLOCK = 8
+#: Names of images and of raw videos.
+STILLS, VIDEOS = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[tT][iI][fF],[tT][iI][fF][fF]}", "*.[yY]4[mM]"
+PNG = b"\x89PNG\r\n\x1a\n"
 
 
 def list_media(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,47 +36,89 @@ def with_sidecars(media: DataFrame, files: DataFrame) -> DataFrame:
     return media.withColumn("_k", key(F.col("path"))).join(g, "_k", "left").drop("_k")
 
 
+def same_path(path: Column) -> Column:
+    """Paths of mounted files in one form, whatever source they come from."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def still_frames(spark: SparkSession, folder: str, glob: str = STILLS) -> DataFrame:
+    """(path, frame_idx, fps, image, error) of the JPEG, PNG and TIFF images under a folder, decoded by Spark's image source.
+
+    Pixels are blue, green, red (and opacity, which the kernels leave out), or one channel; deeper ones are brought to 8 bits, palettes
+    are looked up. A file that can't be read is a row with an error.
+    """
+    reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
+    if not _is_file(folder):
+        reader = reader.option("pathGlobFilter", glob)
+    i = reader.load(folder).select("image.*")
+    path = same_path(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))))
+    good = F.col("height") > 0
+    image = F.when(good, F.struct("height", "width", F.col("nChannels").alias("channels"), "data")).cast(IMAGE)
+    return i.select(path.alias("path"), F.lit(0).cast("long").alias("frame_idx"), F.lit(0.0).alias("fps"), image.alias("image"), F.when(good, None).otherwise(F.lit("unreadable")).alias("error"))
+
+
+def listed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(path, length) of the files under a folder whose names fit; nothing is opened. A single file is listed whatever its name."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not _is_file(folder):
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(folder).select(same_path(F.col("path")).alias("path"), "length")
+
+
+def _is_file(folder: str) -> bool:
+    return bool(re.search(r"\.[^./]+$", folder))
+
+
+def unfiltered(raw: np.ndarray, channels: int) -> np.ndarray:
+    """The bytes of a PNG's rows (height x 1 + width * channels) from their differences.
+
+    Rows of the simple filters are sums; if there are others, diagonals go from the corner on: a place waits for those left of and above
+    it alone, so each diagonal is worked out at once.
+    """
+    kinds, lines = raw[:, 0], raw[:, 1:]
+    h, w = len(raw), lines.shape[1] // channels
+    lines = lines.reshape(h, w, channels)
+    if not (kinds > 2).any():
+        out = np.zeros((h, w, channels), np.uint8)
+        for y in range(h):
+            line = lines[y]
+            out[y] = np.cumsum(line, axis=0, dtype=np.uint8) if kinds[y] == 1 else line + out[y - 1] if kinds[y] == 2 and y else line
+        return out
+    out = np.zeros((h + 1, w + 1, channels), np.int16)
+    for t in range(w + h - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        k = kinds[y][:, None]
+        guess = np.where(k == 4, nearest, np.where(k == 3, (a + b) >> 1, np.where(k == 2, b, np.where(k == 1, a, 0))))
+        out[y + 1, x + 1] = lines[y, x] + guess & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray | None:
-    """Blue, green, red (or one channel) of an 8-bit PNG without interlacing; None if it can't be read."""
+    """Blue, green, red (or one channel) of an 8-bit PNG without interlacing or palette, from bytes at hand; None if it can't be read.
+
+    For files of any kind see still_frames.
+    """
     try:
-        if data[:8] != b"\x89PNG\r\n\x1a\n":
+        if data[:8] != PNG:
             return None
-        at, body, head = 8, b"", None
+        at, body, head = 8, [], None
         while at + 8 <= len(data):
             n, kind = struct.unpack_from(">I4s", data, at)
             part = data[at + 8 : at + 8 + n]
             if kind == b"IHDR":
                 head = struct.unpack(">IIBBBBB", part)
             elif kind == b"IDAT":
-                body += part
+                body.append(part)
             at += 12 + n
         w, h, depth, color, _, _, interlace = head
         channels = {0: 1, 2: 3, 4: 2, 6: 4}[color]
         if depth != 8 or interlace:
             return None
-        raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
-        out = np.zeros((h, w * channels), np.uint8)
-        for y in range(h):
-            line, up = raw[y, 1:].astype(int), out[y - 1].astype(int) if y else np.zeros(w * channels, int)
-            kind = raw[y, 0]
-            if kind == 0:
-                out[y] = line
-            elif kind == 2:
-                out[y] = line + up & 255
-            else:
-                row = [0] * channels
-                for x in range(w * channels):
-                    a, b, c = row[x], int(up[x]), int(up[x - channels]) if x >= channels else 0
-                    if kind == 1:
-                        guess = a
-                    elif kind == 3:
-                        guess = (a + b) // 2
-                    else:
-                        p = a + b - c
-                        guess = min((a, b, c), key=lambda v, p=p: abs(p - v))
-                    row.append(int(line[x]) + guess & 255)
-                out[y] = row[channels:]
-        px = out.reshape(h, w, channels)
+        px = unfiltered(np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * channels), channels)
         return px[..., :1] if channels < 3 else px[..., 2::-1]
     except (KeyError, TypeError, ValueError, struct.error, zlib.error):
         return None
@@ -87,201 +135,102 @@ def encode_png(px: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 3)) + chunk(b"IEND", b"")
 
 
-def y4m_header(data: bytes) -> dict:
-    """Width, height, frames a second, header length and bytes of a frame of a raw 4:2:0 or mono video."""
-    end = data.index(b"\n")
-    tags = {t[:1].decode(): t[1:].decode() for t in data[:end].split()[1:]}
-    w, h = int(tags["W"]), int(tags["H"])
-    num, den = map(int, tags.get("F", "25:1").split(":"))
-    mono = tags.get("C", "420").startswith("mono")
-    return {"width": w, "height": h, "fps": num / den if den else 0.0, "start": end + 1, "size": w * h if mono else w * h + 2 * (-(-w // 2) * -(-h // 2)), "mono": mono}
-
-
-def _bgr(plane: bytes, head: dict) -> np.ndarray:
-    w, h = head["width"], head["height"]
-    y = np.frombuffer(plane, np.uint8, w * h).reshape(h, w).astype(float)
-    if head["mono"]:
-        return y.astype(np.uint8)[..., None]
-    cw, ch = -(-w // 2), -(-h // 2)
-    u, v = (np.frombuffer(plane, np.uint8, cw * ch, w * h + k * cw * ch).reshape(ch, cw).astype(float).repeat(2, 0).repeat(2, 1)[:h, :w] - 128 for k in (0, 1))
-    y = 1.164 * (y - 16)
-    return np.clip(np.rint(np.stack([y + 2.018 * u, y - 0.391 * u - 0.813 * v, y + 1.596 * v], axis=-1)), 0, 255).astype(np.uint8)
-
-
-def _size(data: bytes) -> tuple[float, int, int, int] | None:
-    """(frames a second, frames, width, height) of a PNG image or raw video; None if it can't be read."""
-    if data[:9] == b"YUV4MPEG2":
-        try:
-            head = y4m_header(data)
-        except (KeyError, ValueError):
+def _jpeg_size(file: Ranged) -> tuple[int, int] | None:
+    """Width and height out of the frame header, segment by segment."""
+    at = 2
+    while at + 9 <= file.size:
+        mark, kind, n, _, h, w = struct.unpack(">BBHBHH", file.read(at, 9))
+        if mark != 0xFF:
             return None
-        return head["fps"], sum(1 for _ in _y4m_frames(data, head)), head["width"], head["height"]
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return 0.0, 1, *struct.unpack_from(">II", data, 16)
+        if kind == 0xFF:
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return w, h
+        else:
+            at += 2 + n
     return None
 
 
-def _y4m_frames(data: bytes, head: dict) -> Iterator[int]:
-    """Where the planes of each whole frame begin."""
-    at = head["start"]
-    while at < len(data):
-        body = data.find(b"\n", at) + 1
-        if body <= 0 or body + head["size"] > len(data):
-            return
-        yield body
-        at = body + head["size"]
+def _tiff_size(file: Ranged) -> tuple[int, int] | None:
+    """Width and height out of the first directory."""
+    order = "<" if file.read(0, 2) == b"II" else ">"
+    at = struct.unpack(order + "I", file.read(4, 4))[0]
+    found = {}
+    for k in range(struct.unpack(order + "H", file.read(at, 2))[0]):
+        entry = file.read(at + 2 + 12 * k, 12)
+        tag, kind = struct.unpack_from(order + "HH", entry)
+        found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), entry, 8)[0]
+    return (found[256], found[257]) if 256 in found and 257 in found else None
+
+
+def _size(file: Ranged) -> tuple[float, int, int, int] | None:
+    """(frames a second, frames, width, height) of an image or raw video; None if it can't be read. Headers alone are read."""
+    start = file.read(0, 24)
+    try:
+        if start.startswith(rawvideo.FILE):
+            layout = rawvideo.Layout.of(file)
+            if layout is None:
+                return None
+            return layout.head["fps"], layout.count if layout.even else sum(1 for _ in layout.walked(file)), layout.head["width"], layout.head["height"]
+        if start[:8] == PNG and len(start) >= 24:
+            return 0.0, 1, *struct.unpack_from(">II", start, 16)
+        size = _jpeg_size(file) if start[:2] == b"\xff\xd8" else _tiff_size(file) if start[:4] in (b"II*\0", b"MM\0*") else None
+    except struct.error:
+        return None
+    return None if size is None else (0.0, 1, *size)
 
 
 def media_metadata(files: DataFrame) -> DataFrame:
-    """(path, fps, frame_count, width, height) of files (path, content); nulls where a file can't be read. Nothing is decoded."""
+    """(path, fps, frame_count, width, height) of files (path, content), or (path) alone; nulls where a file can't be read. Nothing is decoded.
+
+    With paths alone only headers are read, so a file may be of any length.
+    """
     kinds = [pa.string(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
+    columns = ["path", "content"] if "content" in files.columns else ["path"]
+
+    def sized(source: str | bytes) -> tuple:
+        try:
+            with Ranged(source) as file:
+                return _size(file) or (None,) * 4
+        except OSError:
+            return (None,) * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(path, *(_size(data.as_py() or b"") or (None,) * 4)) for path, data in zip(b.column(0).to_pylist(), b.column(1))]
+            rows = [(path, *sized((b.column(1)[i].as_py() or b"") if len(columns) > 1 else path)) for i, path in enumerate(b.column(0).to_pylist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["path", "fps", "frame_count", "width", "height"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, fps double, frame_count long, width int, height int")
+    return files.select(*columns).mapInArrow(run, "path string, fps double, frame_count long, width int, height int")
 
 
 def read_frames(files: DataFrame, step: int = 1, interval: tuple[float, str] | None = None, only: str | None = None) -> DataFrame:
-    """(path, frame_idx, fps, image, error) of PNG images and raw .y4m videos in files (path, content).
+    """(path, frame_idx, fps, image, error) of PNG images and raw .y4m videos in files (path, content), whose bytes are at hand.
 
     Of a video every ``step``-th frame is decoded; with ``interval`` (value, "seconds" or "frames") the
     step follows each file's frame rate; ``only`` "first" or "middle" decodes that frame alone (middle: count // 2
     where there are more than 60, else the first). A still image is one frame of 0 frames a second;
-    a file that can't be read gives one row with an error.
+    a file that can't be read gives one row with an error. For files in folders see still_frames and rawvideo.
     """
 
-    def wanted(n: int, fps: float) -> range:
-        if only:
-            at = n // 2 if only == "middle" and n > 60 else 0
-            return range(at, min(n, at + 1))
-        value, unit = interval or (step, "frames")
-        return range(0, n, int(max(1.0, float(value) if unit.lower() == "frames" else fps * value)))
-
-    def rows(path: str, data: bytes) -> Iterator[tuple]:
-        if data[:9] == b"YUV4MPEG2":
-            try:
-                head = y4m_header(data)
-            except (KeyError, ValueError):
-                yield path, 0, 0.0, None, "unreadable"
-                return
-            places = list(_y4m_frames(data, head))
-            for k in wanted(len(places), head["fps"]):
-                yield path, k, head["fps"], _bgr(data[places[k] : places[k] + head["size"]], head), None
-            if not places:
-                yield path, 0, head["fps"], None, "no frames"
+    def rows(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        if not data.startswith(rawvideo.FILE):
+            px = decode_png(data)
+            yield rawvideo.packed(path, 0, 0.0, px, None if px is not None else "unreadable")
             return
-        px = decode_png(data)
-        yield path, 0, 0.0, px, None if px is not None else "unreadable"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                for p, k, fps, px, error in rows(path, data.as_py() or b""):
-                    img = None if px is None else {"height": px.shape[0], "width": px.shape[1], "channels": px.shape[2], "data": np.ascontiguousarray(px).tobytes()}
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p]), pa.array([k], pa.int64()), pa.array([fps]), pa.array([img], _arrow(IMAGE)), pa.array([error], pa.string())], names=["path", "frame_idx", "fps", "image", "error"]
-                    )
-
-    return files.select("path", "content").mapInArrow(run, f"path string, frame_idx long, fps double, image {IMAGE}, error string")
-
-
-def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, first byte, end) of each box of a level; a broken one ends the level."""
-    while at + 8 <= end:
-        n, kind = struct.unpack_from(">I4s", data, at)
-        head = 8
-        if n == 1 and at + 16 <= end:
-            n, head = struct.unpack_from(">Q", data, at + 8)[0], 16
-        n = end - at if n == 0 else n
-        if n < head or at + n > end:
+        found = rawvideo.all_places(data)
+        if found is None:
+            yield rawvideo.packed(path, 0, 0.0, None, "unreadable")
             return
-        yield kind, at + head, at + n
-        at += n
-
-
-def _track(data: bytes, at: int, end: int) -> dict:
-    """Kind, sample entry's code, seconds, and where the sample tables lie."""
-    found = {"kind": "data", "tag": "", "seconds": 0.0, "tables": {}}
-    todo = [(at, end)]
-    while todo:
-        for name, lo, hi in _boxes(data, *todo.pop()):
-            if name in (b"mdia", b"minf", b"stbl"):
-                todo.append((lo, hi))
-            elif name == b"mdhd" and hi - lo >= 24:
-                scale, ticks = struct.unpack_from(">IQ", data, lo + 20) if data[lo] == 1 and hi - lo >= 32 else struct.unpack_from(">II", data, lo + 12)
-                found["seconds"] = ticks / scale if scale else 0.0
-            elif name == b"hdlr" and hi - lo >= 12:
-                found["kind"] = {b"vide": "video", b"soun": "sound", b"sbtl": "subtitle", b"text": "subtitle"}.get(data[lo + 8 : lo + 12], "data")
-            elif name == b"stsd" and hi - lo >= 16:
-                found["tag"] = data[lo + 12 : lo + 16].decode("latin-1")
-            elif name in (b"stsz", b"stsc", b"stco", b"co64") and hi - lo >= 8:
-                found["tables"][name] = (lo, hi)
-    return found
-
-
-def _tracks(data: bytes) -> list[dict]:
-    out = []
-    for name, lo, hi in _boxes(data, 0, len(data)):
-        if name == b"moov":
-            out = [_track(data, x, y) for kind, x, y in _boxes(data, lo, hi) if kind == b"trak"]
-    return out
-
-
-def _numbers(data: bytes, lo: int, hi: int, kind: str, width: int = 1) -> np.ndarray:
-    """The entries of a sample table, those before the break if it is cut."""
-    n = struct.unpack_from(">I", data, lo + 4)[0] * width
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, kind, min(n, (hi - lo - 8) // size), lo + 8).astype(np.int64)
-
-
-def _payload(data: bytes, tables: dict[bytes, tuple[int, int]]) -> bytes:
-    """The samples of a track one after the other: chunks by offset, samples of a chunk by the runs of stsc."""
-    if not {b"stsz", b"stsc"} <= tables.keys() or not (b"stco" in tables or b"co64" in tables):
-        return b""
-    lo, hi = tables[b"stsz"]
-    if hi - lo < 12:
-        return b""
-    one, n = struct.unpack_from(">II", data, lo + 4)
-    sizes = np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", min(n, (hi - lo - 12) // 4), lo + 12).astype(np.int64)
-    chunks = _numbers(data, *tables[b"co64"], ">u8") if b"co64" in tables else _numbers(data, *tables[b"stco"], ">u4")
-    runs = _numbers(data, *tables[b"stsc"], ">u4", 3)
-    runs = runs[: len(runs) // 3 * 3].reshape(-1, 3)
-    if not len(runs):
-        return b""
-    each = runs[np.clip(np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), side="right") - 1, 0, None), 1]
-    out, k = [], 0
-    for start, count in zip(chunks.tolist(), each.tolist()):
-        length = int(sizes[k : k + count].sum())
-        if start + length > len(data):
-            break
-        out.append(data[start : start + length])
-        k += count
-    return b"".join(out)
-
-
-def isobmff_tracks(files: DataFrame) -> DataFrame:
-    """(path, stream_index, kind, tag, duration) of the tracks of MP4 and MOV files (path, content).
-
-    kind is video, sound, subtitle or data, tag the sample entry's code (such as gpmd or camm); a broken file gives the tracks
-    before the break.
-    """
-    return container_tracks(files).drop("payload")
-
-
-def container_tracks(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """isobmff_tracks with the column payload: the samples of data tracks, if asked for; null else."""
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.binary()]
+        head, places = found
+        for k in rawvideo.wanted(len(places), head["fps"], step, interval, only):
+            yield rawvideo.packed(path, k, head["fps"], rawvideo.pixels(data[places[k] : places[k] + head["size"]], head), None)
+        if not places:
+            yield rawvideo.packed(path, 0, head["fps"], None, "no frames")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                data = data.as_py() or b""
-                rows = [(path, i, t["kind"], t["tag"], t["seconds"], _payload(data, t["tables"]) if payloads and t["kind"] == "data" else None) for i, t in enumerate(_tracks(data))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["path", "stream_index", "kind", "tag", "duration", "payload"])
+                yield from rows(path, data.as_py() or b"")
 
-    return files.select("path", "content").mapInArrow(run, "path string, stream_index int, kind string, tag string, duration double, payload binary")
+    return files.select("path", "content").mapInArrow(run, rawvideo.FRAMES)

@@ -177,8 +177,10 @@ def parse_tracks(files: DataFrame, kind: str, job: str = "job_id", content: str
     return src.mapInArrow(run, SAMPLES)
 
 
-def container_samples(tracks: DataFrame, job: str = "job_id") -> DataFrame:
-    """Samples of gpmd and camm tracks (job_id, tag, duration, payload), as sources.media.container_tracks gives them."""
+def container_samples(tracks: DataFrame, job: str = "job_id", altitude_mode: str = "absolute") -> DataFrame:
+    """Samples of gpmd, camm and subtitle tracks (job_id, kind, tag, duration, payload), as sources.containers.container_tracks gives them."""
     tag = F.lower("tag")
-    gpmf = parse_tracks(tracks.where(tag.contains("gpmd")), "gpmf", job, "payload")
-    return gpmf.unionByName(parse_tracks(tracks.where(tag.contains("camm") & ~tag.contains("gpmd")), "camm", job, "payload", "duration"))
+    text = F.col("kind") == "subtitle"
+    gpmf = parse_tracks(tracks.where(~text & tag.contains("gpmd")), "gpmf", job, "payload")
+    camm = parse_tracks(tracks.where(~text & tag.contains("camm") & ~tag.contains("gpmd")), "camm", job, "payload", "duration")
+    return gpmf.unionByName(camm).unionByName(parse_srt(tracks.where(text), altitude_mode, job, "payload"))

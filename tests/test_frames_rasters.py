@@ -163,11 +163,11 @@ def test_files_to_views_and_back(spark, tmp_path):
     seen = media.decode_png((out / "pano_processed/pano_frame000000_View_0.png").read_bytes())
     assert (seen == raster.remap(img, *raster.view_map(16, 32, 8, 8, 90.0, 0.0, 0.0, 0.0))).all()
     assert main(["--config", "/nonexistent.json"]) == 1 and main([]) == 1 and main(["--input", str(tmp_path / "none")]) == 1
-    for refused in (["--format", "jpg"], ["--quality", "80"], ["--altitude-mode", "above"]):
+    for refused in (["--format", "bmp"], ["--quality", "0"], ["--altitude-mode", "above"], ["--ai", "--detector", "none:here"]):
         assert main(["--input", str(src), "--output", str(out), *refused]) == 1
 
     (src / "pano.gpx").write_text('<gpx><trk><trkseg><trkpt lat="-1.5" lon="2.25"><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>')
-    assert main(["--input", str(src), "--output", str(out), "--flat", "--adaptive", "--motion-threshold", "50", "--export-telemetry", "--naming-mode", "simple"]) == 0
+    assert main(["--input", str(src), "--output", str(out), "--flat", "--adaptive", "--motion-threshold", "50", "--export-telemetry", "--naming-mode", "simple", "--format", "png"]) == 0
     flat = {p.name: p.read_bytes() for p in out.rglob("*_flat.png")}
     assert set(flat) == {"pano_frame000000_flat.png", "clip_frame000000_flat.png"}
     assert sinks.gps_directory(-1.5, 2.25, 0.0) in flat["pano_frame000000_flat.png"] and b"eXIf" not in flat["clip_frame000000_flat.png"]
@@ -188,7 +188,7 @@ def test_masks_and_tiff_and_subtitles_from_the_command_line(spark, tmp_path):
 
     from orbitframe.cli import main
 
-    args = ["--input", str(src), "--output", str(out), "--flat", "--naming-mode", "simple"]
+    args = ["--input", str(src), "--output", str(out), "--flat", "--naming-mode", "simple", "--format", "png"]
     assert main([*args, "--ai-mask", "--detections", found, "--export-telemetry", "--altitude-mode", "relative"]) == 0
     files = {p.name: p.read_bytes() for p in out.rglob("*") if p.is_file()}
     masks = {n: media.decode_png(d)[..., 0] for n, d in files.items() if "mask" in n}
