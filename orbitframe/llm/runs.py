@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +22,29 @@ RUNS = "id long, n_words long, runs array<struct<start:long,length:long,period:l
 def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, rank, lcp) of the suffixes of x; lcp[i] is that of the suffixes at order[i - 1] and order[i].
 
-    Prefixes are doubled; the ranks of each doubling give the common prefixes of neighbours from the longest power down.
+    Prefixes are doubled, and only suffixes that share theirs with others are sorted again; a rank is the place of the first suffix of
+    its group. The ranks of each doubling give the common prefixes of neighbours from the longest power down.
     """
     n = len(x)
-    rank = np.unique(x, return_inverse=True)[1].astype(np.int32)
-    levels, width = [rank], 1
-    order = np.argsort(rank, kind="stable")
-    while width < n and int(rank[order[-1]]) + 1 < n:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:].astype(np.int64) + 1
-        key = rank.astype(np.int64) * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int32)
-        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    order = np.argsort(x, kind="stable")
+    key, at, width = x[order], np.arange(n), 1
+    rank, levels = np.empty(n, np.int32), []
+    while True:
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(new, append=len(key))
+        rank[order[at]] = np.repeat(at[new], size)
+        levels.append(rank.copy())
+        at = at[np.repeat(size > 1, size)]
+        if not len(at):
+            break
+        some = order[at].astype(np.int64)
+        after = np.zeros(len(some), np.int64)
+        fits = np.flatnonzero(some + width < n)
+        after[fits] = rank[some[fits] + width] + 1
+        key = rank[some].astype(np.int64) * (n + 1) + after
+        by = np.argsort(key)
+        order[at], key = some[by], key[by]
         width *= 2
-        levels.append(rank)
     lcp = np.zeros(n, np.int32)
     a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     for k in range(len(levels) - 1, -1, -1):
@@ -159,6 +168,9 @@ def find_runs(docs: list[np.ndarray], least: int = 6, times: int = 4) -> list[np
         ext = Extensions(x)
         some = np.flatnonzero(sizes >= max(least, times))
         for doc, period, at in _gathered(_grid(starts[some], sizes[some], QUERIES, times), QUERIES):
+            # Where the two entries differ nothing extends forward; a run of 2 p or more has a place where they don't.
+            like = np.flatnonzero(x[at] == x[at + period])
+            doc, period, at = doc[like], period[like], at[like]
             back = ext.backward(at, at + period)
             length = back + ext.forward(at, at + period) + period
             hit = np.flatnonzero(length >= np.maximum(least, times * period))
@@ -199,8 +211,8 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             for at, part in text_parts(b, 1):
                 words = [(t or b"").split() for t in part]
-                number: dict[bytes, int] = {}
-                codes = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
+                number: dict[bytes, int] = defaultdict(count().__next__)
+                codes = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in words]
                 runs = find_runs(codes, least, times)
                 cuts = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
                 flat = np.concatenate(runs)
