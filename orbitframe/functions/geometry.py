@@ -14,27 +14,33 @@ VIEW_SCHEMA = "view_idx int, name string, yaw double, pitch double, roll double"
 CUBE = (("Front", 0.0, None), ("Right", 90.0, None), ("Back", 180.0, None), ("Left", 270.0, None), ("Up", 0.0, 90.0), ("Down", 0.0, -90.0))
 
 
-def generate_views(spark: SparkSession, n: int, pitch_offset: float = 0.0, layout: str = "ring") -> DataFrame:
-    """Views of a layout: ``cube`` has six whatever n is, ``fibonacci`` a spiral of n, any other name a ring of n.
+def with_views(rows: DataFrame, n: Column, pitch_offset: Column, layout: Column) -> DataFrame:
+    """rows with the views of each one's layout (VIEW_SCHEMA), a row for each view.
 
-    The offset tilts ring views and the four cube sides; on the spiral it is added without a limit.
-    A layout has at most a few dozen views.
+    ``cube`` has six views whatever n is, ``fibonacci`` a spiral of n, any other name a ring of n. The offset tilts ring views and the four
+    cube sides; on the spiral it is added without a limit. A layout has at most a few dozen views.
     """
-    i = F.col("id").cast("double")
-    if layout == "cube":
-        rows = [(k, name, yaw, float(pitch_offset) if pitch is None else pitch, 0.0) for k, (name, yaw, pitch) in enumerate(CUBE)]
-        return spark.createDataFrame(rows, VIEW_SCHEMA)
-    ids = spark.range(max(0, n))
-    if layout == "fibonacci":
-        d = 2.0 / max(1, n)
+    n, pitch_offset = F.greatest(n.cast("int"), F.lit(0)), pitch_offset.cast("double")
+    sides = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(yaw).alias("yaw"), F.lit(pitch).cast("double").alias("pitch")) for name, yaw, pitch in CUBE))
+
+    def view(k: Column) -> Column:
+        i, d = k.cast("double"), 2.0 / n
         y = F.lit(1.0) - i * d - d / 2
-        phi = i * (math.pi * (3 - math.sqrt(5)))
-        r = F.sqrt(1 - y * y)
-        pitch = F.degrees(F.asin(y)) + pitch_offset
-        yaw = F.pmod(F.degrees(F.atan2(F.cos(phi) * r, F.sin(phi) * r)), F.lit(360.0))
-    else:
-        yaw, pitch = i * (360.0 / max(1, n)), F.lit(float(pitch_offset))
-    return ids.select(F.col("id").cast("int").alias("view_idx"), F.concat(F.lit("View_"), F.col("id")).alias("name"), yaw.alias("yaw"), pitch.alias("pitch"), F.lit(0.0).alias("roll"))
+        phi, r = i * (math.pi * (3 - math.sqrt(5))), F.sqrt(1 - y * y)
+        side, spiral, cube = F.get(sides, k), layout == "fibonacci", layout == "cube"
+        name = F.when(cube, side["name"]).otherwise(F.concat(F.lit("View_"), k.cast("string")))
+        yaw = F.when(cube, side["yaw"]).when(spiral, F.pmod(F.degrees(F.atan2(F.cos(phi) * r, F.sin(phi) * r)), F.lit(360.0))).otherwise(i * (360.0 / n))
+        pitch = F.when(cube, F.coalesce(side["pitch"], pitch_offset)).when(spiral, F.degrees(F.asin(y)) + pitch_offset).otherwise(pitch_offset)
+        return F.struct(k.cast("int").alias("view_idx"), name.alias("name"), yaw.alias("yaw"), pitch.alias("pitch"), F.lit(0.0).alias("roll"))
+
+    count = F.when(layout == "cube", len(CUBE)).otherwise(n)
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return rows.select("*", F.inline(F.transform(places, view)))
+
+
+def generate_views(spark: SparkSession, n: int, pitch_offset: float = 0.0, layout: str = "ring") -> DataFrame:
+    """The views of one layout; see with_views."""
+    return with_views(spark.range(1).select(), F.lit(n), F.lit(float(pitch_offset)), F.lit(layout))
 
 
 def active_views(views: DataFrame, active: list[int] | None) -> DataFrame:
@@ -60,15 +66,15 @@ def rotation(yaw: Column, pitch: Column, roll: Column) -> list[list[Column]]:
     ]
 
 
-def rectilinear_map(views: DataFrame, src_w: int, src_h: int, width: int, height: int, fov: float) -> DataFrame:
+def rectilinear_map(views: DataFrame, src_w: int, src_h: int, width: int, height: int, fov: float | Column) -> DataFrame:
     """(view columns, px, py, u float, v float): where each output pixel looks in the panorama.
 
-    Rays go through pixel corners, without a half-pixel shift. Meant for small sizes; large ones are
+    ``fov`` in degrees, the same for all views or a column of theirs. Rays go through pixel corners, without a half-pixel shift. Meant for small sizes; large ones are
     computed inside the reprojection (see raster.reproject), never shipped as rows.
     """
     pixels = views.crossJoin(views.sparkSession.range(height).select(F.col("id").cast("int").alias("py")))
     pixels = pixels.crossJoin(views.sparkSession.range(width).select(F.col("id").cast("int").alias("px")))
-    focal = (width / 2) / math.tan(math.radians(fov) / 2)
+    focal = (width / 2) / F.tan(F.radians(fov if isinstance(fov, Column) else F.lit(fov)) / 2)
     x, y, z = (F.col("px") - width / 2) / focal, (F.col("py") - height / 2) / focal, F.lit(1.0)
     rx, ry, rz = (r[0] * x + r[1] * y + r[2] * z for r in rotation(F.col("yaw"), F.col("pitch"), F.col("roll")))
     theta = F.atan2(rx, rz)

@@ -182,6 +182,16 @@ def thumbnail(img: np.ndarray | None, size: int = 80) -> np.ndarray | None:
     return np.rint(resize(img[y : y + n, x : x + n], size, size)).astype(np.uint8)
 
 
+def with_thumbnail(df: DataFrame, size: int = 80, image: str = "image", out: str = "thumbnail") -> DataFrame:
+    """df with each image's thumbnail; null for unreadable ones."""
+    return with_image_column(df, out, IMAGE, lambda px: thumbnail(px, size), image)
+
+
+def with_preview(df: DataFrame, fov: float = 90.0, size: int = 1024, image: str = "image", out: str = "preview") -> DataFrame:
+    """df (yaw, pitch, roll) with one view of each image for the eye; null for unreadable ones."""
+    return with_image_column(df, out, IMAGE, lambda px, yaw, pitch, roll: preview(px, yaw, pitch, roll, fov, size), image, ("yaw", "pitch", "roll"))
+
+
 def motion_score(prev: np.ndarray | None, cur: np.ndarray | None, width: int = 256, height: int = 144) -> float:
     """Mean flow magnitude of two frames scaled to width x height; None gives 0."""
     if prev is None or cur is None:

@@ -54,47 +54,60 @@ def _frames(spark, sf):
 # --- views and geometry
 
 
-@query("select i::int as view_idx, 'View_' || i as name, round(i * 60.0::double, 6) as yaw, -20.0::double as pitch, 0.0::double as roll from range(6) r(i)")
+# Each customer's row gives a layout its settings: 1 to 7 views, a pitch offset of -12 to 12 degrees, a field of view of 60 to 99.
+_SETTINGS_SQL = "s as (select c_custkey, (c_custkey % 7 + 1)::int as n, (c_nationkey - 12)::double as offs, (60 + c_custkey % 40)::double as fov from customer)"
+
+
+def _layouts(spark, sf, layout):
+    c = read_table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 7 + 1).alias("n"), (F.col("c_nationkey") - 12).alias("offs"), (60 + F.col("c_custkey") % 40).cast("double").alias("fov"))
+    return geometry.with_views(c, F.col("n"), F.col("offs"), F.lit(layout))
+
+
+_VIEW = ("c_custkey", "view_idx", "name", "yaw", "pitch", "roll")
+
+
+@query(f"with {_SETTINGS_SQL}, v as (select *, unnest(range(n)) as i from s) select c_custkey, i::int as view_idx, 'View_' || i as name, round(i * (360.0::double / n), 6) as yaw, offs as pitch, 0.0::double as roll from v")
 def views_ring(spark, sf):
-    return geometry.generate_views(spark, 6, -20)
+    return rounded(_layouts(spark, sf, "ring").select(*_VIEW), "yaw")
 
 
-@query("""select * from (values (0, 'Front', 0.0::double, 15.0::double, 0.0::double), (1, 'Right', 90, 15, 0), (2, 'Back', 180, 15, 0),
-  (3, 'Left', 270, 15, 0), (4, 'Up', 0, 90, 0), (5, 'Down', 0, -90, 0)) v(view_idx, name, yaw, pitch, roll)""")
+@query(f"""with {_SETTINGS_SQL} select c_custkey, view_idx, name, yaw, coalesce(pitch, offs) as pitch, roll from s, (values (0, 'Front', 0.0::double, null::double, 0.0::double), (1, 'Right', 90, null, 0), (2, 'Back', 180, null, 0),
+  (3, 'Left', 270, null, 0), (4, 'Up', 0, 90, 0), (5, 'Down', 0, -90, 0)) v(view_idx, name, yaw, pitch, roll)""")
 def views_cube(spark, sf):
-    return geometry.generate_views(spark, 12, 15, "cube")
+    return _layouts(spark, sf, "cube").select(*_VIEW)
 
 
-@query("""with a as (select i, 1 - i * 2.0::double / 8 - 1.0::double / 8 as y, i * (pi() * (3 - sqrt(5))) as phi from range(8) r(i))
-select i::int as view_idx, 'View_' || i as name,
+@query(f"""with {_SETTINGS_SQL}, v as (select *, unnest(range(n)) as i from s), a as (select *, 1 - i * 2.0::double / n - 1.0::double / n as y, i * (pi() * (3 - sqrt(5))) as phi from v)
+select c_custkey, i::int as view_idx, 'View_' || i as name,
   round(case when degrees(atan2(cos(phi) * sqrt(1 - y * y), sin(phi) * sqrt(1 - y * y))) < 0 then 360 else 0 end
-    + degrees(atan2(cos(phi) * sqrt(1 - y * y), sin(phi) * sqrt(1 - y * y))), 6) as yaw, round(degrees(asin(y)) + 10, 6) as pitch, 0.0::double as roll from a""")
+    + degrees(atan2(cos(phi) * sqrt(1 - y * y), sin(phi) * sqrt(1 - y * y))), 6) as yaw, round(degrees(asin(y)) + offs, 6) as pitch, 0.0::double as roll from a""")
 def views_fibonacci(spark, sf):
-    return rounded(geometry.generate_views(spark, 8, 10, "fibonacci"), "yaw", "pitch")
+    return rounded(_layouts(spark, sf, "fibonacci").select(*_VIEW), "yaw", "pitch")
 
 
-_MAP_SQL = """with v as ({views}), p as (select v.*, px, py, (px - {w} / 2.0::double) / f as x, (py - {w} / 2.0::double) / f as y
-  from v, range({w}) a(px), range({w}) b(py), (select ({w} / 2.0::double) / tan(radians({fov}) / 2) as f)),
+_MAP_SQL = """with {settings}, v as ({views}), p as (select v.*, px, py, (px - {w} / 2.0::double) / f as x, (py - {w} / 2.0::double) / f as y
+  from (select *, ({w} / 2.0::double) / tan(radians(fov) / 2) as f from v) v, range({w}) a(px), range({w}) b(py) {where}),
 r as (select *, radians(yaw) as a, radians(pitch) as b from p),
 q as (select *, cos(a) * x + sin(a) * sin(b) * y + sin(a) * cos(b) as rx, cos(b) * y - sin(b) as ry, -sin(a) * x + cos(a) * sin(b) * y + cos(a) * cos(b) as rz from r)
-select view_idx, px::int as px, py::int as py, round((atan2(rx, rz) / (2 * pi()) + 0.5) * {sw}, 2) as u,
-  round((asin(ry / sqrt(rx * rx + ry * ry + rz * rz)) / pi() + 0.5) * {sh}, 2) as v from q {where}"""
+select c_custkey, view_idx, px::int as px, py::int as py, round((atan2(rx, rz) / (2 * pi()) + 0.5) * {sw}, 2) as u,
+  round((asin(ry / sqrt(rx * rx + ry * ry + rz * rz)) / pi() + 0.5) * {sh}, 2) as v from q"""
 
 
-def _map(views, w, fov, sw, sh):
-    m = geometry.rectilinear_map(views, sw, sh, w, w, fov)
-    return m.select("view_idx", "px", "py", F.round(F.col("u").cast("double"), 2).alias("u"), F.round(F.col("v").cast("double"), 2).alias("v"))
+def _map(views, w, sw, sh):
+    m = geometry.rectilinear_map(views, sw, sh, w, w, F.col("fov"))
+    return m.select("c_custkey", "view_idx", "px", "py", F.round(F.col("u").cast("double"), 2).alias("u"), F.round(F.col("v").cast("double"), 2).alias("v"))
 
 
-@query(_MAP_SQL.format(views="select i::int as view_idx, i * 90.0::double + 7 as yaw, -20.0::double as pitch from range(4) r(i)", w=8, fov=90, sw=64, sh=32, where=""))
+@query(_MAP_SQL.format(settings=_SETTINGS_SQL, views="select c_custkey, fov, unnest(range(n))::int as view_idx, unnest(range(n)) * (360.0::double / n) + 7.3 as yaw, offs + 0.6 as pitch from s", w=4, sw=64, sh=32, where=""))
 def rectilinear_map_small(spark, sf):
-    return _map(geometry.generate_views(spark, 4, -20).withColumn("yaw", F.col("yaw") + 7), 8, 90.0, 64, 32)
+    # Turned a little, so that no value lies on the border of two roundings or of the panorama.
+    return _map(_layouts(spark, sf, "ring").withColumns({"yaw": F.col("yaw") + 7.3, "pitch": F.col("pitch") + 0.6}), 4, 64, 32)
 
 
-@query(_MAP_SQL.format(views="select * from (values (0, 0.0::double, 10.0::double), (1, 90, 10), (3, 270, 10)) v(view_idx, yaw, pitch)", w=16, fov=80, sw=400, sh=200, where="where px = 8 and py = 8"))
+@query(_MAP_SQL.format(settings=_SETTINGS_SQL, views="select c_custkey, fov, view_idx, yaw, offs + 0.3 as pitch from s, (values (0, 0.0::double), (1, 90), (3, 270)) v(view_idx, yaw)", w=16, sw=400, sh=200, where="where px = 8 and py = 8"))
 def cube_map_centres(spark, sf):
-    views = geometry.active_views(geometry.generate_views(spark, 6, 10, "cube"), [0, 1, 3])
-    return _map(views, 16, 80.0, 400, 200).where("px = 8 and py = 8")
+    views = geometry.active_views(_layouts(spark, sf, "cube"), [0, 1, 3]).withColumn("pitch", F.col("pitch") + 0.3)
+    return _map(views, 16, 400, 200).where("px = 8 and py = 8")
 
 
 @query(f"""with {FRAMES_SQL} select job_id, frame_idx, i::int as view_idx, 'View_' || i as name from frames, range(6) r(i) where i in (0, 2, 5)""")

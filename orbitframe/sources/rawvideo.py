@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructField, StructType
 
-from orbitframe.functions.raster import IMAGE, _arrow
+from orbitframe.functions.raster import IMAGE, _arrow, to_array
 from orbitframe.sources.stores import Ranged, located
 
 #: First bytes of a file and of a frame.
@@ -276,3 +277,67 @@ def all_places(data: bytes) -> tuple[dict, list[int]] | None:
     file = Ranged(data)
     layout = Layout.of(file)
     return None if layout is None else (layout.head, list(layout.places(file)))
+
+
+def planes(px: np.ndarray) -> bytes:
+    """The planes of a frame: luma alone of one channel, else with both colour differences at half size."""
+    if px.shape[2] == 1:
+        return np.ascontiguousarray(px).tobytes()
+    b, g, r = np.moveaxis(px[..., :3].astype(float), 2, 0)
+    y = 16 + 0.257 * r + 0.504 * g + 0.098 * b
+    byte = lambda p: np.clip(np.rint(p), 0, 255).astype(np.uint8).tobytes()
+
+    def half(p: np.ndarray) -> np.ndarray:
+        p = np.pad(p, [(0, n % 2) for n in p.shape], mode="edge")
+        return p.reshape(p.shape[0] // 2, 2, p.shape[1] // 2, 2).mean(axis=(1, 3))
+
+    return byte(y) + byte(half(128 - 0.148 * r - 0.291 * g + 0.439 * b)) + byte(half(128 + 0.439 * r - 0.368 * g - 0.071 * b))
+
+
+def write_videos(frames: DataFrame, folder: str, fps: int = 25, name: str = "name", order: str = "frame_idx", image: str = "image") -> DataFrame:
+    """(path, frames, error) of raw videos <folder>/<name>.y4m, a row a file; the frames of a name in order, null images left out.
+
+    Names are dealt to tasks, and a task streams sorted frames to one file after another, so it holds a batch, however long a video.
+    A file gets its name when it is whole. All frames of a video have the size of its first one; a video with another has an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        mark = context.taskAttemptId() if context else 0
+        current, out, shape, count, error = None, None, None, 0, None
+
+        def closed() -> pa.RecordBatch:
+            nonlocal out
+            path = f"{folder}/{current}.y4m"
+            store, part = located(f"{path}.{mark}")
+            if out is not None:
+                out.close()
+                store.delete_file(part) if error else store.move(part, located(path)[1])
+            out = None
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([error], pa.string())], names=["path", "frames", "error"])
+
+        for b in batches:
+            for key, img in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if key != current:
+                    if current is not None:
+                        yield closed()
+                    current, shape, count, error = key, None, 0, None
+                if img is None or error:
+                    continue
+                px = to_array(img["height"], img["width"], img["channels"], img["data"])
+                if shape is None:
+                    shape = px.shape
+                    store, part = located(f"{folder}/{current}.y4m.{mark}")
+                    store.create_dir(part.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(part)
+                    out.write(f"YUV4MPEG2 W{shape[1]} H{shape[0]} F{fps}:1 {'Cmono' if shape[2] == 1 else 'C420jpeg'}\n".encode())
+                if px.shape != shape:
+                    error = "frames of different sizes"
+                    continue
+                out.write(FRAME + b"\n" + planes(px))
+                count += 1
+        if current is not None:
+            yield closed()
+
+    dealt = frames.select(name, order, image).where(f"`{name}` is not null").repartition(name).sortWithinPartitions(name, order)
+    return dealt.mapInArrow(run, "path string, frames long, error string")

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from orbitframe.plans import file_queries  # noqa: F401
 from orbitframe.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
