@@ -16,7 +16,7 @@ from orbitframe.session import written_table
 from orbitframe.sources import containers, media, rawvideo, sinks, tracks
 
 #: Files that places come from, and the formats that are written, with their suffixes.
-TEXTS, CONTAINERS = "*.{[gG][pP][xX],[sS][rR][tT]}", "*.{[mM][pP]4,[mM][oO][vV]}"
+TEXTS, CONTAINERS = "*.[sS][rR][tT]", "*.{[mM][pP]4,[mM][oO][vV]}"
 FORMATS = {"jpg": "jpg", "jpeg": "jpg", "png": "png", "tiff": "tif", "tif": "tif"}
 #: Tasks that raw frames are dealt to, for each core.
 SPREAD = 4
@@ -38,7 +38,8 @@ def samples_of(spark: SparkSession, folder: str, altitude_mode: str) -> DataFram
     boxes = containers.container_tracks(media.listed(spark, folder, CONTAINERS).select("path"), payloads=True)
     streams = boxes.select(key, F.col("path").alias("media_id"), "kind", "tag", "stream_index", F.lit(0).alias("samples"), "duration", "payload")
     chosen = tracks.container_samples(telemetry.chosen_tracks(streams), altitude_mode=altitude_mode)
-    parsed = [tracks.parse_tracks(of("gpx"), "gpx"), tracks.parse_srt(of("srt"), altitude_mode), chosen]
+    gpx = tracks.read_gpx(spark, folder).withColumn("job_id", key).drop("path")
+    parsed = [gpx, tracks.parse_srt(of("srt"), altitude_mode), chosen]
     every = None
     for rank, part in enumerate(parsed):
         part = telemetry.sanitized(part).withColumn("rank", F.lit(rank))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orbitframe.session import cut_lineage
+
 
 def sanitized(samples: DataFrame) -> DataFrame:
     """Valid samples (job_id, seq, ts, lat, lon, alt as double), from numbers or text.
@@ -42,6 +44,49 @@ def interpolated(queries: DataFrame, samples: DataFrame) -> DataFrame:
     return r.select("job_id", "_q.*", at("lat"), at("lon"), at("alt"))
 
 
+def interpolated_long(queries: DataFrame, samples: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """interpolated for jobs of any length: no task has more than about ``most`` rows of a job, but for those of one time.
+
+    Jobs longer than that are cut at quantiles of their times. A piece is then a job of its own, which the last sample before it and the first one
+    after it are added to; with those each query has the same neighbours as in the whole job. Rows of null jobs or times are
+    placed as by interpolated.
+    """
+    time = lambda d, t, seq: d.select("job_id", F.col(t).cast("double").alias("_t"), seq.cast("long").alias("_seq"))
+    every = time(queries, "t", F.lit(None)).unionByName(time(samples, "ts", F.col("seq")))
+    sizes = every.groupBy("job_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    sizes = cut_lineage(sizes)
+    if sizes.isEmpty():
+        return interpolated(queries, samples)
+    widest = sizes.agg(F.max("_n")).first()[0]
+    parts = -(-widest // most)
+    # Borders at shares of the longest job's pieces: shorter ones are cut more finely than they have to be, but not below most / 2.
+    wanted = lambda n: F.transform(F.sequence(F.lit(1), F.ceil(n / most).cast("int") - 1), lambda k: F.round(k / F.ceil(n / most) * parts * 2).cast("int") - 1)
+    shares = [k / (2 * parts) for k in range(1, 2 * parts)]
+    cuts = every.join(F.broadcast(sizes), "job_id").groupBy("job_id").agg(F.first("_n").alias("_n"), F.percentile_approx("_t", F.array(*map(F.lit, shares)), 10_000).alias("_all"))
+    cuts = cut_lineage(cuts.where("_all is not null").select(F.col("job_id").alias("_job"), F.array_distinct(F.transform(wanted(F.col("_n")), lambda k: F.get("_all", k))).alias("_cuts")))
+
+    def pieced(d: DataFrame, t: str) -> DataFrame:
+        d = d.join(F.broadcast(cuts), F.col("job_id") == F.col("_job"), "left")
+        at = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(t).cast("double"))), F.lit(0))
+        return d.withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(at)).drop("_job", "_cuts")
+
+    s, q = pieced(samples.select("job_id", "seq", "ts", "lat", "lon", "alt"), "ts"), pieced(queries, "t")
+    # A row a piece: its first and last sample, handed on to the pieces that follow or go before.
+    ends = s.groupBy("job_id", "_piece").agg(
+        F.min(F.struct("ts", "seq", "lat", "lon", "alt")).alias("_first"), F.max(F.struct("ts", "seq", "lat", "lon", "alt")).alias("_last")
+    )
+    pieces = q.select("job_id", "_piece").distinct().join(ends, ["job_id", "_piece"], "full")
+    by = Window.partitionBy("job_id").orderBy("_piece")
+    down = Window.partitionBy("job_id").orderBy(F.col("_piece").desc())
+    before, after = (F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for c, w in (("_last", by), ("_first", down)))
+    handed = pieces.withColumns({"_before": before, "_after": after})
+    handed = handed.select("job_id", "_piece", F.explode(F.array("_before", "_after")).alias("x")).where("x is not null").select("job_id", "_piece", "x.*")
+    key = F.xxhash64("job_id", "_piece").alias("job_id")
+    piece_samples = s.unionByName(handed).select(key, "seq", "ts", "lat", "lon", "alt")
+    out = interpolated(q.withColumnRenamed("job_id", "_whole").select(F.xxhash64("_whole", "_piece").alias("job_id"), *(c for c in ("_whole", *queries.columns) if c != "job_id")), piece_samples)
+    return out.withColumn("job_id", F.col("_whole")).drop("_whole")
+
+
 def chosen_tracks(streams: DataFrame) -> DataFrame:
     """The one track of each media file that telemetry is taken from.
 

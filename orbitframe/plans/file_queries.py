@@ -253,6 +253,55 @@ def fragmented_track_list(spark, sf):
     return found.select(key_of().alias("job_id"), "stream_index", "kind", "tag", "duration")
 
 
+# --- GPX files
+
+
+def write_gpx(rows: DataFrame, folder: str) -> DataFrame:
+    """(path, points): a file for each job of rows (job_id, n, point), dealt by job and streamed in order of n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
+        current, out, count, store, name = None, None, 0, None, ""
+
+        def closed() -> pa.RecordBatch:
+            out.write(b"</trkseg></trk></gpx>")
+            out.close()
+            path = f"{folder}/{current}.gpx"
+            store.move(name, located(path)[1])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["path", "points"])
+
+        for b in batches:
+            for job, point in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if job != current:
+                    if current is not None:
+                        yield closed()
+                    current, count = job, 0
+                    store, name = located(f"{folder}/{job}.gpx.{mark}")
+                    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(name)
+                    out.write(b'<?xml version="1.0"?><gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>')
+                out.write(point.encode())
+                count += 1
+        if current is not None:
+            yield closed()
+
+    return rows.select("job_id", "n", "point").repartition("job_id").sortWithinPartitions("job_id", "n").mapInArrow(run, "path string, points long")
+
+
+@query(f"""with {_WRITTEN}, k as (select *, row_number() over (partition by job_id order by n) - 1 as i, min(n) over (partition by job_id) as first from w where n % 5 <> 3)
+select job_id, i as seq, round((n - first) * 2.0::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, case when n % 4 = 1 then 0 else alt end as alt from k""")
+def gpx_files(spark, sf):
+    # Every fifth point has no time, every fourth no height.
+    time = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 2), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.when(F.col("n") % 5 != 3, F.concat(F.lit("<time>"), time, F.lit("</time>"))).otherwise("")
+    ele = F.when(F.col("n") % 4 != 1, F.format_string("<ele>%.1f</ele>", "alt")).otherwise("")
+    point = F.concat(F.format_string('<trkpt lat="%.1f" lon="%.1f">', "lat", "lon"), ele, time, F.lit("</trkpt>"))
+    folder = new_folder(spark)
+    write_gpx(_written(spark, sf).select("job_id", "n", point.alias("point")), folder).write.format("noop").mode("overwrite").save()
+    g = tracks.read_gpx(spark, folder).withColumn("job_id", key_of())
+    return rounded(g.select("job_id", "seq", "ts", "lat", "lon", "alt"), "ts", "lat", "lon", "alt")
+
+
 # --- masks without detections, and motion
 
 

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Names of jobs to stop by the tag of their batch; ALL stands for every one.
+_STOPPED: dict[str, set[str]] = {}
+ALL = "\0all"
 
 
 def progress(idx: Column, total: Column, elapsed: Column) -> tuple[Column, Column]:
@@ -26,6 +33,54 @@ def outcome(jobs: DataFrame, status: str = "status") -> DataFrame:
     return counts.withColumn("outcome", F.when(F.col("n_pending") > 0, "cancelled").when(F.col("n_errors") > 0, "errors").otherwise("success"))
 
 
+def run_batch(spark: SparkSession, work: dict[str, Callable[[], object]], tag: str | None = None) -> DataFrame:
+    """(job, status, error) of a batch, for ``outcome``: its jobs run one after another under Spark job tags, so that others can stop them.
+
+    stop_batch(spark, tag) ends the running job (Cancelled) and leaves the rest Pending; stop_job(spark, tag, name) ends one and the next ones still run.
+    A job that fails is Error with its message and ends nothing else.
+    """
+    tag, done, sc = tag or f"batch-{uuid.uuid4().hex}", [], spark.sparkContext
+    stopped = _STOPPED.setdefault(tag, set())
+    try:
+        for name, f in work.items():
+            if ALL in stopped:
+                done.append((name, "Pending", None))
+                continue
+            if name in stopped:
+                done.append((name, "Cancelled", None))
+                continue
+            tags = (tag, _job_tag(tag, name))
+            for t in tags:
+                sc.addJobTag(t)
+            try:
+                f()
+                done.append((name, "Done", None))
+            except Exception as e:  # whatever a job raises
+                done.append((name, "Cancelled" if stopped & {ALL, name} else "Error", str(e).splitlines()[0][:500] if str(e) else type(e).__name__))
+            finally:
+                for t in tags:
+                    sc.removeJobTag(t)
+    finally:
+        _STOPPED.pop(tag, None)
+    return spark.createDataFrame(done, "job string, status string, error string")
+
+
+def stop_batch(spark: SparkSession, tag: str) -> None:
+    """Ends the running job of a batch, of this driver, and those to come."""
+    _STOPPED.setdefault(tag, set()).add(ALL)
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def stop_job(spark: SparkSession, tag: str, name: str) -> None:
+    """Ends one job of a batch, whether it runs or is to come."""
+    _STOPPED.setdefault(tag, set()).add(name)
+    spark.sparkContext.cancelJobsWithTag(_job_tag(tag, name))
+
+
+def _job_tag(tag: str, name: str) -> str:
+    return f"{tag}/{name}".replace(",", ";")  # a tag has no comma
+
+
 def collisions(outputs: DataFrame, path: str = "output_dir") -> DataFrame:
     """outputs with n_same: jobs that write to the same folder."""
     n = outputs.groupBy(path).agg(F.count("*").alias("n_same"))

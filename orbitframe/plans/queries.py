@@ -12,7 +12,7 @@ from orbitframe.operators import detections as det, frames as fr, telemetry as t
 from orbitframe.plans import extraction as ex, jobs, settings
 from orbitframe.session import read_table
 from orbitframe.sources import media, tracks
-from orbitframe.streaming import smart_blur
+from orbitframe.streaming import keyframes, smart_blur
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,6 +176,12 @@ def adaptive_keyframes_scalar(spark, sf):
     return rounded(kept.select("job_id", "frame_idx", "score"), "score")
 
 
+@query(SQL["adaptive_keyframes_scalar"].replace("select job_id, frame_idx, round(score, 6) as score from k", "select job_id, event_id, round(score, 6) as score from k join frames using (job_id, frame_idx, score)"))
+def stream_keyframes(spark, sf):
+    rows = keyframes.run_to_end(spark, smart_blur.event_scores(spark, sf), 40.0)
+    return rounded(rows.select("job_id", "event_id", "score"), "score")
+
+
 @query("""with recursive f as (select label as job_id, row_number() over (partition by label order by vec_id) - 1 as i, vec_id, embedding as e from embeddings),
 k as (
   select job_id, i, vec_id, e as last, true as keep from f where i = 0
@@ -368,6 +374,15 @@ def telemetry_interpolate(spark, sf):
     return rounded(tel.interpolated(q, samples).select("job_id", "event_id", "lat", "lon", "alt"), "lat", "lon", "alt")
 
 
+@query(SQL["telemetry_interpolate"])
+def telemetry_interpolate_long(spark, sf):
+    # Jobs of more than 25 rows are cut.
+    e = _events(spark, sf)
+    samples = tel.sanitized(ex.event_samples(e).where("seq % 3 = 0"))
+    q = ex.event_frames(e).where("event_id % 3 <> 0").select("job_id", "t", "event_id")
+    return rounded(tel.interpolated_long(q, samples, 25).select("job_id", "event_id", "lat", "lon", "alt"), "lat", "lon", "alt")
+
+
 @query("""with s as (select l_orderkey as media_id, l_linenumber as stream_index, case when l_linenumber = 1 then 'sidecar' when l_returnflag = 'A' then 'subtitle' else 'data' end as kind,
   case when l_partkey % 3 = 0 then 'gpmd' when l_partkey % 3 = 1 then 'CAMM x' else 'other' end as tag, l_suppkey % 4 as samples from lineitem),
 r as (select *, case when kind = 'sidecar' and samples > 0 then 0 when kind = 'data' and (lower(tag) like '%gpmd%' or lower(tag) like '%camm%') then 1 when kind = 'subtitle' then 2 end as rk from s),

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SAMPLES = "job_id long, seq long, ts double, lat double, lon double, alt double"
 _NUMBER = r"([-0-9.]+)"
@@ -80,6 +80,29 @@ def _gpx_points(data: bytes) -> Iterator[tuple[float, float, float, float]]:
             continue
 
 
+def read_gpx(spark: SparkSession, folder: str, glob: str = "*.[gG][pP][xX]") -> DataFrame:
+    """(path, seq, ts, lat, lon, alt): the samples of the GPX files under a folder, by Spark's XML scan.
+
+    A file is streamed point by point, so it may be of any length. Points of any namespace are read; those without a time or with numbers that
+    can't be read are skipped, a missing height is 0; times without a zone are UTC and count from the file's first point.
+    """
+    reader = spark.read.format("xml").option("rowTag", "trkpt").option("multiLine", True).option("ignoreNamespace", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    points = reader.schema("_lat string, _lon string, ele string, time string").load(folder)
+    number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
+    zoned = F.when(F.col("time").rlike(r"(?:[zZ]|[+-]\d\d:?\d\d)\s*$"), F.trim("time")).otherwise(F.concat(F.trim("time"), F.lit("Z")))
+    p = points.select(
+        F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("path"), F.monotonically_increasing_id().alias("at"),
+        F.unix_micros(F.try_to_timestamp(zoned)).alias("micros"),
+        number("_lat").alias("lat"), number("_lon").alias("lon"), F.coalesce(number("ele"), F.when(F.col("ele").isNull(), 0.0)).alias("alt"),
+    )
+    timed = p.where("micros is not null")
+    # The first time counts even if its point's numbers can't be read. A file is one task's, so its places are in order.
+    first = timed.groupBy("path").agg(F.min_by("micros", "at").alias("first"), F.min("at").alias("start")).withColumnRenamed("path", "of")
+    rows = timed.where("lat is not null and lon is not null and alt is not null").join(first, F.col("path") == F.col("of"))
+    seq = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1
+    return rows.select("path", seq.cast("long").alias("seq"), ((F.col("micros") - F.col("first")) / 1e6).alias("ts"), "lat", "lon", "alt")
+
+
 #: Value types of the container's format, big-endian.
 _KINDS = {"b": ">i1", "B": ">u1", "s": ">i2", "S": ">u2", "l": ">i4", "L": ">u4", "f": ">f4", "d": ">f8", "J": ">u8"}
 
