@@ -15,7 +15,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, ROUNDS = 0.85, 15
+#: Damping, what of the ranks may be missing in all when the iteration stops, and rounds before giving up.
+DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 400
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -40,7 +41,7 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     same length the one given first wins.
     """
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is tried first, so it is wrapped last
+    for v, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the longest, of equals the first given, is tried first, so it is wrapped last
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, v).otherwise(verdict)
     return name, verdict
@@ -58,28 +59,38 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return e.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) by power iteration; edges (src, dst, n), seeds (host, seed >= 0).
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) at the fixed point; edges (src, dst, n), seeds (host, seed >= 0).
 
     A walker follows links by their counts with probability ``damping``, else, or from a host without
     links, jumps to a seed. Only hosts that a seed reaches have rows; without seeds there are none.
+
+    Walks that start at the seeds are summed by length: what a round adds is the last one's addition, moved on. Walks from hosts without links end
+    there; that they go on from the seeds only scales all ranks, so ranks are scaled to a sum of one. Each round adds at most ``damping`` times
+    the last one's, so rounds stop when all that is to come, times the seeds' mass, is below ``tolerance``.
     """
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     if total <= 0:
         return seeds.select("host", F.lit(0.0).alias("rank")).where("false")
-    seed = cut_lineage(seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("seed")))
+    added = cut_lineage(seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("rank")))
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    step = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")))
-    rank = seed.select("host", F.col("seed").alias("rank"))
+    step = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all") * damping).alias("p")))
     if step.isEmpty():
-        return rank  # from every host the walker jumps to a seed
-    for k in range(rounds):
-        moved = rank.join(step, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p") * damping).alias("in"))
-        both = moved.join(seed, F.col("dst") == F.col("host"), "full").select(F.coalesce("dst", "host").alias("host"), F.coalesce("in", F.lit(0.0)).alias("in"), F.coalesce("seed", F.lit(0.0)).alias("seed"))
-        both = cut_lineage(both)
-        lost = 1 - (both.agg(F.sum("in")).first()[0] or 0.0)
-        rank = both.select("host", (F.col("in") + F.col("seed") * lost).alias("rank"))
-    return rank
+        return added  # from every host the walker jumps to a seed
+    ranks, mass = added, 1.0
+    for k in range(MAX_ROUNDS):
+        added = added.join(step, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p")).alias("rank"))
+        added = cut_lineage(added)
+        more = added.agg(F.sum("rank")).first()[0] or 0.0
+        mass += more
+        ranks = ranks.unionByName(added)
+        if more * damping / (1 - damping) * total < tolerance:
+            break
+        if k % 16 == 15:
+            ranks = cut_lineage(ranks.groupBy("host").agg(F.sum("rank").alias("rank")))
+    else:
+        raise RuntimeError(f"ranks did not settle in {MAX_ROUNDS} rounds")
+    return ranks.groupBy("host").agg((F.sum("rank") / mass).alias("rank"))
 
 
 def host_scores(pages: DataFrame, edges: DataFrame) -> DataFrame:
