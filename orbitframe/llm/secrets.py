@@ -8,14 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orbitframe.session import cut_lineage, read_table
 
-#: What is looked at: dotted tokens, and runs of 16 key characters or more, of any length. A run needs a digit or 16 capitals (STRONG).
-CANDIDATE = r"(?:[A-Za-z0-9_\-]{10,}+\.){2,}+[A-Za-z0-9_\-]{10,}+|[A-Za-z0-9+/_\-]{16,}+={0,2}"
+#: Names of secrets, whatever stands before them; their assigned values are looked at from 6 characters on.
+NAMES = r"(?i:passw(?:or)?d|passwort|kennwort|passphrase|pwd|contrase[nñ]a|mot_de_passe|secret|token|(?:api|access|secret|private|auth)[_-]?key|auth|credentials?)"
+ASSIGN, QUOTE = r"[\"']{0,1}[=:]{1,2}", r"[\"']{0,1}"
+#: A run of 16 key characters or more, of any length, or dotted tokens; not what a value is assigned to. A run needs a digit or 16 capitals (STRONG).
+_FREE = rf"(?!(?<={NAMES}){ASSIGN})"
+CANDIDATE = rf"(?:[A-Za-z0-9_\-]{{10,}}+\.){{2,}}+[A-Za-z0-9_\-]{{10,}}+{_FREE}|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{16,}}+{_FREE}(?:={{1,2}}(?![A-Za-z0-9+/_\-\"']))?"
 STRONG = r"[0-9]|[A-Z]{16}"
-#: Names of secrets, whose assigned values are looked at from 6 characters on.
-NAMES = r"(?i:password|passwd|pwd|passphrase|secret|token|api_key|apikey|access_key|credential)"
-ASSIGNED = rf"{CANDIDATE}|(?<={NAMES}[\"']{{0,1}}[=:][\"']{{0,1}})[^\x20\x09-\x0D\"',;&<>]{{6,}}+"
-VALUE = rf"{CANDIDATE}|[^\x20\x09-\x0D\"',;&<>]{{6,}}+"
-NAMED = rf"{NAMES}[\"']{{0,1}}[=:]{{1,2}}$"
+#: A value ends at its quote, else at white space, quotes, < and >, and at , ; & if that ends the word or the next name follows.
+_DOUBLE, _SINGLE = r"[^\x20\x09-\x0D\"]{6,}+", r"[^\x20\x09-\x0D']{6,}+"
+_BARE = r"(?:[^\x20\x09-\x0D\"'<>,;&]|[,;&](?![\x20\x09-\x0D\"']|$|[A-Za-z0-9_.\-]{1,40}[\"']{0,1}[=:])){6,}+"
+_NAME = rf"(?<={NAMES}{ASSIGN}"
+#: The password in front of a host.
+_LOGIN = r"://[^\x20\x09-\x0D/@:]{1,64}:"
+_HOST = rf"(?<={_LOGIN})[^\x20\x09-\x0D/@]{{6,}}+(?=@)"
+ASSIGNED = rf"{_NAME}\"){_DOUBLE}|{_NAME}'){_SINGLE}|{_NAME}){_BARE}|{_HOST}|{CANDIDATE}"
+VALUE = rf"(?<=^\"){_DOUBLE}|(?<=^'){_SINGLE}|^{_BARE}|{CANDIDATE}"
+NAMED = rf"{NAMES}{ASSIGN}$"
+#: What texts without any candidate lack; they are not split.
+HINT = rf"[A-Za-z0-9+/_\-]{{16}}|[A-Za-z0-9_\-]{{10}}\.[A-Za-z0-9_\-]{{10}}|{NAMES}[\"']{{0,1}}\s{{0,1}}[=:]|{_LOGIN}"
 #: Words that parts of a harmless candidate consist of.
 DICTIONARY = (
     "the", "and", "that", "this", "with", "from", "test", "example", "sample", "demo", "dummy", "user", "name", "file", "path", "page", "index", "image",
@@ -43,7 +54,17 @@ def _classes(text: Column) -> Column:
     return F.translate(F.regexp_replace(plain, "[^vcA0]", "o"), "A0", "ud")
 
 
-def feature_columns(word: Column, path: Column, before: Column, after: Column) -> list[Column]:
+def dictionary_words(docs: DataFrame, text_col: str = "text", most: int = 256, least: int = 20) -> tuple[str, ...]:
+    """DICTIONARY and the words of four letters or more that most documents hold: ``most`` of them at most, each in ``least`` documents at least.
+
+    Document frequencies cover all texts; they are summed before the exchange.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit("[a-zà-ÿ]{4,24}+(?![a-zà-ÿ])"), 0))).alias("word"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most)
+    return (*DICTIONARY, *(r.word for r in top.collect() if r.word not in SECRET_WORDS))
+
+
+def feature_columns(word: Column, path: Column, before: Column, after: Column, words: tuple[str, ...] = DICTIONARY) -> list[Column]:
     """The features of a candidate, in the order of FEATURES; nulls count as empty.
 
     Length, shares of characters, transitions between neighbouring characters' classes (of all
@@ -53,8 +74,8 @@ def feature_columns(word: Column, path: Column, before: Column, after: Column) -
     size = F.greatest(F.char_length(word), F.lit(1)).cast("double")
     classes, low = _classes(word), F.lower(word)
     pairs = F.greatest(size - 1, F.lit(1.0))
-    names = lambda words: r"(?i)(?<![a-z])(" + "|".join(words) + r")(?![a-z])"
-    covered = size - F.char_length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")).cast("double")
+    names = lambda some: r"(?i)(?<![a-z])(" + "|".join(some) + r")(?![a-z])"
+    covered = size - F.char_length(F.regexp_replace(low, "|".join(sorted(words, key=len, reverse=True)), "")).cast("double")
     return [
         size, _count(word, "[0-9]") / size, _count(word, "[A-Z]") / size, _count(word, "[a-z]") / size, _count(word, "[^A-Za-z0-9]") / size,
         low.rlike("^[0-9a-f]+$").cast("double"), word.rlike("^[0-9]+$").cast("double"), F.size(F.array_distinct(F.split(word, ""))) / size,
@@ -68,8 +89,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, position, candidate, path, before, after) of every candidate.
 
     Candidates are dotted tokens, runs of 16 key characters or more that hold a digit or 16 capitals, and
-    values of 6 characters or more that are assigned to the name of a secret (password=..., token: ...). None is
-    cut, however long. position counts the words of the text from 0; a word that holds several candidates
+    values of 6 characters or more that are assigned to what ends in the name of a secret (password=..., db_token: ..., "api_key":"...") or stand as a password
+    before a host. Names themselves are none. A quoted value ends at its quote, another one at white space, quotes, < or >, and at a comma, semicolon or & before
+    the next name or the end of the word. None is cut, however long. position counts the words of the text from 0; a word that holds several candidates
     gives each. before is the two words in front and what of the word itself comes first, after the two
     behind; of a word's several candidates, each is bounded by its neighbours, so what lies between two is
     after the one and before the other, and the words around belong to the outer ones.
@@ -78,13 +100,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     besides the three may have any names. An empty table gives no rows.
     """
     words = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").alias("t"))
-    words = words.where(F.col("t").rlike(rf"{CANDIDATE}|{NAMES}[\"']{{0,1}}\s{{0,1}}[=:]"))  # most texts hold none and are not split
+    words = words.where(F.col("t").rlike(HINT))
     words = words.select("id", "path", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     found = lambda w, pattern: F.regexp_extract_all(w, F.lit(pattern), F.lit(0))
     # The word before names a secret and ends in a sign of assignment, or is that sign.
-    named = lambda i: word(i - 1).rlike(NAMED) | (word(i - 1).isin("=", ":", ":=") & word(i - 2).rlike(rf"{NAMES}[\"']{{0,1}}$"))
-    worth = lambda w, i: w.rlike(STRONG) | w.rlike(rf"{NAMES}[\"']{{0,1}}[=:]") | named(i)
+    named = lambda i: word(i - 1).rlike(NAMED) | (word(i - 1).isin("=", ":", ":=") & word(i - 2).rlike(rf"{NAMES}{QUOTE}$"))
+    worth = lambda w, i: w.rlike(rf"{STRONG}|{NAMES}{ASSIGN}|{_LOGIN}") | named(i)
 
     def hit(w: Column, i: Column) -> Column:
         value = named(i)
@@ -97,8 +119,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.when(F.col("x.value"), F.split(word(at), VALUE, -1)).otherwise(F.split(word(at), ASSIGNED, -1))
     held = held.select("id", "path", at.alias("at"), F.col("x.value").alias("value"), F.col("x.found").alias("found"), parts.alias("parts"), around(at - 2, at - 1).alias("front"), around(at + 1, at + 2).alias("behind"))
     rows = held.select("*", F.posexplode("found").alias("k", "candidate"))
-    head, tail = F.get("parts", F.col("k")), F.substring(F.get("parts", F.col("k") + 1), 1, 64)
-    short = F.col("value") | head.rlike(rf"{NAMES}[\"']{{0,1}}[=:][\"']{{0,1}}$")
+    head, tail = F.get("parts", F.col("k")), F.get("parts", F.col("k") + 1)
+    short = F.col("value") | head.rlike(rf"(?:{NAMES}{ASSIGN}{QUOTE}|{_LOGIN})$")
     before = F.when(F.col("k") == 0, F.concat_ws(" ", "front", head)).otherwise(head)
     after = F.when(F.col("k") == F.size("found") - 1, F.concat_ws(" ", tail, "behind")).otherwise(tail)
     return rows.where(F.col("candidate").rlike(STRONG) | short).select("id", F.col("at").cast("long").alias("position"), "candidate", "path", F.trim(before).alias("before"), after.alias("after"))
@@ -152,13 +174,13 @@ def example_findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
     return rows.select("x.candidate", path.alias("path"), "x.before", behind.alias("after"), "x.label")
 
 
-def fit(findings: DataFrame, most: int = 50_000) -> RandomForestClassificationModel:
+def fit(findings: DataFrame, most: int = 50_000, words: tuple[str, ...] = DICTIONARY) -> RandomForestClassificationModel:
     """A forest on labelled findings, ``most`` of the least hashes at most; null labels are left out.
 
     Labels of one kind only give a forest that always says that kind.
     """
     rows = findings.where("label is not null").orderBy(F.xxhash64("candidate", "before"), "candidate").limit(most)
-    x = F.array(*feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after")))
+    x = F.array(*feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), words))
     rows = cut_lineage(rows.select("label", x.alias("x")))
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=24, maxDepth=8, seed=3).fit(rows.select("label", array_to_vector("x").alias("features")))
 
@@ -166,13 +188,14 @@ def fit(findings: DataFrame, most: int = 50_000) -> RandomForestClassificationMo
 def scan_secrets(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """(id, position, candidate, before, score, is_secret) of every candidate of every text.
 
-    score is the forest's share of votes for a secret; is_secret: it is ``threshold`` or more. Null ids
+    The dictionary of the forest's coverage feature is that of the texts (dictionary_words). score is the forest's share of votes for a secret; is_secret: it is ``threshold`` or more. Null ids
     and paths, repeated rows and ties stay; null and empty texts and an empty table give no rows; texts
     and candidates of any length are read whole. Other columns, whatever their names, aren't read.
     """
-    model = fit(findings)
+    words = dictionary_words(docs, text_col)
+    model = fit(findings, words=words)
     found = candidates(docs, id_col, text_col, path_col)
-    x = F.array(*feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after")))
+    x = F.array(*feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), words))
     scored = model.transform(found.withColumn("features", array_to_vector(x)))
     scored = scored.withColumn("score", F.round(vector_to_array("probability")[1], 9))
     return scored.select("id", "position", "candidate", "before", "score", (F.col("score") >= threshold).alias("is_secret"))
