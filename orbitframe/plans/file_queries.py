@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbitframe.functions import naming, raster
 from orbitframe.operators import detections as det, frames as fr
+from orbitframe.plans import settings
 from orbitframe.plans.queries import _PIXELS, _WRITTEN, _image, _pictures, _written, query, rounded
 from orbitframe.session import ensure_checkpoint_dir, read_table, written_table
 from orbitframe.sources import containers, jpeg, media, rawvideo, sinks, tracks
@@ -44,10 +45,10 @@ def _mosaics(spark, sf) -> DataFrame:
     return rows.select("picture", _image(flat, 64, ROWS).alias("view_image"))
 
 
-def written_images(images: DataFrame, folder: str, ext, quality: int = 95) -> None:
+def written_images(images: DataFrame, folder: str, ext, quality: int = 95, more: tuple[str, ...] = ()) -> None:
     """Writes images (picture, view_image) under their numbers, by the two steps of the sinks; ``ext`` is a column."""
-    files = images.select(F.lit(folder).alias("output_dir"), ext.alias("ext"), F.concat(F.col("picture").cast("string"), F.lit("."), ext).alias("image_name"), "view_image")
-    staged = written_table(sinks.staged(sinks.encoded(files, quality=quality, ext_col="ext").drop("view_image"), "q"))
+    files = images.select(F.lit(folder).alias("output_dir"), ext.alias("ext"), F.concat(F.col("picture").cast("string"), F.lit("."), ext).alias("image_name"), "view_image", *more)
+    staged = written_table(sinks.staged(sinks.encoded(files, quality=quality, ext_col="ext").drop("view_image", *more), "q"))
     failed = sinks.published(staged.withColumn("keep", F.lit(True))).where("not ok").first()
     if failed:
         raise OSError(f"{failed.path}: {failed.error}")
@@ -91,6 +92,17 @@ def stills_jpeg(spark, sf):
     )
 
 
+@query("select picture, round((picture * 37 % 1700) / 10.0::double - 85, 6) as lat, round((picture * 53 % 3500) / 10.0::double - 175, 6) as lon, round(picture % 11 - 5::double, 6) as alt from (select distinct vec_id // 64 as picture from embeddings)")
+def placed_images(spark, sf):
+    # A third each is written as JPEG, PNG and TIFF, with its place; read back from the files' GPS directories.
+    folder, p = new_folder(spark), F.col("picture")
+    ext = F.element_at(F.array(*map(F.lit, ("jpg", "png", "tif"))), (p % 3 + 1).cast("int"))
+    images = _mosaics(spark, sf).withColumns({"lat": (p * 37 % 1700) / 10.0 - 85, "lon": (p * 53 % 3500) / 10.0 - 175, "alt": (p % 11 - 5).cast("double")})
+    written_images(images, folder, ext, more=("lat", "lon", "alt"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", media.STILLS).load(folder)
+    return rounded(sinks.read_places(files).select(key_of().alias("picture"), "lat", "lon", "alt"), "lat", "lon", "alt")
+
+
 @query(f"""with {_PIXELS} select vec_id, string_agg(printf('%02X', m), '' order by y, x) as pixels
 from (select vec_id, x // 2 as x, y // 2 as y, round_even(avg(v), 0)::int as m from p group by 1, 2, 3) group by vec_id""")
 def thumbnails(spark, sf):
@@ -129,6 +141,11 @@ def raw_video_middle(spark, sf):
     return _clip_rows(rawvideo.video_frames(spark, _clips(spark, sf), only="middle"))
 
 
+@query(f"with {_CLIPS} select job_id, frame_idx, pixels from f where frame_idx = 0")
+def raw_video_first(spark, sf):
+    return _clip_rows(fr.first_frame(rawvideo.video_frames(spark, _clips(spark, sf))))
+
+
 @query(f"with {_CLIPS} select job_id, frame_idx, pixels from f where frame_idx % 15 = 0")
 def raw_video_by_keys(spark, sf):
     # Half a second at 30 frames a second; keys are dealt out before frames are decoded.
@@ -328,3 +345,41 @@ def jpeg_quality(spark, sf):
 
     out = raster.with_image_column(_mosaics(spark, sf), "less", "double", less, "view_image")
     return out.select("picture", F.lit(20).alias("small"), F.lit(95).alias("large"), (F.col("less") == 1).alias("smaller"))
+
+
+# --- settings of rows
+
+_RULES = """r as (select o_orderkey as job_id, case when o_orderkey % 4 = 0 then (o_custkey % 9) / 2.0::double end as cli_interval, case when o_orderkey % 3 = 0 then (o_custkey % 7)::double end as cfg_value,
+  case when o_orderkey % 5 = 0 then (o_custkey % 5)::double end as cfg_alias, case when o_orderkey % 2 = 0 then 'Frames' end as cfg_unit,
+  case o_orderkey % 3 when 0 then 'Vehicles, plants' when 1 then '' end as targets, case when o_custkey % 2 = 0 then o_custkey % 4 = 0 end as cfg_flag,
+  case when o_orderkey % 7 = 0 then 'simple' end as cli_mode, case when o_orderkey % 5 = 1 then '{frame}' end as cli_image, case when o_orderkey % 5 = 2 then '{camera}' end as cli_mask,
+  case when o_custkey % 3 = 0 then 'simple' end as cfg_mode, o_custkey % 6 = 0 as on_flag from orders)"""
+
+
+@query(f"""with {_RULES} select job_id, coalesce(cli_interval, cfg_value, cfg_alias, 1.0::double) as interval_value, case when cli_interval is not null then 'Seconds' else coalesce(cfg_unit, 'Seconds') end as interval_unit,
+  case when targets is not null then false else coalesce(cfg_flag, true) end as ai_detect_humans,
+  case when targets is not null then targets like '%Vehicles%' else coalesce(cfg_flag, false) end as ai_detect_vehicles, case when targets is not null then targets like '%plants%' else coalesce(cfg_flag, false) end as ai_detect_plants,
+  coalesce(cli_mode, case when cli_image is not null or cli_mask is not null then 'custom' end, cfg_mode, 'realityscan') as naming_mode,
+  case when on_flag then true else coalesce(cfg_flag, false) end as adaptive_mode, case when on_flag then true else coalesce(cfg_flag, false) end as export_telemetry, case when on_flag then false else coalesce(cfg_flag, true) end as is_360 from r""")
+def settings_rules(spark, sf):
+    return settings_rows(read_table(spark, sf, "orders"))
+
+
+def settings_rows(orders: DataFrame) -> DataFrame:
+    """Settings of runs that each order stands for, by the rules of layers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    value, unit = settings.interval_columns(F.when(k % 4 == 0, (c % 9) / 2.0), F.when(k % 3 == 0, c % 7), F.when(k % 5 == 0, c % 5), F.when(k % 2 == 0, "Frames"))
+    flag, on = F.when(c % 2 == 0, c % 4 == 0), c % 6 == 0
+    targets = settings.target_columns(F.when(k % 3 == 0, "Vehicles, plants").when(k % 3 == 1, ""), dict.fromkeys(settings.TARGETS, flag))
+    mode = settings.naming_column(F.when(k % 7 == 0, "simple"), F.when(k % 5 == 1, "{frame}"), F.when(k % 5 == 2, "{camera}"), F.when(c % 3 == 0, "simple"))
+    switched = {key: settings.switched_column(key, on, flag) for key in ("adaptive_mode", "export_telemetry", "is_360")}
+    return orders.select(k.alias("job_id"), value.alias("interval_value"), unit.alias("interval_unit"), *(x.alias(n) for n, x in (targets | {"naming_mode": mode} | switched).items()))
+
+
+@query("select vec_id, 'pass' as ai_action, false as masked from embeddings")
+def detector_missing(spark, sf):
+    def broken():
+        raise OSError("no weights")
+
+    seen = det.with_detector(_pictures(spark, sf), broken, "generate_mask", 0.5, [0], image="image")
+    return seen.select("vec_id", "ai_action", F.col("mask").isNotNull().alias("masked"))

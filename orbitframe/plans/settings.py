@@ -110,3 +110,27 @@ def ai_mode_column(skip: Column, mask: Column, config_mode: Column, legacy: Colu
     columns = {("given", "ai_skip"): skip, ("given", "ai_mask"): mask, ("config", "ai_mode"): config_mode, ("config", "ai"): legacy}
     found = [F.when(columns[x[:2]], x[2]) if x[2] else F.nullif(columns[x[:2]], F.lit(AI_NONE)) for x in AI_SOURCES if x[:2] in columns]
     return F.coalesce(*found, F.lit(AI_NONE))
+
+
+def interval_columns(given: Column, value: Column, alias: Column, unit: Column) -> tuple[Column, Column]:
+    """(value, unit) of each row: an interval on the command line counts seconds; else the config's value, under its full name or its alias, and unit."""
+    own = F.coalesce(value.cast("double"), alias.cast("double"), F.lit(float(DEFAULTS["interval_value"])))
+    return F.coalesce(given.cast("double"), own), F.when(given.isNotNull(), "Seconds").otherwise(F.coalesce(unit, F.lit(DEFAULTS["interval_unit"])))
+
+
+def target_columns(given: Column, config: dict[str, Column]) -> dict[str, Column]:
+    """The three detection flags of each row: targets on the command line set all of them, else those of the config, else the defaults."""
+    chosen = F.transform(F.split(F.lower(given), ","), lambda x: F.trim(x))
+    return {f"ai_detect_{k}": F.when(given.isNotNull(), F.array_contains(chosen, k)).otherwise(F.coalesce(config[k], F.lit(DEFAULTS[f"ai_detect_{k}"]))) for k in TARGETS}
+
+
+def naming_column(mode: Column, image_pattern: Column, mask_pattern: Column, config_mode: Column) -> Column:
+    """The naming mode of each row: that of the command line, custom if it has a pattern alone, else the config's, else the default."""
+    patterned = F.when(image_pattern.isNotNull() | mask_pattern.isNotNull(), "custom")
+    return F.coalesce(mode, patterned, config_mode, F.lit(DEFAULTS["naming_mode"]))
+
+
+def switched_column(key: str, flag: Column, config: Column) -> Column:
+    """The setting ``key`` of each row after the flag that entails it (ENTAILED), which only sets it: the config's value or the default stays without it."""
+    (value,) = (more[key] for more in ENTAILED.values() if key in more)
+    return F.when(flag, F.lit(value)).otherwise(F.coalesce(config, F.lit(DEFAULTS[key])))

@@ -105,6 +105,52 @@ def with_gps(image: bytes, lat: float, lon: float, alt: float = 0.0) -> bytes:
     return image
 
 
+def read_place(file: bytes) -> tuple[float, float, float | None] | None:
+    """(latitude, longitude, altitude) out of the GPS directory of a JPEG, PNG or TIFF file; None without one, or if it is broken."""
+    tiff = file if file[:4] in (b"II*\0", b"MM\0*") else b""
+    at = 2 if file[:2] == b"\xff\xd8" else 8
+    while not tiff and at + 12 <= len(file):
+        if file[:2] == b"\xff\xd8":
+            if file[at] != 0xFF or file[at + 1] in (0xDA, 0xD9):
+                return None
+            tiff = file[at + 10 :] if file[at + 1] == 0xE1 and file[at + 4 : at + 10] == b"Exif\0\0" else b""
+            at += 2 + struct.unpack_from(">H", file, at + 2)[0]
+        else:
+            n, kind = struct.unpack_from(">I4s", file, at)
+            tiff = file[at + 8 : at + 8 + n] if kind == b"eXIf" else b""
+            at += 12 + n
+    try:
+        order = "<" if tiff[:2] == b"II" else ">"
+
+        def directory(at: int) -> dict[int, int]:
+            n = struct.unpack_from(order + "H", tiff, at)[0]
+            return {struct.unpack_from(order + "H", tiff, at + 2 + 12 * k)[0]: at + 10 + 12 * k for k in range(n)}
+
+        offset = lambda at: struct.unpack_from(order + "I", tiff, at)[0]
+        shares = lambda at, n: [a / b for a, b in struct.iter_unpack(order + "II", tiff[offset(at) : offset(at) + 8 * n])]
+        gps = directory(offset(directory(offset(4))[GPS_TAG]))
+        degrees = lambda tag: sum(v / 60**k for k, v in enumerate(shares(gps[tag], 3)))
+        lat = degrees(2) * (-1 if tiff[gps[1] : gps[1] + 1] == b"S" else 1)
+        lon = degrees(4) * (-1 if tiff[gps[3] : gps[3] + 1] == b"W" else 1)
+        alt = shares(gps[6], 1)[0] * (-1 if tiff[gps[5]] == 1 else 1) if 6 in gps else None
+        return lat, lon, alt
+    except (IndexError, KeyError, ZeroDivisionError, struct.error):
+        return None
+
+
+def read_places(files: DataFrame) -> DataFrame:
+    """(path, lat, lon, alt) of image files (path, content); nulls where a file has no place."""
+    kinds = [pa.string(), *[pa.float64()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *(read_place(data.as_py() or b"") or (None,) * 3)) for path, data in zip(b.column(0).to_pylist(), b.column(1))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["path", "lat", "lon", "alt"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, lat double, lon double, alt double")
+
+
 def encode_tiff(px: np.ndarray) -> bytes:
     """An uncompressed 8-bit TIFF (little-endian, one strip) of one channel, or of blue, green, red pixels."""
     px = px if px.ndim == 3 else px[..., None]

@@ -79,3 +79,20 @@ def test_classes_and_scope(spark):
     assert act("generate_mask", F.col("name") == "a") == {(1, "a"): "mask", (1, "b"): "pass", (2, "a"): "empty_mask"}
     assert set(act("none").values()) == {"pass"}
     assert sorted(map(tuple, det.without_detections(views, hits, on).collect())) == [(1, "b")]
+
+
+def test_rules_of_columns_are_those_of_a_run(spark):
+    from orbitframe.plans.file_queries import settings_rows
+
+    rows = [(k, c) for k in range(1, 43) for c in range(1, 37, 5)]
+    df = settings_rows(spark.createDataFrame([(k * 1000 + c, c) for k, c in rows], "o_orderkey long, o_custkey long"))
+    for r in df.collect():
+        k, c = r.job_id, r.job_id % 1000
+        flag = None if c % 2 else c % 4 == 0
+        config = {"interval_value": float(c % 7) if k % 3 == 0 else None, "interval": float(c % 5) if k % 5 == 0 else None, "interval_unit": "Frames" if k % 2 == 0 else None, "naming_mode": "simple" if c % 3 == 0 else None}
+        config |= {key: flag for key in ("ai_detect_humans", "ai_detect_vehicles", "ai_detect_plants", "adaptive_mode", "export_telemetry", "is_360")}
+        on = True if c % 6 == 0 else None
+        cli = {"interval": c % 9 / 2 if k % 4 == 0 else None, "targets": {0: "Vehicles, plants", 1: ""}.get(k % 3), "naming_mode": "simple" if k % 7 == 0 else None, "image_pattern": "{frame}" if k % 5 == 1 else None, "mask_pattern": "{camera}" if k % 5 == 2 else None}
+        cli |= {"adaptive": on, "export_telemetry": on, "flat": on}
+        want = settings.resolved(config, cli)
+        assert r.asDict() == {"job_id": k} | {key: want[key] for key in r.asDict() if key != "job_id"}
