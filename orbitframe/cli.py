@@ -36,7 +36,7 @@ def samples_of(spark: SparkSession, folder: str, altitude_mode: str) -> DataFram
     texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", TEXTS).load(folder)
     of = lambda suffix: texts.where(naming.suffix(F.col("path")) == suffix).select(key, "content")
     boxes = containers.container_tracks(media.listed(spark, folder, CONTAINERS).select("path"), payloads=True)
-    streams = boxes.select(key, F.col("path").alias("media_id"), "kind", "tag", "stream_index", F.lit(0).alias("samples"), "duration", "payload")
+    streams = boxes.select(key, F.col("path").alias("media_id"), "kind", "tag", "stream_index", F.lit(0).alias("samples"), "duration", "part", "payload")
     chosen = tracks.container_samples(telemetry.chosen_tracks(streams), altitude_mode=altitude_mode)
     gpx = tracks.read_gpx(spark, folder).withColumn("job_id", key).drop("path")
     parsed = [gpx, tracks.parse_srt(of("srt"), altitude_mode), chosen]

@@ -88,7 +88,7 @@ def interpolated_long(queries: DataFrame, samples: DataFrame, most: int = 1_000_
 
 
 def chosen_tracks(streams: DataFrame) -> DataFrame:
-    """The one track of each media file that telemetry is taken from.
+    """The one track of each media file that telemetry is taken from, with all its parts where streams have a column part (and the first one else).
 
     streams: (media_id, kind, tag, stream_index, samples); kind is sidecar, data or subtitle. A sidecar
     with samples wins; else the first data stream tagged gpmd or camm, even if it has none; else the first
@@ -100,7 +100,7 @@ def chosen_tracks(streams: DataFrame) -> DataFrame:
         .when(F.col("kind") == "subtitle", 2)
     )
     first = Window.partitionBy("media_id").orderBy("rank", "stream_index", "kind", "tag")
-    return streams.withColumn("rank", rank).where("rank is not null").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "rank")
+    return streams.withColumn("rank", rank).where("rank is not null").withColumn("n", (F.rank() if "part" in streams.columns else F.row_number()).over(first)).where("n = 1").drop("n", "rank")
 
 
 def even_timestamps(samples: DataFrame, duration: Column, job: str = "job_id") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.functions import naming, raster
 from orbitframe.operators import detections as det, frames as fr
@@ -245,8 +245,11 @@ def _subtitles(spark, sf, fragment=None) -> DataFrame:
     text = F.concat(F.lit("[latitude: "), num("lat"), F.lit("] [longitude: "), num("lon"), F.lit("] [rel_alt: 1.5 abs_alt: "), num("alt"), F.lit("]"))
     folder = new_folder(spark)
     write_subtitle_containers(w.select("job_id", "n", text.alias("text")), folder, fragment).write.format("noop").mode("overwrite").save()
-    boxes = containers.container_tracks(media.listed(spark, folder, "*.mp4").select("path"), payloads=True)
-    return rounded(tracks.container_samples(boxes.withColumn("job_id", key_of())).select("job_id", "seq", "ts", "lat", "lon", "alt"), "ts", "lat", "lon", "alt")
+    boxes = containers.container_tracks(media.listed(spark, folder, "*.mp4").select("path"), payloads=True, most=2048)
+    samples = tracks.container_samples(boxes.withColumn("job_id", key_of()))
+    # Blocks of a part are numbered from 0; every sample has text, so their order is the samples' number.
+    seq = F.row_number().over(Window.partitionBy("job_id").orderBy("seq")) - 1
+    return rounded(samples.withColumn("seq", seq.cast("long")).select("job_id", "seq", "ts", "lat", "lon", "alt"), "ts", "lat", "lon", "alt")
 
 
 _SUBTITLES_SQL = f"with {_WRITTEN} select job_id, n as seq, round(n::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, alt from w"

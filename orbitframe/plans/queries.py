@@ -422,24 +422,40 @@ _WRITTEN = """all_s as (select user_id as job_id, event_id as seq, (event_id * 3
 w as (select *, row_number() over (partition by job_id order by seq) - 1 as n, count(*) over (partition by job_id) as m from all_s where lat between -90 and 90 and lon between -180 and 180)"""
 
 
+#: Samples of a part of a job's payload.
+CHUNK = 3000
+
+
+def _parts(w, chunk, between=""):
+    """(job_id, part, m, parts): a job's chunks of text in order, joined in parts of CHUNK of them, so that no row has a whole job."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", chunk.alias("b")))), lambda x: x["b"]), between)
+    return w.groupBy("job_id", F.floor(F.col("n") / CHUNK).cast("int").alias("part")).agg(F.count("*").alias("m"), joined.alias("parts"))
+
+
 def _srt(spark, sf):
     num = lambda c: F.format_string("%.1f", F.col(c))
     time = F.concat(F.lit("00:"), F.format_string("%02d:%02d,500", (F.col("n") / 60).cast("int"), (F.col("n") % 60).cast("int")))
     body = F.concat(F.lit("[latitude: "), num("lat"), F.lit("] [longitude: "), num("lon"), F.lit("] [rel_alt: 1.5 abs_alt: "), num("alt"), F.lit("]"))
     body = F.when(F.col("n") % 2 == 0, body).otherwise(F.concat(F.lit("GPS("), num("lat"), F.lit(", "), num("lon"), F.lit(", "), num("alt"), F.lit(")")))
     block = F.concat(F.col("n").cast("string"), F.lit("\r\n"), time, F.lit(" --> 00:00:00,000\r\n"), body)
-    w = _written(spark, sf).groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\r\n\r\n").alias("content"))
-    return w.select("job_id", F.encode("content", "UTF-8").alias("content"))
+    w = _parts(_written(spark, sf), block, "\r\n\r\n")
+    return w.select("job_id", "part", F.encode("parts", "UTF-8").alias("content"))
+
+
+def _srt_samples(files, mode):
+    s = tracks.parse_srt(files, mode, part="part")
+    seq = F.floor(F.col("seq") / tracks.PART) * CHUNK + F.pmod(F.col("seq"), F.lit(tracks.PART))
+    return rounded(s.withColumn("seq", seq.cast("long")), "ts", "lat", "lon", "alt")
 
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n + 0.5::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, alt from w")
 def parse_srt_absolute(spark, sf):
-    return rounded(tracks.parse_srt(_srt(spark, sf)), "ts", "lat", "lon", "alt")
+    return _srt_samples(_srt(spark, sf), "absolute")
 
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n + 0.5::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, case when n % 2 = 0 then 1.5::double else alt end as alt from w")
 def parse_srt_relative(spark, sf):
-    return rounded(tracks.parse_srt(_srt(spark, sf), "relative"), "ts", "lat", "lon", "alt")
+    return _srt_samples(_srt(spark, sf), "relative")
 
 
 def _packed(w, chunk, head="", tail=""):
@@ -464,19 +480,16 @@ def _be32(x):
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n / 18.0::double, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, alt from w")
 def parse_gpmf(spark, sf):
-    # A block's count of samples has 16 bits, so a job is as many DEVC blocks as it needs.
-    w = _written(spark, sf).withColumn("block", F.floor(F.col("n") / 3000))
+    # A block's count of samples has 16 bits, so a job is as many DEVC blocks as it needs, each a part of its payload.
     row = F.concat(*(_be32(F.round(F.col(c) * 10)) for c in ("lat", "lon", "alt")), F.lit("00000000" * 2))
-    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text.alias("b")))), lambda x: x["b"]), "")
-    p = w.groupBy("job_id", "block").agg(F.count("*").alias("m"), joined("n", row).alias("parts"))
+    p = _parts(_written(spark, sf), row)
     h = lambda text: F.lit(text.encode().hex().upper())
     scal = F.concat(h("SCAL"), h("l"), F.lit("040005"), F.lit("0000000A" * 3 + "00000001" * 2))
     gps5 = F.concat(h("GPS5"), h("l"), F.lit("14"), F.lpad(F.hex("m"), 4, "0"), "parts")
     # Nested levels give their size as size 4 and a count of words.
     level = lambda key, body: F.concat(h(key), F.lit("0004"), F.lpad(F.hex((F.length(body) / 8).cast("long")), 4, "0"), body)
-    devc = p.select("job_id", "block", level("DEVC", level("STRM", F.concat(scal, gps5))).alias("devc"))
-    files = devc.groupBy("job_id").agg(F.unhex(joined("block", F.col("devc"))).alias("content"))
-    return rounded(tracks.parse_tracks(files, "gpmf"), "ts", "lat", "lon", "alt")
+    files = p.select("job_id", "part", F.unhex(level("DEVC", level("STRM", F.concat(scal, gps5)))).alias("payload"))
+    return rounded(tracks.parse_parts(files, "gpmf"), "ts", "lat", "lon", "alt")
 
 
 @query(f"with {_WRITTEN} select job_id, n as seq, round(n / m::double * 30, 6) as ts, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 3) as alt from w")
@@ -513,9 +526,9 @@ def _camm(w):
         big = F.when(a <= 0, F.lit("0" * 8)).otherwise(F.lpad(F.hex((e + 127).cast("long") * F.lit(1 << 23) + frac), 8, "0"))
         return F.concat(*(F.substring(big, i, 2) for i in range(7, 0, -2)))
 
-    p = _packed(w, F.concat(F.lit("00000600"), double_le("lat"), double_le("lon"), float_le("alt")))
-    files = p.select("job_id", F.unhex("parts").alias("content"), F.lit(30.0).alias("duration"))
-    return rounded(rounded(tracks.parse_tracks(files, "camm", duration="duration"), "ts", "lat", "lon"), "alt", digits=3)
+    p = _parts(w, F.concat(F.lit("00000600"), double_le("lat"), double_le("lon"), float_le("alt")))
+    files = p.select("job_id", "part", F.unhex("parts").alias("payload"), F.lit(30.0).alias("duration"))
+    return rounded(rounded(tracks.parse_parts(files, "camm", duration="duration"), "ts", "lat", "lon"), "alt", digits=3)
 
 
 @query(f"""with {ALL_SAMPLES_SQL}, d as (select *, abs(lat) as x, abs(lon) as y from clean)

@@ -16,6 +16,8 @@ from orbitframe.sources.stores import Ranged
 KINDS = {b"vide": "video", b"soun": "sound", b"sbtl": "subtitle", b"subt": "subtitle", b"text": "subtitle"}
 #: Samples nearer to each other than so many bytes are read together, and bytes read at once.
 GAP, TOGETHER = 1 << 16, 16 << 20
+#: Bytes of a payload's row.
+PAYLOAD = 4 << 20
 
 
 def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -213,15 +215,23 @@ def _text(sample: bytes, tag: str) -> str:
 
 
 def subtitle_file(file: Ranged, track: dict) -> bytes:
+    """The track's samples with text as one subtitle file."""
+    return b"".join(subtitle_blocks(file, track))
+
+
+def subtitle_blocks(file: Ranged, track: dict) -> Iterator[bytes]:
     """The track's samples with text as blocks of a subtitle file: number, times, text."""
-    scale = track["scale"] or 1
-    out = []
-    clock = lambda ticks: "{:02d}:{:02d}:{:02d},{:03d}".format(ms // 3_600_000, ms // 60_000 % 60, ms // 1000 % 60, ms % 1000) if (ms := round(ticks * 1000 / scale)) >= 0 else "00:00:00,000"
+    scale, number = track["scale"] or 1, 0
+
+    def clock(ticks: int) -> str:
+        ms = max(0, round(ticks * 1000 / scale))
+        return f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms // 1000 % 60:02d},{ms % 1000:03d}"
+
     for (_, _, time, length), sample in zip(track["samples"].tolist(), sample_bytes(file, track["samples"])):
         text = re.sub(r"\s*\n\s*", "\n", _text(sample, track["tag"]).replace("\r", "\n")).strip()
         if text:
-            out.append(f"{len(out) + 1}\n{clock(time)} --> {clock(time + length)}\n{text}\n\n")
-    return "".join(out).encode()
+            number += 1
+            yield f"{number}\n{clock(time)} --> {clock(time + length)}\n{text}\n\n".encode()
 
 
 def isobmff_tracks(files: DataFrame) -> DataFrame:
@@ -230,32 +240,43 @@ def isobmff_tracks(files: DataFrame) -> DataFrame:
     kind is video, sound, subtitle or data, tag the sample entry's code (such as gpmd or camm); a broken file gives the tracks
     before the break.
     """
-    return container_tracks(files).drop("payload")
+    return container_tracks(files).drop("part", "payload")
 
 
-def container_tracks(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """isobmff_tracks with the column payload, if asked for: the samples of data tracks one after the other, subtitle tracks as SRT; null else.
+def container_tracks(files: DataFrame, payloads: bool = False, most: int = PAYLOAD) -> DataFrame:
+    """isobmff_tracks with the columns part and payload: if asked for, the samples of data tracks one after the other, subtitle tracks as SRT; null else.
 
+    A payload comes in parts of whole samples and about ``most`` bytes, a row each, numbered from 0; a track without samples has one.
     files: (path, content), or (path) alone; then only headers and the samples asked for are read from the file, however long it is.
     A file that can't be opened gives no tracks.
     """
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.binary()]
     columns = ["path", "content"] if "content" in files.columns else ["path"]
 
-    def payload(file: Ranged, t: dict) -> bytes | None:
+    def parts(file: Ranged, t: dict) -> Iterator[bytes | None]:
         if not payloads or t["kind"] not in ("data", "subtitle"):
-            return None
-        return subtitle_file(file, t) if t["kind"] == "subtitle" else b"".join(sample_bytes(file, t["samples"]))
+            yield None
+            return
+        held, size, any_ = [], 0, False
+        for sample in subtitle_blocks(file, t) if t["kind"] == "subtitle" else sample_bytes(file, t["samples"]):
+            held.append(sample)
+            size += len(sample)
+            if size >= most:
+                yield b"".join(held)
+                held, size, any_ = [], 0, True
+        if held or not any_:
+            yield b"".join(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, path in enumerate(b.column(0).to_pylist()):
                 try:
                     with Ranged((b.column(1)[i].as_py() or b"") if len(columns) > 1 else path) as file:
-                        rows = [(path, k, t["kind"], t["tag"], t["seconds"], payload(file, t)) for k, t in enumerate(read_tracks(file))]
+                        for k, t in enumerate(read_tracks(file)):
+                            for part, payload in enumerate(parts(file, t)):
+                                row = (path, k, t["kind"], t["tag"], t["seconds"], part, payload)
+                                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=["path", "stream_index", "kind", "tag", "duration", "part", "payload"])
                 except OSError:
                     continue
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["path", "stream_index", "kind", "tag", "duration", "payload"])
 
-    return files.select(*columns).mapInArrow(run, "path string, stream_index int, kind string, tag string, duration double, payload binary")
+    return files.select(*columns).mapInArrow(run, "path string, stream_index int, kind string, tag string, duration double, part int, payload binary")

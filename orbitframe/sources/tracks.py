@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SAMPLES = "job_id long, seq long, ts double, lat double, lon double, alt double"
 _NUMBER = r"([-0-9.]+)"
+#: Places of a part's samples in a job's order.
+PART = 1 << 32
 
 
-def parse_srt(files: DataFrame, altitude_mode: str = "absolute", job: str = "job_id", content: str = "content") -> DataFrame:
+def parse_srt(files: DataFrame, altitude_mode: str = "absolute", job: str = "job_id", content: str = "content", part: str | None = None) -> DataFrame:
     """Samples of subtitle files (job_id, content binary or string); SQL expressions only.
 
     Blocks are parted by blank lines; the second line has the start time. Positions are [latitude: x]
@@ -22,7 +24,8 @@ def parse_srt(files: DataFrame, altitude_mode: str = "absolute", job: str = "job
     altitude, else rel_alt; in relative mode rel_alt, altitude, abs_alt; else 0. A block with a number
     that can't be read is dropped.
 
-    Blocks become structs inside the row, a step a level, so that each pattern runs once a block.
+    Blocks become structs inside the row, a step a level, so that each pattern runs once a block. A long file may come in parts of whole blocks, a row
+    each, numbered from 0 in the column ``part``; seq is then the part times PART plus the block's place in it, so it still orders a job.
     """
     text = F.decode(F.col(content).cast("binary"), "UTF-8") if dict(files.dtypes)[content] == "binary" else F.col(content)
     text = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
@@ -41,14 +44,15 @@ def parse_srt(files: DataFrame, altitude_mode: str = "absolute", job: str = "job
             *(bracket(x.body, name).alias(c) for c, name in (("t_lat", "latitude"), ("t_lon", "longitude"), ("old", "altitude"))), tag(x.body, "abs_alt").alias("abs"), tag(x.body, "rel_alt").alias("rel"),
         ),
     )
-    b = files.select(F.col(job).cast("long").alias("job_id"), F.inline(read)).where("time is not null")
+    start = F.col(part).cast("long") * PART if part else F.lit(0).cast("long")
+    b = files.select(F.col(job).cast("long").alias("job_id"), start.alias("start"), F.inline(read)).where("time is not null")
     number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
     b = b.withColumn("g", F.split(F.regexp_replace("gps", r"^[^(]*\(|\)$", ""), ","))
     tagged = F.expr("t_lat <> '' and t_lon <> ''")
     unread = lambda c: (F.col(c) != "") & number(c).isNull()
     order = ("abs", "old", "rel") if altitude_mode == "absolute" else ("rel", "old", "abs")
     b = b.where(~(tagged & (unread("abs") | unread("rel") | unread("old")))).select(
-        "job_id", F.col("seq").cast("long").alias("seq"), (number("time[0]") * 3600 + number("time[1]") * 60 + number("time[2]") + number("time[3]") / 1000).alias("ts"),
+        "job_id", (F.col("start") + F.col("seq")).alias("seq"), (number("time[0]") * 3600 + number("time[1]") * 60 + number("time[2]") + number("time[3]") / 1000).alias("ts"),
         F.when(tagged, number("t_lat")).otherwise(number("get(g, 0)")).alias("lat"),
         F.when(tagged, number("t_lon")).otherwise(number("get(g, 1)")).alias("lon"),
         F.when(tagged, F.coalesce(*map(number, order), F.lit(0.0))).otherwise(number("get(g, 2)")).alias("alt"),
@@ -200,10 +204,36 @@ def parse_tracks(files: DataFrame, kind: str, job: str = "job_id", content: str
     return src.mapInArrow(run, SAMPLES)
 
 
+def parse_parts(parts: DataFrame, kind: str, job: str = "job_id", content: str = "payload", part: str = "part", duration: str | None = None) -> DataFrame:
+    """parse_tracks of gpmf or camm payloads that come in parts of whole samples, a row each, numbered from 0 in the column ``part``.
+
+    Parts are parsed apart, by any task; clocks run over a job's samples in a window, so no row and no task holds a whole payload. Every part of
+    a gpmf payload has its own SCAL, as its samples do. seq counts a job's samples.
+    """
+    length = F.col(duration).cast("double") if duration else F.lit(0.0)
+    src = parts.select(F.struct(F.col(job).cast("long").alias("job"), F.col(part).cast("long").alias("part"), length.alias("length")).alias("key"), F.col(content).cast("binary").alias("content"))
+    parse = {"gpmf": lambda d: _gpmf_points(d), "camm": lambda d: _camm_points(d, 0.0)}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
+        for b in batches:
+            for key, data in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = [(key["job"], (key["part"] or 0) * PART + k, key["length"], *map(float, p[1:])) for k, p in enumerate(parse(data.as_py() or b""))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["job_id", "at", "length", "lat", "lon", "alt"])
+
+    found = src.select("key", "content").mapInArrow(run, "job_id long, at long, length double, lat double, lon double, alt double")
+    by = Window.partitionBy("job_id")
+    i = F.row_number().over(by.orderBy("at")) - 1
+    ts = i / F.lit(18.0) if kind == "gpmf" else F.when(F.col("length") > 0, i / F.count("*").over(by) * F.col("length")).otherwise(i * 0.2)
+    return found.select("job_id", i.cast("long").alias("seq"), ts.alias("ts"), "lat", "lon", "alt")
+
+
 def container_samples(tracks: DataFrame, job: str = "job_id", altitude_mode: str = "absolute") -> DataFrame:
-    """Samples of gpmd, camm and subtitle tracks (job_id, kind, tag, duration, payload), as sources.containers.container_tracks gives them."""
+    """Samples of gpmd, camm and subtitle tracks (job_id, kind, tag, duration, part, payload), as sources.containers.container_tracks gives them; without part a row is a whole payload."""
+    tracks = tracks if "part" in tracks.columns else tracks.withColumn("part", F.lit(0))
     tag = F.lower("tag")
     text = F.col("kind") == "subtitle"
-    gpmf = parse_tracks(tracks.where(~text & tag.contains("gpmd")), "gpmf", job, "payload")
-    camm = parse_tracks(tracks.where(~text & tag.contains("camm") & ~tag.contains("gpmd")), "camm", job, "payload", "duration")
-    return gpmf.unionByName(camm).unionByName(parse_srt(tracks.where(text), altitude_mode, job, "payload"))
+    gpmf = parse_parts(tracks.where(~text & tag.contains("gpmd")), "gpmf", job)
+    camm = parse_parts(tracks.where(~text & tag.contains("camm") & ~tag.contains("gpmd")), "camm", job, duration="duration")
+    return gpmf.unionByName(camm).unionByName(parse_srt(tracks.where(text), altitude_mode, job, "payload", "part"))
