@@ -386,3 +386,77 @@ def detector_missing(spark, sf):
 
     seen = det.with_detector(_pictures(spark, sf), broken, "generate_mask", 0.5, [0], image="image")
     return seen.select("vec_id", "ai_action", F.col("mask").isNotNull().alias("masked"))
+
+
+# --- kernels on pixels
+
+@query("select vec_id, 21::bigint as pixels, 21::bigint as nearest from embeddings")
+def gray_pixels(spark, sf):
+    # Every gray value is the nearest one to the weighted sum, to whichever side halves go: checked in whole numbers, a thousandth each.
+    v = F.transform(F.slice("embedding", 1, 63), lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(e.cast("double") * 256 + 128))))
+    colored = read_table(spark, sf, "embeddings").select("vec_id", v.alias("v"), _image(v, 21, 1, 3).alias("image"))
+    out = raster.with_image_column(colored, "gray", raster.IMAGE, lambda px: None if px is None else raster.gray(px))
+    digits = F.hex("gray.data")
+    value = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    channel = lambda i, k: F.get("v", (i * 3 + k).cast("int"))
+    off = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.abs(value(i) * 1000 - channel(i, 0) * 114 - channel(i, 1) * 587 - channel(i, 2) * 299))
+    return out.select("vec_id", (F.length(digits) / 2).cast("long").alias("pixels"), F.size(F.filter(off, lambda x: x <= 500)).cast("long").alias("nearest"))
+
+
+@query(f"""with {_PIXELS}, l as (select a.vec_id, a.i, sum(b.v) - 4 * max(a.v) as lap from p a join (values (0, -1), (0, 1), (-1, 0), (1, 0)) d(dx, dy) on true
+  join p b on b.vec_id = a.vec_id and b.x = (case when a.x + dx < 0 then 1 when a.x + dx > 7 then 6 else a.x + dx end) and b.y = (case when a.y + dy < 0 then 1 when a.y + dy > 7 then 6 else a.y + dy end) group by 1, 2)
+select vec_id, round(var_pop(lap), 6) as score from l group by vec_id""")
+def blur_score_of_images(spark, sf):
+    return rounded(raster.with_image_column(_pictures(spark, sf), "score", "double", raster.blur_score).select("vec_id", "score"), "score")
+
+
+@query("""select o_orderkey as job_id, o_orderkey % 5 < 4 as is_media, o_orderkey % 5 in (1, 3) as is_image from orders""")
+def media_kinds(spark, sf):
+    k = F.col("o_orderkey")
+    end = F.element_at(F.array(*map(F.lit, (".MP4", ".jpg", ".x.mkv", ".TIFF", ".txt"))), (k % 5 + 1).cast("int"))
+    o = read_table(spark, sf, "orders").select(k.alias("job_id"), F.concat(F.lit("/in/a.b/"), k.cast("string"), end).alias("path"))
+    return o.select("job_id", naming.is_media(F.col("path")).alias("is_media"), naming.is_image(F.col("path")).alias("is_image"))
+
+
+# --- the whole extraction, from files to files
+
+
+def _extracted(spark, sf, **more) -> DataFrame:
+    """The manifest of an extraction of the tables' pictures, written as PNGs, with two views of each."""
+    from orbitframe import cli
+
+    folder = new_folder(spark)
+    written_images(_mosaics(spark, sf), folder, F.lit("png"))
+    s = settings.DEFAULTS | {"resolution": 8, "camera_count": 2, "naming_mode": "simple", "detector": None, "detections": None} | more
+    done = cli.extract(spark, folder, s)
+    name = F.element_at(F.split("path", "/"), -1)
+    return done.select(F.element_at(F.split("path", "/"), -2).alias("folder"), name.alias("name"), "ok", (F.col("length") > 0).alias("written"))
+
+
+_VIEWS_SQL = "v as (select p.picture, i from (select distinct vec_id // 64 as picture from embeddings) p, range(2) r(i))"
+
+
+@query(f"with {_VIEWS_SQL} select picture || '_processed' as folder, picture || '_frame000000_View_' || i || '.jpg' as name, true as ok, true as written from v")
+def extracted_files(spark, sf):
+    return _extracted(spark, sf)
+
+
+@query(f"""with {_VIEWS_SQL} select picture || '_processed' as folder, picture || '_frame000000_View_' || i || x as name, true as ok, true as written from v, (values ('.tif'), ('_mask.png')) e(x) where (picture + i) % 3 > 0 or x = '.tif'
+union all select picture || '_processed', picture || '_frame000000_View_' || i || '_mask.png', true, true from v where (picture + i) % 3 = 0""")
+def extracted_masks(spark, sf):
+    # A third of the views have a detection; every view gets a mask, the others an empty one.
+    views = _mosaics(spark, sf).select("picture", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).where((F.col("picture") + F.col("i")) % 3 == 0)
+    table = new_folder(spark)
+    found = views.select(
+        F.lit(None).cast("string").alias("path"), "picture", F.lit(0).cast("long").alias("frame_idx"), F.concat(F.lit("View_"), F.col("i").cast("string")).alias("name"), F.lit(0).alias("class_id"), F.lit(0.9).alias("conf"),
+        F.lit(8).alias("height"), F.lit(8).alias("width"), F.array_repeat(F.lit(0.8), 64).alias("prob"),
+    )
+    folder = new_folder(spark)
+    written_images(_mosaics(spark, sf), folder, F.lit("png"))
+    places = media.listed(spark, folder, media.STILLS).select(F.col("path").alias("at"), key_of().alias("picture"))
+    found.join(places, "picture").withColumn("path", F.col("at")).drop("at", "picture").write.parquet(table)
+    from orbitframe import cli
+
+    s = settings.DEFAULTS | {"resolution": 8, "camera_count": 2, "naming_mode": "simple", "output_format": "tiff", "ai_mode": settings.AI_MASK, "detections": table, "detector": None}
+    done = cli.extract(spark, folder, s)
+    return done.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "ok", (F.col("length") > 0).alias("written"))
