@@ -154,11 +154,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents, one of each group of near-duplicates: that of the smallest id.
 
     Rows with a null id are kept; of rows with the same id all stay or go together. For tables with
-    such rows see one_of_each_group.
+    such rows see one_of_each_group. Null and empty texts are a group; long texts are read whole. Columns may have any
+    names; an empty table gives no rows.
     """
     found = simhash_groups(docs, id_col, text_col, width, distance)
-    out = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(out, docs[id_col] == F.col("_gone"), "left_anti")
+    out = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.join(out, F.col(f"row.`{id_col}`").cast("long") == F.col("gone"), "left_anti")
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from orbitframe.llm.batches import bound_batches, text_parts
 from orbitframe.session import cut_lineage, read_table
@@ -123,7 +124,7 @@ def with_features(df: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), x], names=[*names, "x"])
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", x array<double>")
+    return df.mapInArrow(run, StructType([*(f for i, f in enumerate(df.schema) if i != at), StructField("x", ArrayType(DoubleType()))]))
 
 
 def text_features(df: DataFrame, lexicon: dict[str, float]) -> DataFrame:
@@ -174,7 +175,7 @@ class ToxicityModel:
         if self.trees is None:
             return docs.where(F.lit(self.prior < threshold))
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        rows = with_features(docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), self.lexicon)
+        rows = with_features(docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), self.lexicon)
         m = self.trees.transform(rows.select("row", array_to_vector("x").alias("features")))
         m = m.select("row", vector_to_array("rawPrediction")[1].alias("margin"))
         return self._scored(m).where(F.col("score") < threshold).select("row.*")

@@ -88,3 +88,22 @@ def test_dedup_stages_with_repeated_and_null_ids(spark):
     lines = spark.createDataFrame([(None, "a\nb\nc\nd", "x", "s", 7), (None, "z\na\nb\nc", "x", "s", 7), (None, "q", "x", "s", 1)], docs.schema)
     left = sorted(r.text for r in cp.drop_lines(spark, lines, SF).collect())
     assert left in (["a\nb\nc\nd", "q", "z"], ["d", "q", "z\na\nb\nc"])
+
+
+def test_toxic_documents_go_whatever_the_columns(spark):
+    from orbitframe.llm import toxicity
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    more = docs.select("doc_id", "text")
+    for name in ("lang-code", "a.b", "x", "row", "score", "margin", "features", "label"):
+        more = more.withColumn(name, F.lit("kept"))
+    more = more.union(spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string").select("doc_id", "text", *[F.lit("kept")] * 8))
+    kept = model.keep(more, toxicity.THRESHOLD)
+    assert kept.columns == more.columns and {tuple(r)[2:] for r in kept.collect()} == {("kept",) * 8}
+    scores = {r.id: r.score for r in model.score(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))).collect()}
+    want = sorted(i for i, x in scores.items() if x < toxicity.THRESHOLD)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.text) == want and len(want) < len(scores)
+    assert model.keep(more.limit(0), toxicity.THRESHOLD).count() == 0

@@ -68,3 +68,15 @@ def test_rows_of_a_very_common_key_are_spread(spark):
         want[i] = None if fp is None or fp % 10 == 6 else 1 if fp == 7 else i
     assert got == want
     assert join_spread(rows, table.limit(0), "fp", "n", "id").where("first is not null").count() == 0
+
+
+def test_near_dedup_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f", 7), (2, "a b c d e f", 7), (None, "x", 7), (3, None, 7), (4, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long")
+    for name in ("_gone", "row", "id", "component", "lang-code", "a.b"):
+        df = df.withColumn(name, F.lit(1))
+    kept = near_dedup(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 3]
+    assert near_dedup(df.limit(0)).count() == 0
