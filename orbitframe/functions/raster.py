@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from orbitframe.session import bound_image_batches
+
 #: Rows of a map that is broadcast, at most.
 MAX_MAP = 65_536
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
@@ -242,6 +244,7 @@ def with_image_column(df: DataFrame, out: str, kind: str, f: Callable, image: st
 
     An image result is an array, given back as an image struct; others must fit ``kind``.
     """
+    bound_image_batches(df.sparkSession)
     schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {kind}").fields])
     columns = df.columns
 

@@ -28,6 +28,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch of images.
+IMAGE_ROWS, IMAGE_BYTES = 256, 32 << 20
+
+
+def bound_image_batches(spark: SparkSession) -> None:
+    """Set the session's limits of Arrow batches to IMAGE_ROWS and IMAGE_BYTES where they are wider or not set: an image may have a hundred megabytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", IMAGE_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", IMAGE_BYTES)):
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only on a local master.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from orbitframe.functions.raster import to_array
+from orbitframe.session import bound_image_batches
 from orbitframe.sources.jpeg import encode_jpeg
 from orbitframe.sources.media import encode_png
 from orbitframe.sources.stores import located
@@ -177,6 +178,7 @@ def encoded(df: DataFrame, image: str = "view_image", out: str = "file", ext: st
 
     The format is ``ext``, or that of the row in ``ext_col``.
     """
+    bound_image_batches(df.sparkSession)
     columns, schema = df.columns, StructType([*df.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
