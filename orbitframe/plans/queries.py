@@ -89,8 +89,8 @@ _MAP_SQL = """with {settings}, v as ({views}), p as (select v.*, px, py, (px - {
   from (select *, ({w} / 2.0::double) / tan(radians(fov) / 2) as f from v) v, range({w}) a(px), range({w}) b(py) {where}),
 r as (select *, radians(yaw) as a, radians(pitch) as b from p),
 q as (select *, cos(a) * x + sin(a) * sin(b) * y + sin(a) * cos(b) as rx, cos(b) * y - sin(b) as ry, -sin(a) * x + cos(a) * sin(b) * y + cos(a) * cos(b) as rz from r)
-select c_custkey, view_idx, px::int as px, py::int as py, round((atan2(rx, rz) / (2 * pi()) + 0.5) * {sw}, 2) as u,
-  round((asin(ry / sqrt(rx * rx + ry * ry + rz * rz)) / pi() + 0.5) * {sh}, 2) as v from q"""
+select c_custkey, view_idx, px::int as px, py::int as py, round(((atan2(rx, rz) / (2 * pi()) + 0.5) * {sw})::float::double, 2) as u,
+  round(((asin(ry / sqrt(rx * rx + ry * ry + rz * rz)) / pi() + 0.5) * {sh})::float::double, 2) as v from q"""  # maps are of floats
 
 
 def _map(views, w, sw, sh):
