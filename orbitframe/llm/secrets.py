@@ -25,8 +25,11 @@ _HOST = rf"(?<={_LOGIN})[^\x20\x09-\x0D/@]{{6,}}+(?=@)"
 ASSIGNED = rf"{_NAME}\"){_DOUBLE}|{_NAME}'){_SINGLE}|{_NAME}){_BARE}|{_HOST}|{CANDIDATE}"
 VALUE = rf"(?<=^\"){_DOUBLE}|(?<=^'){_SINGLE}|^{_BARE}|{CANDIDATE}"
 NAMED = rf"{NAMES}{ASSIGN}$"
-#: What texts without any candidate lack; they are not split.
-HINT = rf"[A-Za-z0-9+/_\-]{{16}}|[A-Za-z0-9_\-]{{10}}\.[A-Za-z0-9_\-]{{10}}|{NAMES}[\"']{{0,1}}\s{{0,1}}[=:]|{_LOGIN}"
+#: What texts without any candidate lack; they are not split. Each part begins with what is rare: a run's start with a digit behind, a sign, a dot.
+HINT = (
+    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16}|[A-Z]{16}|\.(?<=[A-Za-z0-9_\-]{10}\.)[A-Za-z0-9_\-]{10}"
+    rf"|[=:](?<=(?:{NAMES}[\"']{{0,1}}|[\x20\x09-\x0D])[=:])|:(?<={_LOGIN})"
+)
 #: Words that parts of a harmless candidate consist of.
 DICTIONARY = (
     "the", "and", "that", "this", "with", "from", "test", "example", "sample", "demo", "dummy", "user", "name", "file", "path", "page", "index", "image",
@@ -105,8 +108,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     found = lambda w, pattern: F.regexp_extract_all(w, F.lit(pattern), F.lit(0))
     # The word before names a secret and ends in a sign of assignment, or is that sign.
-    named = lambda i: word(i - 1).rlike(NAMED) | (word(i - 1).isin("=", ":", ":=") & word(i - 2).rlike(rf"{NAMES}{QUOTE}$"))
-    worth = lambda w, i: w.rlike(rf"{STRONG}|{NAMES}{ASSIGN}|{_LOGIN}") | named(i)
+    # Cheap looks come before patterns, which are tried on few words then.
+    signed = lambda w: w.endswith("=") | w.endswith(":")
+    named = lambda i: signed(word(i - 1)) & (word(i - 1).rlike(NAMED) | (word(i - 1).isin("=", ":", ":=") & word(i - 2).rlike(rf"{NAMES}{QUOTE}$")))
+    worth = lambda w, i: ((F.octet_length(w) >= 16) & w.rlike(STRONG)) | ((w.contains("=") | w.contains(":")) & w.rlike(rf"{NAMES}{ASSIGN}|{_LOGIN}")) | named(i)
 
     def hit(w: Column, i: Column) -> Column:
         value = named(i)

@@ -60,7 +60,7 @@ BY_HAND = [
 #: Values of every form: (text, candidates in order).
 FORMS = [
     ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIKMDENGbPxRfiCYzzzzzzKEY", ["wJalrXUtnFEMIKMDENGbPxRfiCYzzzzzzKEY"]), ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]),
-    ("DATABASE_PASSWORD=hunterhunter", ["hunterhunter"]), ("db_root_password=correcthorse", ["correcthorse"]), ("a_very_long_name_of_a_secret : plainwords", ["plainwords"]),
+    ("DATABASE_PASSWORD=hunterhunter", ["hunterhunter"]), ("db_root_password=correcthorse", ["correcthorse"]), ("a_very_long_name_of_a_secret : plainwords", ["plainwords"]), ("my token" + " " * 40 + "\n:= plainwords", ["plainwords"]),
     ("password=Tr0ub4dor&3xyz", ["Tr0ub4dor&3xyz"]), ("?token=abcdef12&user=someone", ["abcdef12"]), ("pwd=abc,def;ghi; next", ["abc,def;ghi"]), ("user=x;password=pa;ss,wd;host=db", ["pa;ss,wd"]),
     ("token='it\"s,&;<fine>' x", ['it\"s,&;<fine>']), ('"secret_key":"say\'so,now;&<ok>",', ["say'so,now;&<ok>"]), ("private_key=lettersonly", ["lettersonly"]), ("auth: lettersonly", ["lettersonly"]), ("contraseña=abrelapuerta", ["abrelapuerta"]),
     ("https://user:letmein@host.org/x", ["letmein"]), ("https://user:letmein1234567890ab@host.org/x", ["letmein1234567890ab"]), ("key_of_padding12==", ["key_of_padding12=="]), ("long_identifier_1=value", ["long_identifier_1"]),
