@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.functions import geometry, naming
 from orbitframe.operators import frames as fr, telemetry
@@ -31,7 +31,13 @@ def extraction(frames: DataFrame, samples: DataFrame, views: DataFrame, step: in
     placed = telemetry.interpolated(kept, telemetry.sanitized(samples))
     looks = placed.crossJoin(F.broadcast(views.select("view_idx", "name", "yaw", "pitch")))
     image, mask = naming.output_names("realityscan", F.concat(F.lit("job"), F.col("job_id")), F.col("frame_idx"), F.col("name"), ext)
-    return looks.select("job_id", "frame_idx", "view_idx", "yaw", "pitch", *(F.round(c, 6).alias(c) for c in ("t", "score", "lat", "lon", "alt")), image.alias("image_name"), mask.alias("mask_name"))
+    return looks.select("job_id", "frame_idx", "view_idx", "yaw", "pitch", *(decimals(F.col(c), 6).alias(c) for c in ("t", "score", "lat", "lon", "alt")), image.alias("image_name"), mask.alias("mask_name"))
+
+
+def decimals(c: Column, digits: int) -> Column:
+    """A double as DuckDB rounds it: the whole number next to its multiple, halves away from zero. Spark's own round goes by the shortest decimal
+    that reads as the double, so what lies just below a half (8.1375, that is 8137.499999999999 thousandths) would go up."""
+    return F.round(c * 10.0**digits) / 10.0**digits
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

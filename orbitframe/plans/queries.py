@@ -40,7 +40,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"}
+    return df.withColumns({c: ex.decimals(F.col(c), digits) if c in doubles else F.round(c, digits) for c in columns})
 
 
 def _events(spark, sf):
@@ -95,7 +96,7 @@ select c_custkey, view_idx, px::int as px, py::int as py, round(((atan2(rx, rz)
 
 def _map(views, w, sw, sh):
     m = geometry.rectilinear_map(views, sw, sh, w, w, F.col("fov"))
-    return m.select("c_custkey", "view_idx", "px", "py", F.round(F.col("u").cast("double"), 2).alias("u"), F.round(F.col("v").cast("double"), 2).alias("v"))
+    return m.select("c_custkey", "view_idx", "px", "py", ex.decimals(F.col("u").cast("double"), 2).alias("u"), ex.decimals(F.col("v").cast("double"), 2).alias("v"))
 
 
 @query(_MAP_SQL.format(settings=_SETTINGS_SQL, views="select c_custkey, fov, unnest(range(n))::int as view_idx, unnest(range(n)) * (360.0::double / n) + 7.3 as yaw, offs + 0.6 as pitch from s", w=4, sw=64, sh=32, where=""))
@@ -256,7 +257,7 @@ def blur_analysis(spark, sf):
     views = geometry.generate_views(spark, 6, 0.0)
     looks = f.crossJoin(F.broadcast(views.select("view_idx", "name"))).withColumn("score", F.col("score") / (F.col("view_idx") + 1))
     a = fr.blur_summary(looks, "job_id")
-    details = F.array_join(F.transform("details", lambda x: F.concat(x["view"], F.lit(":"), F.round(x["score"], 3).cast("string"))), ",")
+    details = F.array_join(F.transform("details", lambda x: F.concat(x["view"], F.lit(":"), ex.decimals(x["score"], 3).cast("string"))), ",")
     return rounded(a.select("job_id", "average", "min", "max", "recommended", details.alias("details")), "average", "min", "max", "recommended")
 
 
