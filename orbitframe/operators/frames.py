@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,14 @@ def keyframe_machine(threshold: float, motion: Callable[[object, object], float]
     return start
 
 
+def plain_mean(values: Iterable[float]) -> float:
+    """The mean by a plain sum from the left, as SQL has it; Python's sum corrects what each step rounds, which decides scores on the limit otherwise."""
+    total = n = 0
+    for v in values:
+        total, n = total + v, n + 1
+    return total / n
+
+
 def smart_blur_machine(floor: float, factor: float = 0.6, history: int = 10, patience: int = 5) -> Callable[[], Callable]:
     """Drops blurry rows: below the floor, or below ``factor`` times the mean of the last accepted scores.
 
@@ -83,7 +91,7 @@ def smart_blur_machine(floor: float, factor: float = 0.6, history: int = 10, pat
         def step(score) -> bool:
             nonlocal skips
             score = 0.0 if score is None else score
-            if score < floor or (recent and score < factor * (sum(recent) / len(recent))):
+            if score < floor or (recent and score < factor * plain_mean(recent)):
                 skips += 1
                 if skips <= patience:
                     return False
