@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orbitframe.operators.frames import plain_mean
 from orbitframe.session import ensure_checkpoint_dir
 
 
@@ -26,7 +27,7 @@ def smart_blur_stream(scores: DataFrame, floor: float, factor: float = 0.6, hist
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         keep = []
         for score in rows.score:
-            blurry = score < floor or (recent and score < factor * (sum(recent) / len(recent)))
+            blurry = score < floor or (recent and score < factor * plain_mean(recent))
             skips = skips + 1 if blurry else 0
             accepted = not blurry or skips > patience
             if accepted:

@@ -15,7 +15,7 @@ def test_rounding_as_sql_has_it(spark):
     assert [r.r for r in got.collect()] == [8.137, 2.007, 1.001, 59.643, -8.137, 0.063]
 
 
-@pytest.mark.parametrize("streamed", [False])
+@pytest.mark.parametrize("streamed", [False, True])
 def test_scores_on_the_limit_of_smart_blur(spark, tmp_path, streamed):
     # 0.6 of the mean of the first six is 31.59 by a corrected sum, a little more by a plain one.
     scores = [52.76, 41.91, 54.37, 55.58, 59.97, 51.31, 31.59]
