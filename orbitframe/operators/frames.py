@@ -125,18 +125,31 @@ def adaptive_keyframes(frames: DataFrame, threshold: float, value: str = "value"
     return kept_rows(frames, job, order, F.col(value), keyframe_machine(threshold, motion))
 
 
+def picture_motion(a: dict | None, b: dict | None) -> float:
+    """Mean flow between two image structs, as small gray images; equal ones don't move, without the flow being worked out."""
+    if a is None or b is None or a == b:
+        return 0.0
+    return raster.motion_score(*(raster.motion_input(raster.to_array(x["height"], x["width"], x["channels"], x["data"])) for x in (a, b)))
+
+
 def motion_keys(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
     """(job, order) of the frames whose mean flow from the last kept frame of their job exceeds ``threshold``; unreadable frames don't move.
 
-    What is dealt out and sorted are the small gray images that the flow is taken of, not the frames.
+    What is dealt out and sorted are the small gray images that the flow is taken of, or the frames themselves where these are smaller still.
     """
 
-    def motion(a, b) -> float:
-        px = [None if x is None else raster.to_array(x["height"], x["width"], x["channels"], x["data"]) for x in (a, b)]
-        return raster.motion_score(*px)
+    held = [None, None, 0.0]
+
+    def motion(a, b) -> float:  # a scene that rests after it moved is compared with the kept frame once
+        if held[0] is not a or held[1] != b:
+            held[:] = a, b, picture_motion(a, b)
+        return held[2]
+
+    def small(img):
+        return img if img is None or img.size <= 256 * 144 else raster.motion_input(img)
 
-    small = raster.with_image_column(frames.select(job, *order, image), "_small", raster.IMAGE, raster.motion_input, image).drop(image)
-    return ordered_scan(small, job, list(order), "_small", "_keep", keyframe_machine(threshold, motion)).where("_keep").select(job, *order)
+    dealt = raster.with_image_column(frames.select(job, *order, image), "_small", raster.IMAGE, small, image).drop(image)
+    return ordered_scan(dealt, job, list(order), "_small", "_keep", keyframe_machine(threshold, motion)).where("_keep").select(job, *order)
 
 
 def motion_keyframes(frames: DataFrame, threshold: float, image: str = "image", job: str = "path", order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
