@@ -23,7 +23,7 @@ NO_JOB = -(1 << 63)
 
 
 class Keyframes(StatefulProcessor):
-    """State of a job: the score of its last kept row, and the rows that wait for the watermark.
+    """State of a job: the score of its last kept row, the rows that wait for the watermark, and the time of its one timer.
 
     Rows wait until the watermark has passed them, so none that isn't dropped as late can come before them any more; then they are taken in
     order of (ts, event_id). A row is kept if it is the first of its job or differs from the last kept one by more than the threshold.
@@ -36,26 +36,41 @@ class Keyframes(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "score double")
         self.waiting = handle.getListState("waiting", "event_id long, micros long, score double")
+        self.timer = handle.getValueState("timer", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
         for part in rows:
             micros = part["ts"].astype("datetime64[us]").astype("int64")
-            self.waiting.appendList(list(zip(part["event_id"].tolist(), micros.tolist(), part["score"].tolist())))
-            for ms in set((micros // 1000 + 1).tolist()):
-                self.handle.registerTimer(ms)
+            new += zip(part["event_id"].tolist(), micros.tolist(), part["score"].tolist())
+        if new:
+            self.waiting.appendList(new)
+            self.wake(min(micros for _, micros, _ in new))
         return iter([])
 
+    def wake(self, micros: int) -> None:
+        """The job's one timer is that of its earliest waiting row; whatever else is due then goes with it."""
+        ms = micros // 1000 + 1
+        held = self.timer.get()[0] if self.timer.exists() else None
+        if held is None or ms < held:
+            if held is not None:
+                self.handle.deleteTimer(held)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due, later = [], []
         limit = timerValues.getCurrentWatermarkInMs() * 1000
         for event_id, micros, score in self.waiting.get():
             (due if micros < limit else later).append((micros, event_id, score))
-        if not due:
-            return iter([])
+        self.timer.clear()
         if later:
             self.waiting.put([(event_id, micros, score) for micros, event_id, score in later])
+            self.wake(min(later)[0])
         else:
             self.waiting.clear()
+        if not due:
+            return iter([])
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
         for micros, event_id, score in sorted(due):
